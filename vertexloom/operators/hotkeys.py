@@ -71,6 +71,19 @@ def number_chunks(
     return numbered.withColumn(_CHUNK, chunk).drop("__hp", "__offset", "__first", *(f"__hk{i}" for i in range(len(keys))))
 
 
+def number_rows(df: DataFrame, keys: Sequence[str], to: str) -> DataFrame:
+    """``df`` with ``to``: the 0-based number of each row inside its key, without gathering a key anywhere.
+
+    Offsets join on (partition, key), so a key with most rows is still spread over all partitions.
+    """
+    rows = pinned(df.sortWithinPartitions(*keys).withColumns({_PID: F.spark_partition_id(), _POS: F.monotonically_increasing_id()}))
+    per_part = rows.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("__n"), F.min(_POS).alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1))
+    per_part = per_part.withColumn("__offset", F.coalesce(before, F.lit(0))).drop("__n")
+    numbered = rows.join(per_part, [_PID, *keys])
+    return numbered.withColumn(to, F.col("__offset") + F.col(_POS) - F.col("__first")).drop(_PID, _POS, "__first", "__offset")
+
+
 def chunked_counts(df: DataFrame, keys: Sequence[str], target_chunks: int = 256) -> DataFrame:
     """(keys..., n): rows per key; each chunk is counted apart, then the chunk counts are merged."""
     chunks = number_chunks(df.select(*keys), keys, target_chunks=target_chunks).groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("__c"))
