@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm import leaks as _leaks
 from vertexloom.llm import packing
+from vertexloom.llm import residue as _residue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +40,19 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), 0)
 
 
-QUERIES = {f.__name__: f for f in (p8_containers, p8_fill, p9_found, p9_near)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residue.residue(_table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residue.residue(_table(spark, sf_dir, "documents"))
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that remain, with their text."""
+    documents = _table(spark, sf_dir, "documents")
+    return documents.join(_residue.residue(documents).select("doc_id"), "doc_id", "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_kinds, p10_kept)}
 SQL: dict[str, str] = {}
