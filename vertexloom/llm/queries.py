@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm import handwritten as _handwritten
 from vertexloom.llm import leaks as _leaks
 from vertexloom.llm import packing
 from vertexloom.llm import residue as _residue
@@ -18,6 +19,20 @@ def _kinds(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     return sorted((r[0], r[1]) for r in _table(spark, sf_dir, "container_sizes").select("container_kind", "capacity_tokens").distinct().collect())
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handwritten.not_handwritten(_table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handwritten.not_handwritten(_table(spark, sf_dir, "documents"))
+
+
+def p4_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that remain."""
+    documents = _table(spark, sf_dir, "documents")
+    return documents.join(_handwritten.not_handwritten(documents).select("doc_id"), "doc_id", "left_anti")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = packing.token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack(sizes, "doc_id", "n_tokens", _kinds(spark, sf_dir))
@@ -54,5 +69,5 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(_residue.residue(documents).select("doc_id"), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_kinds, p10_kept)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p4_handwritten, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_kinds, p10_kept)}
 SQL: dict[str, str] = {}
