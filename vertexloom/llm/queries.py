@@ -9,6 +9,7 @@ from vertexloom.llm import handwritten as _handwritten
 from vertexloom.llm import leaks as _leaks
 from vertexloom.llm import packing
 from vertexloom.llm import residue as _residue
+from vertexloom.llm import secrets as _secrets
 from vertexloom.llm import syntax as _syntax
 
 
@@ -47,6 +48,19 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _syntax.fault_rates(_table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.find_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "line_no").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced."""
+    return _secrets.redacted(_table(spark, sf_dir, "documents"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = packing.token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack(sizes, "doc_id", "n_tokens", _kinds(spark, sf_dir))
@@ -83,5 +97,5 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(_residue.residue(documents).select("doc_id"), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p4_handwritten, p5_found, p5_repairs, p5_rates, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_kinds, p10_kept)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p4_handwritten, p5_found, p5_repairs, p5_rates, p7_found, p7_spans, p7_redacted, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_kinds, p10_kept)}
 SQL: dict[str, str] = {}
