@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"[A-Za-z0-9_+/.\-%!#$^*~\\|]+={0,2}|[^\sA-Za-z0-9]")
 _WORDS = re.compile(r"(?i)(?<!com)passw|pwd|passphrase|secret|token|api_?key|auth|bearer|\bbasic\b|credential|private|identified by|access_?key|signing|:[^\s/:@\"']{3,}@|-----BEGIN|client_?key|key[_\w]{0,12}[\"']?\s*[:=]|\bsig=|\s-u\s|b64|base64")
-_MIXED = re.compile(r"(?=[A-Za-z_+/.\-]{0,40}\d)(?=[0-9_+/.\-]{0,40}[A-Za-z])[A-Za-z0-9_+/\-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9_+/\-]{16,}")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile("[A-Za-z]")
 _COUNTED = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)*_?\d{1,4}")  # names that count up, such as layout_20
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -39,22 +40,49 @@ MODEL = Path(__file__).with_name("secrets_model.json")
 
 
 def candidate_lines(text: str) -> list[tuple[int, int]]:
-    """Bounds of the lines worth labelling, in order."""
+    """Bounds of the lines worth labelling, in order: an automaton finds what any credential word needs."""
+    low = text.lower()
+    if len(low) != len(text):  # letters whose small form is longer
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+    hits = [at for at, _ in _needed().iter(low)]
+    done = -1
     out: dict[int, int] = {}
-    for rx in (_WORDS, _MIXED):
-        at = 0
-        while m := rx.search(text, at):
-            if rx is _MIXED and _COUNTED.fullmatch(m[0]):
-                at = m.end()
-                continue
-            lo = text.rfind("\n", 0, m.start()) + 1
-            hi = text.find("\n", m.end())
-            hi = len(text) if hi < 0 else hi
-            out[lo] = hi
-            at = hi + 1
+    for at in hits:
+        if at <= done:
+            continue
+        lo = text.rfind("\n", 0, at) + 1
+        hi = text.find("\n", at)
+        hi = len(text) if hi < 0 else hi
+        if _WORDS.search(text, lo, hi):
+            out[lo], done = hi, hi
+    done = -1
+    for m in _RUN.finditer(text):
+        t = m[0]
+        if m.start() < done or t.isalpha() or not _DIGIT.search(t) or _COUNTED.fullmatch(t) or not _LETTER.search(t):
+            continue
+        lo = text.rfind("\n", 0, m.start()) + 1
+        hi = text.find("\n", m.end())
+        done = len(text) if hi < 0 else hi
+        out[lo] = done
     return sorted(out.items())
 
 
+_automaton: list = []
+
+
+def _needed():
+    """Automaton of the substrings of which every match of the credential words holds one."""
+    if not _automaton:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for w in ("passw", "pwd", "passphrase", "secret", "token", "key", "auth", "bearer", "basic", "credential", "private", "identified by", "signing", "@", "-----begin", "sig=", "-u", "b64", "base64"):
+            a.add_word(w, w)
+        a.make_automaton()
+        _automaton.append(a)
+    return _automaton[0]
+
+
 @lru_cache(1 << 14)
 def shape_features(t: str) -> tuple[str, ...]:
     """What a token's characters tell."""
