@@ -88,7 +88,7 @@ def communities(nodes: DataFrame, edges: DataFrame, local_links: int = LOCAL_LIN
             u, v = code[: len(df)], code[len(df) :]
             return pd.DataFrame({"id": ids, "community": louvain_local(u, v, df.w.to_numpy(), len(ids))})
 
-        found = links.groupBy(F.lit(0)).applyInPandas(run, "id string, community bigint")
+        found = links.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "id string, community bigint")
         found = found.select("id", F.concat(F.lit("c"), "community").alias("community"))
     else:
         both = durable(links.filter("u <> v").select(F.col("u").alias("id"), F.col("v").alias("other"), "w").unionByName(links.filter("u <> v").select(F.col("v").alias("id"), F.col("u").alias("other"), "w")))
@@ -227,7 +227,7 @@ def dominators(edges: DataFrame, root: str, hop_limit: int = 2_000_000) -> DataF
                     idom[b], changed = new, True
         return pd.DataFrame([(k, v) for k, v in idom.items() if k != root], columns=["id", "idom"])
 
-    return part.groupBy(F.lit(0)).applyInPandas(run, "id string, idom string")
+    return part.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "id string, idom string")
 
 
 def random_walks(edges: DataFrame, walks: int = 4, length: int = 8, seed: int = 42) -> DataFrame:
