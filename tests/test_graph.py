@@ -90,6 +90,10 @@ def test_call_binding_needs_one_candidate(spark):
 def test_traversal_and_paths(spark, chain):
     seed = spark.createDataFrame([("a",)], "id string")
     assert rows(T.reach(T.oriented(chain.edges), seed)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert rows(T.reach(T.oriented(chain.edges), seed, local_links=0)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "s string, t string")
+    two = spark.createDataFrame([("a",), ("c",)], "s string")
+    assert rows(T.closure_from(ring, two)) == rows(T.closure_from(ring, two, local_links=0)) == [("a", "a"), ("a", "b"), ("a", "c")]
     assert T.depth_first(chain.edges, "a", 2, 10) == ["a", "b", "c"]
     g = make(spark, [("start", "m1", "calls"), ("m1", "m2", "calls"), ("m2", "goal", "calls"), ("start", "system", "imports"), ("system", "goal", "imports")])
     s = spark.createDataFrame([("start",)], "id string")
