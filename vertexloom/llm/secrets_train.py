@@ -47,7 +47,7 @@ def random_secret() -> str:
     if kind == 6:
         return _chars(12, string.ascii_letters + string.digits + "!%*^-#")
     if kind == 7:
-        return _word().title() + R.choice("!#+%x@"[:5]) + str(R.randint(100, 9999)) + _word()
+        return _word().title() + R.choice("!#+%x") + str(R.randint(100, 9999)) + _word()
     if kind == 8:
         return _word() + str(R.randint(10, 9999))
     if kind == 9:
@@ -120,8 +120,7 @@ def line() -> tuple[str, list[str]]:
         s = R.choice([token_secret(), "zq_live_" + _chars(30), "pkx-" + _chars(30), "gl_pat_" + _chars(32)])
         return assign(R.choice(["k_one", "value_two", "header_x", "x1", "opt_a", "param_b", _word()]), s) if "." not in s and s[3] in "_-l" or s.startswith(("zq", "pkx", "gl")) else assign(R.choice(_SECRET_NAMES), s), [s]
     if k < 0.32:
-        pair = R.choice([s, s])
-        return assign(R.choice(["store_url", "queue_dsn", "mirror", "database_url", "broker", "dsn"]), f"{R.choice(['amqp', 'mysql', 'pgsql', 'postgres', 'redis', 'https', 'mongodb'])}://svc_{_word()}:{pair}@{host}:{R.randint(1000, 9999)}/{_word()}"), [pair]
+        return assign(R.choice(["store_url", "queue_dsn", "mirror", "database_url", "broker", "dsn"]), f"{R.choice(['amqp', 'mysql', 'pgsql', 'postgres', 'redis', 'https', 'mongodb'])}://svc_{_word()}:{s}@{host}:{R.randint(1000, 9999)}/{_word()}"), [s]
     if k < 0.36:
         return assign(R.choice(["conn", "connection_string", "db"]), f"Server={host};Database={_word()};Uid=app;{R.choice(['Pwd', 'Password', 'PWD'])}={s};"), [s]
     if k < 0.40:
@@ -139,8 +138,7 @@ def line() -> tuple[str, list[str]]:
         t = token_secret()
         return f"curl -H 'Authorization: Bearer {t}' https://{host}/v1", [t]
     if k < 0.56:
-        q = R.choice("'\"") if R.random() < 0 else "'"
-        return assign("grant_stmt", f"{R.choice(['ALTER', 'CREATE'])} USER app IDENTIFIED BY {q}{s}{q}"), [s]
+        return assign("grant_stmt", f"{R.choice(['ALTER', 'CREATE'])} USER app IDENTIFIED BY '{s}'"), [s]
     if k < 0.585:
         return f"{R.choice(['Log in as', 'Sign in as', 'Connect as'])} svc_{_word()} with password `{s}`.", [s]
     if k < 0.61:
