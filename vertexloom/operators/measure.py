@@ -34,8 +34,8 @@ def scope(nodes: DataFrame, include: Sequence[str] = (), exclude: Sequence[str]
     """Nodes within path, type, generated-code and test limits; ``virtual`` admits planned rows."""
     path = unix_path("source_file")
     out = nodes if virtual else nodes.filter("plan_id is null")
-    for x, keep in (*((x, True) for x in ()), *((x, False) for x in exclude)):
-        out = out.filter(path.contains(x.lower()) if keep else ~path.contains(x.lower()))
+    for x in exclude:
+        out = out.filter(~path.contains(x.lower()))
     if include:
         hit = F.lit(False)
         for x in include:

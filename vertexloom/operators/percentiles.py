@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vertexloom.operators.durable import partitions, pinned
 
@@ -96,19 +97,14 @@ def exact_percentiles(
     targets = tuple(permille)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        pid = first.column("pid")[0].as_py() if first.num_rows else -1
+        pid = -1
 
-        def chain() -> Iterator[pa.RecordBatch]:
+        def numbered() -> Iterator[pa.RecordBatch]:
             nonlocal pid
-            for b in [first, *()]:
-                yield b
             for b in batches:
-                if pid < 0 and b.num_rows:
+                if b.num_rows:
                     pid = b.column("pid")[0].as_py()
-                yield b
+                    yield b
 
         out: list[list] = [[] for _ in range(len(names) + 4)]
 
@@ -118,7 +114,7 @@ def exact_percentiles(
                 c.clear()
             return batch
 
-        for key, v, w in _runs(chain(), len(names)):
+        for key, v, w in _runs(numbered(), len(names)):
             upto = np.cumsum(w)
             offset, total = edges.get((pid, *key), (0, int(upto[-1])))
             for p in targets:
@@ -134,8 +130,6 @@ def exact_percentiles(
             yield flush()
 
     schema = T.StructType([*(ordered.schema[g] for g in names), T.StructField("n", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("what", T.IntegerType()), T.StructField("value", kind)])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
     picked = ordered.mapInArrow(pick, schema)
     aggs = [F.max("n").alias("n")]
