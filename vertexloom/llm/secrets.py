@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib.resources import files
 from pathlib import Path
 
 import pyarrow as pa
@@ -198,7 +199,7 @@ class Crf:
 
     @classmethod
     def load(cls) -> Crf:
-        m = json.loads(MODEL.read_text())
+        m = json.loads(files(__package__).joinpath(MODEL.name).read_text())  # also from a zipped package
         return cls(m["weights"], m["moves"])
 
     def score(self, f: list[str]) -> float:

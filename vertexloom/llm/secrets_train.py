@@ -155,9 +155,9 @@ def line() -> tuple[str, list[str]]:
     if k < 0.83:
         return R.choice([f"{cm}{n}=... is passed on the command line" if (n := R.choice(_SECRET_NAMES)) else "", cm + "the token is read from the vault, never stored here", cm + f"password must have {R.randint(8, 20)} characters; secret rotation is weekly", "Set `API_KEY=<your-key-here>` first.", "Use `password: changeme` only as a stand-in and replace it.", f"The build digest is `{_chars(64, '0123456789abcdef')}`.", cm + "see the auth guide for " + _word(), f"import {{ auth{_word().title()} }} from './auth_{_word()}';", f'log.info("token refreshed for", {_word()}_{_word()})', f"{_word()}_{_word()}(token, {R.randint(1, 9999)})"]), []
     name, value = inert()
-    if k < 0.97:
+    if k < 0.96:
         return assign(name, value), []
-    return R.choice([f"    {_word().upper()}_{_word().upper()}_{R.randint(1, 400)} = {R.randint(1, 400)},", f"func (x *{_word().title()}Store) Get{_word().title()}{_word().title()}{R.randint(0, 20)}() int {{", f'"{_word()}-{_word()}": "{R.randint(1, 9)}.{R.randint(0, 9)}.{R.randint(0, 9)}",', f'  "resolved": "https://registry.example/{_word()}/-/{_word()}-{R.randint(1, 9)}.{R.randint(0, 9)}.0.tgz",', f'def test_{_word()}_{_word()}_{R.randint(1, 99)}(self, {_word()}):', f"{_chars(60, string.ascii_letters + string.digits + '+/')}", f'"{_chars(76, string.ascii_letters + string.digits + "+/")}"', f"<Fault><Kind>SlowDown</Kind><Note>{_word()}</Note><Id>{_chars(16, '0123456789abcdef')}</Id></Fault>"]), []
+    return R.choice([f"    {_word().upper()}_{_word().upper()}_{R.randint(1, 400)} = {R.randint(1, 400)},", f"func (x *{_word().title()}Store) Get{_word().title()}{_word().title()}{R.randint(0, 20)}() int {{", f'"{_word()}-{_word()}": "{R.randint(1, 9)}.{R.randint(0, 9)}.{R.randint(0, 9)}",', f'  "resolved": "https://registry.example/{_word()}/-/{_word()}-{R.randint(1, 9)}.{R.randint(0, 9)}.0.tgz",', f'def test_{_word()}_{_word()}_{R.randint(1, 99)}(self, {_word()}):', f"{_chars(60, string.ascii_letters + string.digits + '+/')}", f'"{_chars(R.randint(8, 80), string.ascii_letters + string.digits + "+/")}",', f'"{_chars(R.randint(8, 80))}",', f'"{_chars(R.randint(8, 80))}"',  f"<Fault><Kind>SlowDown</Kind><Note>{_word()}</Note><Id>{_chars(16, '0123456789abcdef')}</Id></Fault>"]), []
 
 
 def example() -> tuple[list[list[str]], list[int]]:
@@ -173,7 +173,7 @@ def example() -> tuple[list[list[str]], list[int]]:
     return features([t for _, _, t in got], text), labels
 
 
-def train(n: int = 8000, epochs: int = 6, rate: float = 0.3, ridge: float = 1e-5) -> tuple[Crf, float, float]:
+def train(n: int = 16000, epochs: int = 6, rate: float = 0.3, ridge: float = 1e-5) -> tuple[Crf, float, float]:
     data = [x for x in (example() for _ in range(n)) if x[0]]
     held, data = data[: n // 5], data[n // 5 :]
     w: dict[str, float] = defaultdict(float)
