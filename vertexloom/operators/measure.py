@@ -193,9 +193,9 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, weight:
     ids = durable(ids.join(sinks, "id", "left"))
     ranks = ids.select("id", "sink", F.lit(1.0 / n).alias("rank"))
     for k in range(rounds):
-        lost = ranks.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        lost = ranks.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
         got = ranks.withColumnRenamed("id", "source").join(e, "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = ids.join(got, "id", "left").join(F.broadcast(lost)).select("id", "sink", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))  # lost is one row
+        ranks = ids.join(got, "id", "left").join(F.broadcast(lost)).select("id", "sink", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if k % 4 == 3:
             ranks = durable(ranks)
     return ranks.select("id", "rank")

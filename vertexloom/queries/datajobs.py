@@ -26,8 +26,8 @@ def link_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     degrees = chunked_counts(link_ends(spark, sf_dir), ["side", "id"])
-    total = _table(spark, sf_dir, "links").agg(F.count_distinct("link_id").alias("total"))
-    return degrees.join(F.broadcast(total), F.col("n") * 100 >= F.col("total")).select("side", "id")
+    total = _table(spark, sf_dir, "links").agg(F.count_distinct("link_id")).first()[0]  # one number
+    return degrees.filter(F.col("n") * 100 >= total).select("side", "id")
 
 
 def p1_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
