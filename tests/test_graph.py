@@ -126,6 +126,36 @@ def test_betweenness_dominators_walks(spark, chain):
     assert norms and all(abs(x - 1) < 1e-6 for x in norms)
 
 
+def test_betweenness_of_the_whole_graph_both_ways(spark, tmp_path):
+    from itertools import product
+
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("a", "d"), ("d", "e"), ("e", "f"), ("c", "f"), ("x", "y"), ("y", "z"), ("s", "s")]
+    near = {i: {b if a == i else a for a, b in links if i in (a, b)} - {i} for i in {i for e in links for i in e}}
+
+    def shortest(s, t):
+        paths, seen = [[s]], {s}
+        while paths and t not in {p[-1] for p in paths}:
+            paths = [[*p, b] for p in paths for b in near[p[-1]] if b not in seen]
+            seen |= {p[-1] for p in paths}
+        return [p for p in paths if p[-1] == t]
+
+    want = dict.fromkeys(near, 0.0)
+    for s, t in product(near, near):
+        for p in (found := shortest(s, t) if s != t else []):
+            for b in p[1:-1]:
+                want[b] += 1 / len(found) / ((len(near) - 1) * (len(near) - 2) / 2)
+    g = make(spark, [(*e, "calls") for e in links])
+    for way in ({}, {"local_links": 0}, {"local_links": 0, "states": 40}):
+        assert dict(rows(C.betweenness(g.edges, **way))) == pytest.approx(want)
+
+    from vertexloom.queries.graphs import QUERIES
+
+    for name, n, columns in (("region", 1, "id AS r_regionkey, 'r' AS r_name"), ("nation", 1, "id AS n_nationkey, id AS n_regionkey, 'n' AS n_name"), ("customer", 400, "id AS c_custkey, 0 AS c_nationkey, 'c' AS c_name, 'm' AS c_mktsegment"), ("supplier", 1, "id AS s_suppkey, 0 AS s_nationkey, 's' AS s_name"), ("part", 1, "id AS p_partkey, 'p' AS p_name, 't' AS p_type"), ("orders", 0, "id AS o_orderkey, id AS o_custkey, '' AS o_orderpriority"), ("lineitem", 0, "id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, '' AS l_returnflag")):
+        spark.range(n).selectExpr(*columns.split(", ")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = dict(rows(QUERIES["betweenness"](spark, str(tmp_path))))
+    assert len(got) == 404 and got["nation_0"] == pytest.approx(402 * 401 / (403 * 402 / 2)) and got["customer_7"] == 0
+
+
 def test_change_and_policy(spark, chain):
     more = make(spark, [("a", "b", "calls"), ("b", "x", "calls")])
     assert ("x", "added") in rows(X.diff_nodes(chain, more)) and ("d", "removed") in rows(X.diff_nodes(chain, more))

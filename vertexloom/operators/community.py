@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from vertexloom.operators.measure import renumber_by_size
 
 #: Graphs up to so many undirected links are clustered exactly in one task; larger ones by rounds.
 LOCAL_LINKS = 2_000_000
+#: Up to so many undirected links the adjacency is sent to every task (16 bytes a link, and the ids).
+BROADCAST_LINKS = 1_000_000
 
 
 def undirected(edges: DataFrame, weight: str = "weight") -> DataFrame:
@@ -126,53 +129,97 @@ def split_large(members: DataFrame, edges: DataFrame, share: float = 0.25, least
     return renumber_by_size(out)
 
 
-def betweenness(edges: DataFrame, max_nodes: int = 5000) -> DataFrame:
-    """(id, score): shortest-path betweenness, undirected, over ordered pairs by (n - 1)(n - 2) / 2.
+def _brandes(start: np.ndarray, near: np.ndarray, sources: Iterator[int]) -> np.ndarray:
+    """Sum over ``sources`` of each node's dependency; ``near`` holds the neighbours of k from start[k] to start[k + 1].
 
-    Sources are spread over tasks; each holds the adjacency of the first ``max_nodes`` nodes by id, a
-    bound that is part of the definition.
+    Each level is taken from its own side or from the nodes not yet seen, whichever has fewer links.
     """
-    spark = edges.sparkSession
-    ids = [r["id"] for r in edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().orderBy("id").limit(max_nodes).collect()]
-    code = {x: k for k, x in enumerate(ids)}
-    kept = spark.createDataFrame([(x,) for x in ids], "id string") if ids else None
-    if kept is None:
-        return spark.createDataFrame([], "id string, score double")
-    pairs = edges.join(F.broadcast(kept.withColumnRenamed("id", "source")), "source", "left_semi").join(F.broadcast(kept.withColumnRenamed("id", "target")), "target", "left_semi")  # at most max_nodes rows
-    near: list[list[int]] = [[] for _ in ids]
-    for r in pairs.filter("source <> target").select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).distinct().toLocalIterator():
-        near[code[r["u"]]].append(code[r["v"]])
-        near[code[r["v"]]].append(code[r["u"]])
-    n = len(ids)
-    sent = spark.sparkContext.broadcast(near)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adj, score = sent.value, np.zeros(n)
-        for df in batches:
-            for s in df.s:
-                order, sigma, dist, preds = [], np.zeros(n), np.full(n, -1), [[] for _ in range(n)]
-                sigma[s], dist[s], queue = 1, 0, [s]
-                for a in queue:  # grows while it is read
-                    order.append(a)
-                    for b in adj[a]:
-                        if dist[b] < 0:
-                            dist[b] = dist[a] + 1
-                            queue.append(b)
-                        if dist[b] == dist[a] + 1:
-                            sigma[b] += sigma[a]
-                            preds[b].append(a)
-                delta = np.zeros(n)
-                for b in reversed(order):
-                    for a in preds[b]:
-                        delta[a] += sigma[a] / sigma[b] * (1 + delta[b])
-                    if b != s:
-                        score[b] += delta[b]
-        yield pd.DataFrame({"k": np.arange(n), "score": score})
+    n = len(start) - 1
+    degree, score = np.diff(start), np.zeros(n)
+
+    def links(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = degree[of]
+        return np.repeat(of, k), near[np.repeat(start[of] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+
+    for s in sources:
+        sigma, seen, levels = np.zeros(n), np.zeros(n, dtype=bool), []
+        sigma[s], seen[s], front = 1, True, np.array([s])
+        while len(front):
+            rest = np.flatnonzero(~seen)
+            if degree[front].sum() <= degree[rest].sum():
+                a, b = links(front)
+                new = ~seen[b]
+            else:
+                b, a = links(rest)
+                ahead = np.zeros(n, dtype=bool)
+                ahead[front] = True
+                new = ahead[a]
+            a, b = a[new], b[new]
+            got = np.bincount(b, sigma[a], n)
+            front = np.flatnonzero(got)
+            seen[front] = True
+            sigma += got
+            levels.append((a, b))
+        delta = np.zeros(n)
+        for a, b in reversed(levels):
+            delta += sigma * np.bincount(a, (1 + delta[b]) / sigma[b], n)
+        delta[s] = 0
+        score += delta
+    return score
+
+
+def _brandes_by_joins(pairs: DataFrame, nodes: DataFrame, n: int, states: int) -> DataFrame:
+    """(id, score) by a join a level, for blocks of sources of about ``states`` (source, node) rows."""
+    both = durable(pairs.select(F.col("u").alias("id"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("id"), F.col("u").alias("other"))))
+    blocks, out = max(1, -(-n * n // states)), None
+    for k in range(blocks):
+        mine = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        levels = [durable(mine.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))]
+        while True:
+            ahead = levels[-1].join(both, "id").groupBy("s", F.col("other").alias("id")).agg(F.sum("sigma").alias("sigma"))
+            for known in levels[-2:]:  # a neighbour is at most one level away
+                ahead = ahead.join(known.select("s", "id"), ["s", "id"], "left_anti")
+            if (ahead := durable(ahead)).isEmpty():
+                break
+            levels.append(ahead)
+        below = levels[-1].withColumn("delta", F.lit(0.0))
+        for level in levels[-2::-1]:
+            part = below.filter("delta > 0").groupBy("id").agg(F.sum("delta").alias("score"))
+            out = part if out is None else out.unionByName(part)
+            share = below.join(both, "id").groupBy("s", F.col("other").alias("id")).agg(F.sum((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+            below = durable(level.join(share, ["s", "id"], "left").select("s", "id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")))
+    return nodes.select("id", F.lit(0.0).alias("score")).limit(0) if out is None else out
+
 
+def betweenness(edges: DataFrame, local_links: int = BROADCAST_LINKS, states: int = 1 << 28) -> DataFrame:
+    """(id, score) of every node: shortest-path betweenness, undirected, over ordered pairs by (n - 1)(n - 2) / 2.
+
+    The links are counted first. Up to ``local_links`` the sources are spread over tasks that each hold the
+    adjacency; beyond it every level of the searches is a join, with the same scores.
+    """
+    spark = edges.sparkSession
+    links = durable(edges.filter("source is not null and target is not null").select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).distinct())
+    nodes = durable(links.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    pairs, n = links.filter("u <> v"), nodes.count()
+    if pairs.count() > local_links:
+        parts = _brandes_by_joins(pairs, nodes, n, states)
+    else:
+        table = pairs.toArrow()
+        coded = pa.concat_arrays([x for c in ("u", "v") for x in table[c].chunks] or [pa.array([], pa.string())]).dictionary_encode()
+        code, m = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        u, v = np.split(code, 2)
+        here, there = np.concatenate([u, v]), np.concatenate([v, u])
+        near = there[np.argsort(here, kind="stable")]
+        sent = spark.sparkContext.broadcast((coded.dictionary.to_pylist(), np.concatenate([[0], np.cumsum(np.bincount(here, minlength=m))]), near))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, start, near = sent.value
+            score = _brandes(start, near, (s for df in batches for s in df.s))
+            yield pd.DataFrame({"id": [ids[k] for k in np.flatnonzero(score)], "score": score[score != 0]})
+
+        parts = spark.range(0, m, 1, max(1, min(64, m // 64))).withColumnRenamed("id", "s").mapInPandas(run, "id string, score double")
     scale = max((n - 1) * (n - 2) / 2, 1)
-    parts = spark.range(n).withColumnRenamed("id", "s").repartition(max(1, min(64, n // 64)), "s").mapInPandas(run, "k bigint, score double")
-    named = spark.createDataFrame(list(enumerate(ids)), "k bigint, id string")
-    return parts.groupBy("k").agg((F.sum("score") / scale).alias("score")).join(F.broadcast(named), "k").select("id", "score")
+    return nodes.join(parts.groupBy("id").agg(F.sum("score").alias("score")), "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) / scale).alias("score"))
 
 
 def dominators(edges: DataFrame, root: str, hop_limit: int = 2_000_000) -> DataFrame:

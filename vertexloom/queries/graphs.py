@@ -198,7 +198,7 @@ register(None, name="next_files")(lambda g: X.next_files(X.verification_plan(g,
 
 # --- communities, centrality, vectors ------------------------------------------------------------
 register(None, name="communities")(lambda g: C.communities(g.nodes, g.edges))
-register(None, name="betweenness")(lambda g: C.betweenness(g.edges, 300))
+register(None, name="betweenness")(lambda g: C.betweenness(g.edges))
 register(None, name="dominators")(lambda g: C.dominators(g.edges, "region_0"))
 register(None, name="random_walks")(lambda g: C.random_walks(g.edges, 2, 4))
 register(None, name="node_vectors")(lambda g: C.node_vectors(g.edges, 8, 2, 4, 2))
