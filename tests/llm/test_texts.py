@@ -163,3 +163,47 @@ def test_residue(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, path string, text string")
     assert {r["doc_id"] for r in R.residue(df).collect()} == {1, 3, 5, 7, 12}
     assert R.residue(df.limit(0)).count() == 0
+
+
+def test_near_windows_as_by_brute_force(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from vertexloom.llm import leaks as L
+
+    rng = random.Random(5)
+    items = [(k, [f"w{rng.randrange(60)}" for _ in range(30)]) for k in range(6)]
+    items[1][1][:12] = items[0][1][:12]  # shingles of two items
+    items.append((6, ["zero"] * 18))
+    docs = []
+    for k in range(24):
+        at, size = rng.randrange(15), rng.choice([15, 16, 20, 29])
+        part = items[k % 6][1][at : at + size]
+        if k % 3:
+            part[rng.choice([0, 1, -1, -1, 7])] = rng.choice(["foreign", "w1"])
+        docs.append((k, [f"w{rng.randrange(90)}" for _ in range(rng.randrange(20))] + part + [f"v{j}" for j in range(k % 4)]))
+    docs.append((24, ["zero"] * 40))
+    grams = lambda ws, i: frozenset(tuple(ws[j : j + 5]) for j in range(i, i + 11))
+    holders = {}
+    for k, ws in items:
+        for i in range(len(ws) - 14):
+            for g in grams(ws, i):
+                holders.setdefault(g, set()).add(k)
+    weight = lambda s: sum(1 / len(holders.get(g, "1")) for g in s)
+    want = {}
+    for k, ws in items:
+        for d, text in docs:
+            pairs = [(i, j) for i in range(len(ws) - 14) for j in range(len(text) - 14)]
+            score = max((weight(a & b) / weight(a | b) for a, b in ((grams(ws, i), grams(text, j)) for i, j in pairs)), default=0)
+            if score >= 0.8 - 1e-9:
+                run = max((n for i, j in pairs if (n := next((n for n in range(len(ws)) if ws[i : i + n + 1] != text[j : j + n + 1] or i + n >= len(ws)), len(ws))) >= 15), default=0)
+                want[k, d] = (run, round(score, 6))
+    tables = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(ws)) for k, ws in items], "item_id long, text string")
+    got = {(r.item_id, r.doc_id): (r.longest_run, r.similarity) for r in L.leaks(*tables, 0).collect()}
+    assert got == want and any(run == 0 for run, _ in want.values())
+    index = L.ItemIndex([(k, " ".join(ws)) for k, ws in items])
+    index.invert()
+    monkeypatch.setattr(L, "ENTRIES", 40)  # many parts, the same result
+    code = np.array([index.vocabulary["zero"]] * 40)
+    assert index.near(code) == {6: [18, 1.0]}

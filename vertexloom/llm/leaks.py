@@ -7,6 +7,10 @@ blocks of 16 bits: fingerprints within the radius agree in at least one block, s
 misses none. Candidates are verified by the weighted similarity of their shingles, and the shared run
 is then measured word by word.
 
+That serves runs. Merely similar windows (``min_run`` 0) differ by more bits than the radius, so they
+are found without fingerprints: document windows at every word, against every item window that shares
+a shingle with them. Their ``longest_run`` is 0 where no whole window is the same.
+
 Defined results: words are the maximal runs of ASCII letters and digits after lower-casing; NULL and
 empty texts share nothing; repeated rows give the same pair once; items shorter than a window or
 documents shorter than the run give no pair.
@@ -24,6 +28,8 @@ from pyspark.sql import DataFrame
 
 WINDOW, SHINGLE, RADIUS, BLOCKS = 15, 5, 3, 4
 SIMILARITY = 0.8
+#: So many (document window, item window) entries are compared at once.
+ENTRIES = 1 << 20
 #: So many items are matched at once; more items take further passes over the documents.
 ITEMS_A_PASS = 5000
 _WORD = re.compile("[a-z0-9]+")
@@ -60,6 +66,16 @@ def _simhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(rows: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places of each value in sorted rows; row and number of those that are known."""
+    first = np.ones(rows.shape, dtype=bool)
+    first[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    row, value = np.nonzero(first)[0], rows[first]
+    at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+    there = known[at] == value
+    return first, row[there], at[there]
+
+
 class ItemIndex:
     """Windows of the items, by each 16-bit block of their fingerprints."""
 
@@ -70,6 +86,7 @@ class ItemIndex:
         where = [(n, k) for n, (_, c) in enumerate(self.items) for k in range(len(c) - WINDOW + 1)]
         self.where = np.array(where, dtype=np.int64).reshape(-1, 2)
         rows = np.array([self.items[n][1][k : k + WINDOW] for n, k in where], dtype=np.int64).reshape(-1, WINDOW)
+        self.words = rows
         self.shingles = np.sort(_shingles(rows), axis=1)
         self.prints = _simhash(_shingles(rows))
         self.blocks = []
@@ -83,6 +100,63 @@ class ItemIndex:
         known, count = np.unique(pairs[0], return_counts=True)
         self.known, self.weight = known, 1.0 / count
 
+    def invert(self) -> None:
+        """Item windows by shingle, and the weight of each window."""
+        row, known = _distinct(self.shingles, self.known)[1:]
+        order = np.argsort(known, kind="stable")
+        self.held, self.start = row[order], np.searchsorted(known[order], np.arange(len(self.known) + 1))
+        self.total = np.bincount(row, self.weight[known], len(self.where))
+
+    def similar(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document window, item window, similarity) of all pairs that reach it, by rising document window."""
+        every, per = _shingles(code), WINDOW - SHINGLE + 1
+        at = np.minimum(np.searchsorted(self.known, every), len(self.known) - 1)
+        held = np.concatenate([[0], np.cumsum(self.known[at] == every)])
+        # A shingle of no item weighs 1 and none weighs more, so known ones must outnumber it.
+        maybe = np.flatnonzero(held[per:] - held[:-per] >= int(SIMILARITY / (1 - SIMILARITY)))
+        for lo in range(0, len(maybe), 1 << 15):
+            q = maybe[lo : lo + (1 << 15)]
+            rows = np.sort(np.lib.stride_tricks.sliding_window_view(every, per)[q], axis=1)
+            first, row, known = _distinct(rows, self.known)
+            own = (self.weights(rows) * first).sum(axis=1)
+            keep = np.bincount(row, self.weight[known], len(q)) >= (SIMILARITY - 1e-9) * own
+            row, known = row[keep[row]], known[keep[row]]
+            n = self.start[known + 1] - self.start[known]
+            cut = np.cumsum(np.bincount(row, n, len(q))).astype(np.int64) // ENTRIES  # rises with the row
+            for part in np.unique(cut[row]):
+                r, k, m = (x[cut[row] == part] for x in (row, known, n))
+                w = self.held[np.repeat(self.start[k] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                pairs, where = np.unique(np.repeat(r, m) * len(self.where) + w, return_inverse=True)
+                shared = np.bincount(where, np.repeat(self.weight[k], m))
+                r, w = pairs // len(self.where), pairs % len(self.where)
+                score = shared / (own[r] + self.total[w] - shared)
+                good = score >= SIMILARITY - 1e-9
+                yield q[r[good]], w[good], score[good]
+
+    def near(self, code: np.ndarray) -> dict[int, list]:
+        """item: [longest run of at least a window, best similarity] of a document's words."""
+        owner, rows = self.where[:, 0], np.lib.stride_tricks.sliding_window_view(code, WINDOW)
+        best, runs = np.zeros(len(self.items)), np.zeros(len(self.items), dtype=np.int64)
+        last, carry = -2, np.zeros(len(owner), dtype=np.int64)  # runs that end at the last window of the part before
+        for q, w, score in self.similar(code):
+            np.maximum.at(best, owner[w], score)
+            same = (rows[q] == self.words[w]).all(axis=1)
+            q, w = q[same], w[same]
+            if not len(q):
+                continue
+            order = np.lexsort((q, w - q))
+            q, w = q[order], w[order]
+            new = np.ones(len(q), dtype=bool)
+            new[1:] = (np.diff(q) != 1) | (np.diff(w) != 1) | (np.diff(owner[w]) != 0)
+            begin = np.flatnonzero(new)
+            before = np.where((q[begin] == last + 1) & (w[begin] > 0) & (owner[w[begin] - 1] == owner[w[begin]]), carry[w[begin] - 1], 0)
+            chain = np.cumsum(new) - 1
+            length = np.arange(len(q)) - begin[chain] + 1 + before[chain]
+            np.maximum.at(runs, owner[w], length + WINDOW - 1)
+            last, carry = q.max(), np.zeros(len(owner), dtype=np.int64)
+            carry[w[q == last]] = length[q == last]
+        return {int(n): [int(runs[n]), float(best[n])] for n in np.flatnonzero(best)}
+
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query row, item window) pairs within the radius, each once."""
         found = []
@@ -114,6 +188,8 @@ class ItemIndex:
 
 def _matches(index: ItemIndex, batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
     get = index.vocabulary.get
+    if not min_run and len(index.where):
+        index.invert()
     for batch in batches:
         out = set()
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -121,6 +197,9 @@ def _matches(index: ItemIndex, batches: Iterator[pa.RecordBatch], min_run: int)
             if len(ws) < WINDOW or not len(index.where):
                 continue
             code = np.fromiter(map(get, ws, repeat(0)), dtype=np.int64, count=len(ws))
+            if not min_run:
+                out.update((index.items[n][0], doc, run, round(score, 6)) for n, (run, score) in index.near(code).items())
+                continue
             rows = code[: len(code) // WINDOW * WINDOW].reshape(-1, WINDOW)
             # A window with two foreign words lacks two of its eleven shingles or more: below the similarity.
             hot = np.flatnonzero((rows == 0).sum(axis=1) <= 1)
@@ -156,7 +235,7 @@ def _matches(index: ItemIndex, batches: Iterator[pa.RecordBatch], min_run: int)
 def leaks(documents: DataFrame, items: DataFrame, min_run: int = 30) -> DataFrame:
     """(item_id, doc_id, longest_run, similarity) of documents with a window of an item.
 
-    ``min_run`` keeps pairs that share so many consecutive words; 0 keeps every similar window.
+    ``min_run`` keeps pairs that share so many consecutive words; 0 keeps every pair with similar windows.
     The items are a stated query set: they are matched in passes of at most ``ITEMS_A_PASS``.
     """
     if min_run and min_run < 2 * WINDOW - 1:
