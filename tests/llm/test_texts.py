@@ -29,6 +29,14 @@ def test_own_evidence(path, text, kind):
     assert H.own_evidence(path, text) == kind
 
 
+@pytest.mark.parametrize("mark, kind", [("Code generated by tool. DO NOT EDIT.", "generated"), ("upstream: lib/1.0.0/main.go", "vendored"), ("Version 2.0", None), ("plain", None)])
+def test_marks_below_a_long_licence_block(mark, kind):
+    licence = [f"Permission number {k} is granted to every person who obtains this file and its documentation, as long as they keep this notice." for k in range(40)]
+    for text in ("\n".join(f"// {x}" for x in [*licence, mark]), "/*\n" + "\n".join([*licence, mark]) + "\n*/", "/*\n" + "\n".join(licence) + "\n*/\n\n// " + mark):
+        assert H.own_evidence("a/x.go", text + "\n" + HAND) == kind
+    assert H.own_evidence("a/x.go", HAND * 3 + "\n" + "\n".join(f"// {x}" for x in [mark, *licence])) == (kind if kind == "generated" else None)
+
+
 def test_attribute_files_and_copies(spark):
     lib = "\n".join(f"def lib_function_{w}(first, second):\n    return first.{w} + second.{w} * {n}" for n, w in enumerate("ape bee cat dog eel fox gnu hen ibis jay kiwi lynx mole newt owl pig".split()))
     docs = [

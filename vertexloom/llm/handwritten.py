@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 import xxhash
@@ -44,6 +45,9 @@ _LOCK = re.compile(
 #: Names that generators give their output; hand-written files bear them too, so they prove nothing alone.
 _TOOL_NAME = re.compile(r"(?:_pb2?|_gen|[._]generated|\.g|\.gen|\.pb|\.designer)\.[a-z]+$")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')")
+_LEAD = re.compile(r"^\s*(?://|#|--|;|(/\*|<!--))")
+#: What a licence says of itself, not the name of a library.
+_LICENCE = re.compile(r"(?i)^\W*(?:version|licen[cs]e|revision|release|since|apache|mpl|bsd|[al]?gpl)\b[ @]")
 _COUNTED = re.compile(r"(?<![\w.])(?!(?:[uif]|u?int|float|utf_?|sha_?|md|base|b)\d+\b)[A-Za-z_]\w*?(\d+)\b")
 _LITERAL = re.compile(r"""0[xX][0-9a-fA-F]+|[-+]?\d[\d_.eE+-]*|"[^"\n]*"|'[^'\n]*'|[\s,]+|[A-Za-z0-9+/=]{60,}""")
 _FRAME = re.compile(r"(?m)^\s*(?:package \w+|//.*|#.*|/\*.*|import .*|from .*|use .*|using .*)$")
@@ -104,6 +108,22 @@ def is_counted(text: str, least: int = 3) -> bool:
     return longest >= 0.3 * len(hits) and covered >= 0.6 and len(shapes) <= 6
 
 
+def leading_comments(lines: list[str]) -> Iterator[str]:
+    """The comment lines before the first other line, with the inside of block comments."""
+    end = None
+    for line in lines:
+        rest = line
+        if end is None:
+            m = _LEAD.match(line)
+            if not m and line.strip():
+                return
+            if m and m[1]:
+                end, rest = "*/" if m[1] == "/*" else "-->", line[m.end() :]
+        yield line
+        if end and end in rest:
+            end = None
+
+
 def own_evidence(path: str, text: str) -> str | None:
     """What the file itself shows: generated, minified, data or vendored (by notice)."""
     if _LOCK.search(path):
@@ -111,18 +131,20 @@ def own_evidence(path: str, text: str) -> str | None:
     ext = _CODE.search(path)
     if not text:
         return None
-    head = text[:3000].split("\n", 12)[:12]
-    for line in [*head, *text[-600:].rstrip().split("\n")[-3:]]:
-        if _COMMENT.match(line) and _GENERATED.search(line):
-            return "generated"
+    lines = text.split("\n")
+    lead = list(leading_comments(lines))
+    tail = list(takewhile(lambda x: _COMMENT.match(x) or not x.strip(), reversed(lines)))
+    near = [x for x in [*lines[:12], *text.rstrip().rsplit("\n", 3)[-3:]] if _COMMENT.match(x)]
+    if any(map(_GENERATED.search, [*lead, *near, *tail])):
+        return "generated"
     if not ext:
         return None
     if is_minified(text, ext[1]):
         return "minified"
     if is_data(text):
         return "data"
-    for line in head[:4]:
-        if _COMMENT.match(line) and _NOTICE.search(line.strip()):
+    for line in [*(x for x in lines[:4] if _COMMENT.match(x)), *(x for x in lead[4:] if not _LICENCE.match(x))]:
+        if _NOTICE.search(line.strip()):
             return "vendored"
     if is_counted(text, 2 if _TOOL_NAME.search(path) else 3):
         return "counted"
