@@ -49,6 +49,13 @@ def test_attribute_files_and_copies(spark):
     assert H.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_small_copies_are_found_by_all_lines(spark):
+    libs = {k: "\n".join(f"def {k}_by_{w}(first, second): return first.{w} + second" for w in "ape bee cat dog".split()) for k in "elm fir oak yew ash fig".split()}
+    docs = [(n, "r1", f"a{k}/lib.py", f"# upstream: {k}/1.0.0/main.py\n" + x) for n, (k, x) in enumerate(libs.items())] + [(10 + n, "r2", f"b{k}/mine.py", x + "\nprint('patched')\n") for n, (k, x) in enumerate(libs.items())]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, path string, text string")
+    assert {r["doc_id"] for r in H.not_handwritten(df).collect()} == {d[0] for d in docs}
+
+
 # --- syntax --------------------------------------------------------------------------------------
 VALID = {
     "py": "def f(a, *b, c=1):\n    return [x for x in a if x]\n", "json": '{"a": [1, 2.5e3, {"b": null}], "c": "x\\n"}', "yaml": "a: 1\nb:\n  - x\n  - y: 'z'\nc: |\n  any [text\nd: \"q\"\n",

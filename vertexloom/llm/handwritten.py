@@ -199,12 +199,8 @@ def glob_regex(pattern: str, folder: str) -> str:
     return f"^{base}{'' if anchored else '(?:.*/)?'}{out}$"
 
 
-#: One of so many lines, chosen by its hash, stands for a file's lines.
-LINE_SAMPLE = 4
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, source, path, own, patterns, lines: sampled line hashes of code, rules)."""
+    """(doc_id, source, path, own, patterns, lines: line hashes of code, rules)."""
     rule = pa.struct([("n", pa.int32()), ("regex", pa.string()), ("attribute", pa.string()), ("value", pa.bool_())])
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(rule)]
     hashed = xxhash.xxh3_64_intdigest
@@ -217,8 +213,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rules = [dict(zip(("n", "regex", "attribute", "value"), r)) for r in attribute_rules(text, path.rpartition("/")[0])]
             own = own_evidence(path, text)
             if _CODE.search(path) and own not in ("minified", "data"):
-                codes = {hashed(x) for x in map(str.strip, text.split("\n")) if len(x) > 20 and not _COMMENT.match(x)}
-                lines = [h - (1 << 63) for h in codes if h % LINE_SAMPLE == 0]
+                lines = [h - (1 << 63) for h in {hashed(x) for x in map(str.strip, text.split("\n")) if len(x) > 20 and not _COMMENT.match(x)}]
             for c, x in zip(out, (doc, source, path, own, path_patterns(path), lines, rules)):
                 c.append(x)
         if out[0]:
@@ -241,7 +236,7 @@ def not_handwritten(documents: DataFrame, precision: float = 0.95, support: int
 
     A path pattern is mined when at least ``support`` files of three repositories fall under it and at
     least ``precision`` of them carry evidence of one kind. A file is a copy when at least ``copied`` of
-    its sampled lines, and at least ``min_lines``, occur in files with a library's notice.
+    its lines, and at least ``min_lines``, occur in files with a library's notice.
     """
     schema = "doc_id bigint, source string, path string, own string, patterns array<string>, lines array<bigint>, rules array<struct<n:int,regex:string,attribute:string,value:boolean>>"
     files = durable(documents.select("doc_id", "source", "path", "text").mapInArrow(_scan, schema))
