@@ -69,26 +69,25 @@ VALID = {
 
 @pytest.mark.parametrize("lang", VALID)
 def test_valid_files_cost_nothing(lang):
-    assert Y.faults(lang, VALID[lang]) == []
+    assert Y.repair(lang, VALID[lang]) == (0, 0)
 
 
 @pytest.mark.parametrize("lang", [x for x in VALID if x != "yaml"])
 def test_faults_are_found(lang):
     text = VALID[lang]
     cut = "def f(a, *b" if lang == "py" else text[: int(len(text) * 0.6)]
-    assert Y.faults(lang, cut)
-    assert Y.faults(lang, text + "\n<<<<<<< HEAD\n")
-    assert Y.faults(lang, "Lazy metrics are rare and this is prose, not code. It's nothing else.\n")
+    assert Y.repair(lang, cut)[0]
+    assert Y.repair(lang, text + "\n<<<<<<< HEAD\n")[0]
+    assert Y.repair(lang, "Lazy metrics are rare and this is prose, not code. It's nothing else.\n")
 
 
 def test_kinds_and_costs(spark):
     rs = VALID["rs"]
+    kind = lambda lang, text: Y.fault_kind(lang, text, *Y.repair(lang, text))
     merged = rs.replace("Ok(x + 1)", "<<<<<<< ours\nOk(x)\n=======\nOk(x + 1)\n>>>>>>> theirs")
-    assert Y.fault_kind("rs", merged, Y.faults("rs", merged)) == "conflict"
-    assert Y.fault_kind("go", rs, Y.faults("go", rs)) == "mismatch"
-    short = VALID["cs"].rstrip("}\n ")
-    assert Y.fault_kind("cs", short, Y.faults("cs", short)) == "truncation"
-    assert Y.repair_cost("js", Y.faults("js", "let a = b c;\n")) == 1
+    assert kind("rs", merged) == "conflict"
+    assert kind("go", rs) == "mismatch"
+    assert kind("cs", VALID["cs"].rstrip("}\n ")) == "truncation"
     docs = [(1, "r", "a.py", "x = (\n"), (2, "r", "b.py", ""), (3, "r", "c.json", ""), (4, "r", "d.md", "x = ("), (5, None, None, None), (6, "r", "e.yaml", None), (7, "r", "f.py", "x = 1")]
     df = spark.createDataFrame(docs, "doc_id bigint, source string, path string, text string")
     assert {r["doc_id"] for r in Y.check_syntax(df).filter("cost > 0").collect()} == {1, 3}
@@ -96,9 +95,39 @@ def test_kinds_and_costs(spark):
     assert Y.check_syntax(df.limit(0)).count() == 0
 
 
-def test_edit_costs():
-    e = Y.Edits("(?:ab)*c?")
-    assert [e.cost(x) for x in ("abab", "ababc", "aab", "b", "", "zz")] == [0, 0, 1, 1, 0, 2]
+@pytest.mark.parametrize(
+    "lang, text, cost",
+    [
+        ("js", "let a = b c;\n", 1), ("js", "if (a) else b;", 1), ("js", "const a;", 1), ("js", "return 1;", 1), ("json", '{"a": 1,}', 1), ("json", "[1 2 3 4]", 2), ("yaml", "a: 1\n  b: 2\n", 1), ("yaml", "a: 1\n- b\n", 1), ("py", "if x\n    y()\n", 1), ("py", "f(a b, c d)\n", 2),
+        ("py", "f() = 1\n", 1), ("rs", "fn main() { let x = 1;", 1), ("json", "[" + "1 2, " * 300 + "3]", 300), ("py", "x = [\n" + "1 2,\n" * 90 + "]\n", 90), ("py", "else:\n    x()\n", 1),
+    ],
+)
+def test_costs_without_bound(lang, text, cost):
+    assert Y.repair(lang, text)[0] == cost
+
+
+def test_edit_costs_as_by_brute_force():
+    import itertools
+    import random
+
+    from vertexloom.llm.repair import Automaton
+
+    rng = random.Random(3)
+    for pattern in ("(?:ab)*c?", "a(?:b|cc)+a|c{2,3}", "[ab]*?c[^a]?", "(?:a(?:b,)*;)*"):
+        words = ["".join(w) for n in range(7) for w in itertools.product("abc,;", repeat=n) if re.fullmatch(pattern, "".join(w))]
+        for _ in range(25):
+            s = "".join(rng.choice("abc,;") for _ in range(rng.randrange(5)))
+            assert Automaton(pattern).cost(s) == min(_distance(s, w) for w in words), (pattern, s)
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
 
 
 # --- secrets -------------------------------------------------------------------------------------
@@ -176,7 +205,13 @@ def test_residue(spark):
         (7, "d.json", '{"name": "__MODULE_NAME__", "author": "[INSERT AUTHOR HERE]"}'), (8, "d.yaml", 'token: "${VAULT_REF}"\nrun: "${{ matrix.name }}"\n'), (9, "e.md", "Names in double braces such as `{{name}}` are filled by the template engine.\n"), (10, "f.txt", None), (11, "g.txt", ""), (12, None, "TBD TBD TBD. TBD TBD TBD."),
     ]
     df = spark.createDataFrame(docs, "doc_id bigint, path string, text string")
-    assert {r["doc_id"] for r in R.residue(df).collect()} == {1, 3, 5, 7, 12}
+    more = [
+        (20, "p.html", "502 Bad Gateway\nnginx"), (21, "q.html", "Your session has expired. Please log in again."), (22, "r.html", "Whitelabel Error Page\nThis application has no explicit mapping for /error, so you are seeing this as a fallback."),
+        (23, "s.html", "Application error: a client-side exception has occurred (see the browser console for more information)."), (24, "t.html", "Diese Domain ist geparkt."), (25, "u.html", " ".join(["Sorry, the page you requested was not found on this server."] * 30)),
+        (26, "v.txt", "In code review we found that the page cache was not flushed, so that old entries were served for an hour. " * 3), (27, "w.erb", "Orders of <%= name %> stay in valves\n<% if a %> and buckets drain\n<% end %>\n"), (28, "x.txt", "\n".join(["<%= app_name %> is here"] * 12)),
+    ]
+    df = df.unionByName(spark.createDataFrame(more, "doc_id bigint, path string, text string")).withColumn("kind", F.lit("clash"))
+    assert {r["doc_id"] for r in R.residue(df).collect()} == {1, 3, 5, 7, 12, 20, 21, 22, 23, 24, 25, 28}
     assert R.residue(df.limit(0)).count() == 0
 
 

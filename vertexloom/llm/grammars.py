@@ -61,7 +61,7 @@ _JS_TOKEN = (
     + r"|>>>=|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|\.\.\.|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|\*\*|[\s\S]"
 )
 _JS_WORDS = (
-    _words(K="if while switch catch for with", e="else do try finally", R="return throw", D="const let var", F="function", C="class", X="extends", u="typeof void delete await new yield", b="in instanceof of", J="import", Y="export", f="from", A="as", k="case", d="default", Z="break continue", a="async static get set")
+    _words(K="if while switch catch for with", e="do try finally", E="else", R="return", T="throw", G="const", D="let var", F="function", C="class", X="extends", u="typeof void delete await new yield", b="in instanceof of", J="import", Y="export", f="from", A="as", k="case", d="default", Z="break continue", a="async static get set")
     | _signs("+~m -~m *~* ++~p --~p =~= +=~= -=~= *=~= /=~= %=~= &=~= |=~= ^=~= **=~= <<=~= >>=~= >>>=~= &&=~= ||=~= ??=~= ==~o ===~o !=~o !==~o <=~o >=~o &&~o ||~o ??~o /~o %~o &~o |~o ^~o **~o <~< >~> =>~w ?~q :~c ?.~$ ...~x !~u ~~u @~@")
     | _BRACKETS
 )
@@ -73,27 +73,27 @@ def _javascript(ts: bool) -> Grammar:
         words |= _words(C="class interface enum namespace", X="extends implements", a="async static get set public private protected readonly abstract declare override type keyof", A="as satisfies is")
     ty = "(?:[insuabtFLPOMDCA.o<>wq]|x)+?" if ts else "(?!)"
     ann = f"(?:q?c{ty})?" if ts else ""
-    w = "[iKeRDFCXubJYfAkdZa]"
+    w = "[iKeERTGDFCXubJYfAkdZa]"
     name = "[iafAb]"
     heads = f"(?:a?(?:P{ann}|i)w)"
     prim = f"(?:[nsiaPLOMfA]|a?F\\*?i?P{ann}[BM]|C{name}?(?:X{name}(?:\\.i)*P?(?:,i)*)*[BM]|JP?)"
     post = f"(?:\\.{w}|\\$[iPL]|[PLsp]{'|u(?=[.;,)PL=]|$)' if ts else ''})"
-    cast = f"(?:A(?:D|{ty}))?" if ts else ""
+    cast = f"(?:A(?:G|{ty}))?" if ts else ""
     one = f"(?:(?:[mp]|u\\*?)*+(?:{heads}+[BM]|(?:{heads}+[um]*+)?{prim}{post}*{cast}))"
     e = f"(?:{one}(?:[om*<>=bqc]{one})*)"
     es = f"(?:{e}(?:,{e})*)"
     target = "(?:[iafA]|[OML])"
-    decl = f"(?:D{target}{'u?' if ts else ''}{ann}(?:={e})?(?:,{target}{ann}(?:={e})?)*)"
+    decl = f"(?:D{target}{'u?' if ts else ''}{ann}(?:={e})?(?:,{target}{ann}(?:={e})?)*|G{target}{ann}={e}(?:,{target}{ann}={e})*{f'|aG{target}{ann}' if ts else ''})"
     func = f"(?:a?F\\*?{name}P{ann}[BM])"
     cls = f"(?:(?:@i(?:\\.i)*P?)*a*C{name}(?:X{name}(?:\\.i)*P?(?:,i(?:\\.i)*)*)*[BOM])"
     member = f"(?:(?:@i(?:\\.i)*P?)*[a*]*(?:{w}|[snL])(?:P{ann}[BM]|[uq]?{ann}(?:={e})?))"
     imports = f"(?:Ja?(?:(?:{name}|\\*A{name}|[OM])(?:,(?:{name}|\\*A{name}|[OM]))*f)?s|Y(?:\\*(?:A{w})?fs|a?[OM](?:fs)?|d{e}))"
-    enum = f"(?:Y?D?a*Ci[OM]|Y?ai={ty})" if ts else "(?!)"
-    ctl = "(?:K[P]|Ku[P]|e|ic)*"
-    end = f"(?:{es}|{decl}|Y{decl}|R{es}?|Zi?|{imports}|{member})"
-    stmt = f"(?:(?:k{e}c|dc)*{ctl}(?:;|[BM];?|e[BM];?|Yd?{func};?|{func};?|(?:Yd?)?{cls}|{enum};?|{member}|{end};)|(?:k{e}|d)c|(?:{ctl})e[BM]KP;)"
+    enum = f"(?:Y?[DG]?a*Ci[OM]|Y?ai={ty})" if ts else "(?!)"
+    ctl = "(?:KP(?!E)|KuP(?!E)|[eE]|ic)*"
+    end = f"(?:{es}|{decl}|Y{decl}|R{es}?|T{es}|Zi?|{imports}|{member})"
+    stmt = f"(?:(?:k{e}c|dc)*{ctl}(?:;|K?[BM];?|[eE][BM];?|Yd?{func};?|{func};?|(?:Yd?)?{cls}|{enum};?|{member}|{end};)|(?:k{e}|d)c|(?:{ctl})e[BM]KP;)"
     param = f"(?:(?:@iP?)*a*x?{target}{ann}(?:={e})?)"
-    loop = f"(?:(?:{decl}|{es})?;{es}?;{es}?|{decl}|(?:D?{target})b{e})"
+    loop = f"(?:(?:{decl}|{es})?;{es}?;{es}?|{decl}|(?:[DG]?{target})b{e})"
     prop = f"(?:(?:{w}|[snL])c{e}|{name}(?:={e})?|[a*]*(?:{w}|[snL])P{ann}[BM]|x{e})"
     spec = f"(?:a?{w}(?:A{w})?)"
     fields = f"(?:(?:{prop}(?:,{prop})*,?)?|{spec}(?:,{spec})*,?" + (f"|(?:a*(?:{w}|[sL])q?P?q?c{ty}[;,]?|a*(?:{w})P{ann}[;,]?)*" if ts else "") + ")"

@@ -1,11 +1,15 @@
-"""Source files that do not parse (error-correcting parsing of bracket groups, bottom up).
+"""Source files that do not parse (error-correcting chart parsing, bottom up).
 
-A file is parsed by the language its path claims. Tokens become terminals; bracket groups are
-completed innermost first, and every distinct group or statement is derived once and looked up
-afterwards, as a chart keeps completed constituents. A file whose terminals derive without an edit has
-cost 0 and is valid. For the others the least number of inserted, deleted or replaced terminals is
-found per underivable constituent, and where these edits lie tells truncation, merge conflict, foreign
-language and other faults apart. Python derives by the interpreter's own memoising grammar.
+A file is parsed by the language its path claims. Tokens become terminals; bracket groups, for Python
+and YAML also indented blocks, are completed innermost first. Every distinct constituent is derived
+once and looked up afterwards. Its cost is the least number of terminals to insert, delete or replace
+before one of its right sides derives it (``repair.Automaton``, exact at any size and cost); brackets
+without a partner cost one edit each. The cost of a file is the sum over its constituents, so it is
+least among the repairs that keep its bracket structure. A file of cost 0 is valid. Where the edits
+lie tells truncation, merge conflict, mismatch (another language or prose) and other faults apart.
+
+The grammars of the languages accept a superset. For Python the interpreter's own parser then checks
+each file, and has the last word. A YAML terminal is a line.
 
 Defined results: NULL text counts as empty; an empty code or YAML file is valid, an empty JSON file is
 not; other endings are never flagged; repeated rows are judged alike.
@@ -15,8 +19,6 @@ from __future__ import annotations
 
 import ast
 import re
-import re._constants as sre
-import re._parser as sre_parser
 import warnings
 from collections.abc import Iterator
 
@@ -25,24 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.grammars import GRAMMARS
+from vertexloom.llm.layout import PythonParser, YamlParser
+from vertexloom.llm.repair import Chart, balanced
 
 #: Equal neighbours in a list of literals are one: they derive alike.
 _LISTED = re.compile(r"((?<![^,])m?[ns],)(?:m?[ns],)+")
-_ASI = re.compile(r"([insPLBOMpRZ)\]}])\n+(?=[insKReDFCJYuZkad({\[]|$)")
+_ASI = re.compile(r"([insPLBOMpRZ)\]}])\n+(?=[insKReETGDFCJYuZkad({\[]|$)")
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 
 
-class Parser:
-    """Zero-cost recogniser of one language; ``faults`` counts what would need repair."""
+_RETURN = re.compile("(?:Ku?P|[eE]|ic)*R")
+
+
+class Parser(Chart):
+    """A language whose blocks are bracket groups."""
 
     def __init__(self, lang: str):
         self.lang, self.g = lang, GRAMMARS[lang]
-        #: A chart holds at most so many constituents before it is started anew: memory stays bounded.
-        self.limit = 200_000
+        super().__init__({side: getattr(self.g, side) for side in ("stmt", "last", "fields", "paren", "square")})
         self.letter: dict[str, str] = dict(self.g.words)
-        self.group: dict[str, str] = {}
-        self.ok: dict[tuple[str, bool], bool] = {}
-        self.bad: set[str] = set()
+        self.done: dict[tuple[str, bool], int] = {}
 
     def terminals(self, text: str, lines: bool = False) -> str:
         g, letter = self.g, self.letter
@@ -79,339 +83,137 @@ class Parser:
             return "s"
         return "\x01"
 
-    def symbol(self, whole: str) -> str:
+    def group(self, whole: str) -> tuple[str, int]:
         g, inner = self.g, whole[1:-1]
         inner = _LISTED.sub(r"\1", inner)
         for rx, by in g.late:
             inner = rx.sub(by, inner)
         if whole[0] == "{":
-            stmts, fields = self.statements(inner), bool(g.fields_re.fullmatch(inner))
-            if stmts or fields:
-                return "M" if stmts and fields else "B" if stmts else "O"
-            self.bad.add(whole)
-            return "M"
-        rx, letter = (g.paren_re, "P") if whole[0] == "(" else (g.square_re, "L")
-        flat = inner.replace(";", "") if g.newline and not g.paren_re.fullmatch(inner) else inner
-        if not rx.fullmatch(inner) and not rx.fullmatch(flat) or g.ternary and letter == "P" and inner.count("c") > inner.count("q"):
-            self.bad.add(whole)
-        return letter
-
-    def statements(self, inner: str) -> bool:
-        parts = self.g.split(inner)
-        return all(self.statement(x, False) for x in parts[:-2]) and (len(parts) < 2 or self.statement(parts[-2], True))
-
-    def statement(self, s: str, last: bool) -> bool:
+            stmts = self.statements(inner)
+            fields = 0 if g.fields_re.fullmatch(inner) else self.cost("fields", inner) if stmts else 1
+            if not stmts or not fields:
+                return "M" if not stmts and not fields else "O" if stmts else "B", 0
+            return "M", min(stmts, fields)
+        side, letter = ("paren", "P") if whole[0] == "(" else ("square", "L")
+        if g.newline and ";" in inner and self.cost(side, inner):
+            inner = inner.replace(";", "")
+        lost = inner.count("c") - inner.count("q") if g.ternary and letter == "P" else 0
+        return letter, self.cost(side, inner) or max(0, lost)
+
+    def statements(self, inner: str) -> int:
+        parts = self.g.split(inner)[:-1]
+        return sum(self.statement(x, k == len(parts) - 1) for k, x in enumerate(parts))
+
+    def statement(self, s: str, last: bool) -> int:
         key = (s, last)
-        got = self.ok.get(key)
+        got = self.done.get(key)
         if got is None:
             g = self.g
-            got = not s or bool(g.stmt_re.fullmatch(s)) or last and bool(g.last_re.fullmatch(s))
-            if got and g.ternary and s.count("c") > s.count("q") + len(re.findall("^(?:k|dc|ic)", s)):
-                got = False
-            self.ok[key] = got
+            if not s or g.stmt_re.fullmatch(s) or last and g.last_re.fullmatch(s):
+                got = max(0, s.count("c") - s.count("q") - len(re.findall("^(?:k|dc|ic)", s))) if g.ternary else 0
+            else:
+                got = max(1, min(self.edits("stmt", s), self.edits("last", s) if last else len(s)))
+            if len(self.done) > self.limit:
+                self.done.clear()
+            self.done[key] = got
         return got
 
-    def faults(self, text: str) -> list[str]:
-        """What of the text cannot be derived: bracket groups or statements, as terminals."""
-        found = self.derive(text, False)
-        if found and self.lang in ("js", "ts"):
-            found = self.derive(text, True)  # once more, with semicolons inserted at line ends
-        return found
+    def repair(self, text: str) -> tuple[int, int]:
+        """(least cost, edits of it at the very end)."""
+        got = self.derive(text, False)
+        if got[0] and self.lang in ("js", "ts"):
+            got = min(got, self.derive(text, True))  # once more, with semicolons inserted at line ends
+        return got
 
-    def derive(self, text: str, asi: bool) -> list[str]:
+    def derive(self, text: str, asi: bool) -> tuple[int, int]:
         g = self.g
-        if len(self.group) + len(self.ok) > self.limit:
-            self.group, self.ok, self.bad = {}, {}, set()
         s = self.terminals(text, asi)
-        if "\x01" in s:
-            return ["token"]
+        odd = s.count("\x01")
+        if odd:
+            s = s.replace("\x01", "")
         if asi:
             s = _ASI.sub(r"\1;", s).replace("\n", "")
         elif g.newline:
             s = re.sub(rf"(?<=[{re.escape(g.newline)}])\n+", ";", s + "\n").replace("\n", "")
         for rx, by in g.folds:
             s = rx.sub(by, s)
-        n = 1
-        seen: list[str] = []
-
-        def one(m: re.Match) -> str:
-            w = m[0]
-            c = self.group.get(w)
-            if c is None:
-                c = self.group[w] = self.symbol(w)
-            if w in self.bad:
-                seen.append(w)
-            return c
-
-        while n:
-            s, n = _INNER.subn(one, s)
-        if re.search(r"[()\[\]{}]", s):
-            return seen + ["bracket " + "".join(re.findall(r"[()\[\]{}]", s))[:20]]
+        s, edits, at_end = balanced(s)
+        s, cost = self.reduced(s, _INNER)
         for rx, by in g.late:
             s = rx.sub(by, s)
-        parts = g.split(s)
         if self.lang == "json":
-            return seen + ([] if re.fullmatch("[insLO]|M", s) else ["json " + s[:30]])
-        return seen + [x for k, x in enumerate(parts[:-1]) if not self.statement(x, k == len(parts) - 2)]
-
-
-class Edits:
-    """Least number of edits that bring a string into a right side's language (dynamic programming)."""
-
-    def __init__(self, pattern: str):
-        self.free: list[list[int]] = [[]]  # moves without a terminal
-        self.read: list[list[tuple[frozenset | None, int]]] = [[]]
-        self.end = self._build(list(sre_parser.parse(pattern)), 0)
-
-    def _new(self) -> int:
-        self.free.append([])
-        self.read.append([])
-        return len(self.free) - 1
-
-    def _build(self, nodes: list, at: int) -> int:
-        for op, arg in nodes:
-            if op in (sre.LITERAL, sre.IN, sre.ANY, sre.NOT_LITERAL):
-                to = self._new()
-                self.read[at].append((None if op in (sre.ANY, sre.NOT_LITERAL) else frozenset([chr(arg)]) if op is sre.LITERAL else self._set(arg), to))
-                at = to
-            elif op is sre.SUBPATTERN:
-                at = self._build(list(arg[3]), at)
-            elif op is sre.BRANCH:
-                to = self._new()
-                for branch in arg[1]:
-                    self.free[self._build(list(branch), at)].append(to)
-                at = to
-            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
-                low, high, body = arg
-                for _ in range(low):
-                    at = self._build(list(body), at)
-                if high == sre.MAXREPEAT:
-                    loop = self._new()
-                    self.free[at].append(loop)
-                    self.free[self._build(list(body), loop)].append(loop)
-                    at = loop
-                else:
-                    to = self._new()
-                    self.free[at].append(to)
-                    for _ in range(high - low):
-                        at = self._build(list(body), at)
-                        self.free[at].append(to)
-                    at = to
-            elif op is sre.ATOMIC_GROUP:
-                at = self._build(list(arg), at)
-            # assertions only choose between derivations; an edit cost may ignore them
-        return at
-
-    @staticmethod
-    def _set(items: list) -> frozenset | None:
-        out: set[str] = set()
-        for op, arg in items:
-            if op is sre.LITERAL:
-                out.add(chr(arg))
-            elif op is sre.RANGE:
-                out.update(map(chr, range(arg[0], arg[1] + 1)))
-            else:
-                return None
-        return frozenset(out)
-
-    def cost(self, s: str, most: int = 6) -> int:
-        """The least number of edits, or ``most`` + 1 if it takes more."""
-        layer = self._spread({0: 0}, most)
-        for c in s:
-            nxt: dict[int, int] = {}
-            for q, d in layer.items():
-                if d < most:
-                    nxt[q] = min(nxt.get(q, most + 1), d + 1)
-                for chars, to in self.read[q]:
-                    step = d + (chars is not None and c not in chars)
-                    if step < nxt.get(to, most + 1):
-                        nxt[to] = step
-            layer = self._spread(nxt, most)
-        return layer.get(self.end, most + 1)
-
-    def _spread(self, layer: dict[int, int], most: int) -> dict[int, int]:
-        """Close a layer under moves without a terminal (cost 0) and inserted terminals (cost 1)."""
-        buckets: list[list[int]] = [[] for _ in range(most + 2)]
-        for q, d in layer.items():
-            buckets[d].append(q)
-        best = dict(layer)
-        for d, bucket in enumerate(buckets[:-1]):
-            for q in bucket:  # grows while it is read
-                if best[q] < d:
-                    continue
-                for to in self.free[q]:
-                    if d < best.get(to, most + 2):
-                        best[to] = d
-                        bucket.append(to)
-                if d < most:
-                    for _, to in self.read[q]:
-                        if d + 1 < best.get(to, most + 2):
-                            best[to] = d + 1
-                            buckets[d + 1].append(to)
-        return best
+            return odd + edits + cost + (not re.fullmatch("[insLOM]", s)) * max(1, len(s) - 1), at_end
+        # A module's own statements return from nothing.
+        returns = sum(bool(_RETURN.match(x)) for x in g.split(s)) if self.lang in ("js", "ts") else 0
+        return odd + edits + cost + returns + self.statements(s), at_end
 
 
 _MARKER = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?: .*)?\r?$")
 _ENDING = re.compile(r"\.(py|js|ts|rs|go|cs|json|yaml)$")
-_parsers: dict[str, Parser] = {}
-_edits: dict[tuple[str, str], Edits] = {}
+_parsers: dict[str, Parser | PythonParser | YamlParser] = {}
 
 
-def parser(lang: str) -> Parser:
+def parser(lang: str) -> Parser | PythonParser | YamlParser:
     if lang not in _parsers:
-        _parsers[lang] = Parser(lang)
+        _parsers[lang] = PythonParser() if lang == "py" else YamlParser() if lang == "yaml" else Parser(lang)
     return _parsers[lang]
 
 
-_YAML_LINE = re.compile(r"""( *)((?:- +)*)(?:((?:"(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^\s#"'\[\]{}>|*&!%@`,-][^#]*?|-[^\s#][^#]*?))\s*:(?= |$) *)?(.*)""")
-_YAML_VALUE = re.compile(r"""(?:[&!][^\s]*\s+)*(?:"(?:\\.|[^"\\])*"|'(?:''|[^'])*'|\*[\w-]+|[\[{].*[\]}]|(?![\[\]{}>|*&!%@`"',#]|[?:-](?:\s|$))(?:[^\s#:]|:(?! |$)|(?<=\S)#|\s(?!#))*)?\s*(?:(?:^|(?<=\s))#.*)?""")
-
-
-def yaml_faults(text: str) -> list[str]:
-    """Lines that fit no block mapping, list or scalar at their indentation."""
-    stack: list[tuple[int, str]] = []
-    block: int | None = None
-    bad, scalar, seen = [], False, False
-    for line in text.replace("\r\n", "\n").split("\n"):
-        if not line.strip() or line.lstrip().startswith("#") and block is None:
-            continue
-        indent = len(line) - len(line.lstrip(" "))
-        if block is not None:
-            if indent > block:
-                continue
-            block = None
-        if line in ("---", "...") or line.startswith(("--- ", "%YAML")):
-            stack, scalar, seen = [], False, False
-            continue
-        if line.lstrip(" ").startswith("\t"):
-            bad.append(line)
-            continue
-        m = _YAML_LINE.fullmatch(line)
-        dash, key, value = bool(m[2]) or line.strip() == "-", m[3], m[4]
-        if line.strip() == "-" or value == "-":
-            value = ""
-        if not dash and key is None:
-            # a plain scalar may go on over lines, but is then no key
-            if seen and not scalar:
-                if not (stack and indent > stack[-1][0]):
-                    bad.append(line)
-                    continue
-            scalar = not seen or scalar
-            if not _YAML_VALUE.fullmatch(value):
-                bad.append(line)
-            seen = True
-            continue
-        if scalar:
-            bad.append(line)
-            continue
-        seen = True
-        while stack and indent < stack[-1][0]:
-            stack.pop()
-        kind = "list" if dash else "map"
-        if not stack or indent > stack[-1][0]:
-            if stack and stack[-1][1] == "leaf":
-                bad.append(line)
-            stack.append((indent, kind))
-        elif stack[-1][1] not in (kind, "leaf") and not (stack[-1][1] == "map" and kind == "list"):
-            bad.append(line)
-        if key is not None and dash:
-            stack.append((indent + len(m[2]), "map"))
-        if re.fullmatch(r"[|>][-+0-9]*(?: +#.*)?", value):
-            block = indent
-        elif not _YAML_VALUE.fullmatch(value):
-            bad.append(line)
-    return bad
-
-
-def faults(lang: str, text: str) -> list[str]:
-    """Constituents without a derivation; empty for a valid file."""
-    if lang == "json":
-        return parser(lang).faults(text) or ([] if text.strip() else ["empty"])
+def repair(lang: str, text: str) -> tuple[int, int]:
+    """(least cost of a repair, edits of it at the very end); cost 0 for a valid file."""
     if not text.strip():
-        return []
+        return int(lang == "json"), 0
+    got = parser(lang).repair(text.removeprefix("\ufeff") if lang != "json" else text)
     if lang == "py":
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
-            return []
-        except (SyntaxError, ValueError) as e:
-            return [str(getattr(e, "msg", e))]
+            return 0, 0
+        except (SyntaxError, ValueError):
+            return max(1, got[0]), got[1]
         except (MemoryError, RecursionError):
-            return []  # too deep for the interpreter, which is no fault of syntax
-    if lang == "yaml":
-        return yaml_faults(text)
-    return parser(lang).faults(text.removeprefix("\ufeff"))
-
-
-def repair_cost(lang: str, found: list[str]) -> int:
-    """Least edits over the underivable constituents; one for each that has no finer derivation.
-
-    A constituent that takes more than six edits, or is longer than 60 terminals, counts as seven."""
-    total = 0
-    for unit in found:
-        if unit.startswith("bracket "):
-            total += max(1, len(unit) - len("bracket "))
-        elif lang in ("py", "yaml", "json") or unit in ("token", "empty") or len(unit) > 60:
-            total += 1 if len(unit) <= 60 else 7
-        else:
-            g = GRAMMARS[lang]
-            side = {"{": "stmt", "(": "paren", "[": "square"}.get(unit[0], "stmt")
-            inner = unit[1:-1] if unit[0] in "{([" and unit[-1] in ")]}" else unit
-            if (lang, side) not in _edits:
-                _edits[lang, side] = Edits(getattr(g, side))
-            e = _edits[lang, side]
-            parts = [x for x in g.split(inner) if x] if side == "stmt" else [inner]
-            own = parser(lang)
-            total += max(1, sum(e.cost(x) for x in parts if side != "stmt" or not own.statement(x, x == parts[-1])))
-    return total
-
-
-def fault_kind(lang: str, text: str, found: list[str]) -> str:
+            pass  # too deep for the interpreter: the chart decides
+    return got
+
+
+def fault_kind(lang: str, text: str, cost: int, at_end: int) -> str:
     """conflict, mismatch (another language, mark-up or prose), truncation or other, by where the edits lie."""
-    if _MARKER.search(text) and not faults(lang, _MARKER.sub("", text)) or len(_MARKER.findall(text)) >= 2:
-        return "conflict"
-    if text.lstrip().startswith("<") and lang not in ("js", "ts"):
-        return "mismatch"
+    if _MARKER.search(text) and repair(lang, _MARKER.sub("", text))[0] < cost:
+        return "conflict"  # edits on the marker lines
+    if at_end and (cost - at_end) <= at_end + 1:
+        return "truncation"
+    if cost > 2 and cost * 8 > len(text.split()) or text.lstrip().startswith("<") and lang not in ("js", "ts"):
+        return "mismatch"  # edits all over
     for other in ("json", "rs", "go", "cs", "ts", "py"):
-        if other != lang and {other, lang} != {"js", "ts"} and text.strip() and not faults(other, text):
+        if other != lang and {other, lang} != {"js", "ts"} and not repair(other, text)[0]:
             return "mismatch"
-    if lang == "py":
-        tail = "never closed" in found[0] or "unterminated" in found[0] or "expected an indented block" in found[0] or "EOF" in found[0]
-    else:
-        tail = any(x.startswith("bracket ") and not set(x[8:]) & set(")]}") for x in found)
-    if tail and len(found) <= 2:
-        return "truncation"
-    if text.lstrip().startswith("<") or len(found) > 3 and len(found) > len(text) / 200:
-        return "mismatch"
-    return "other"
+    return "truncation" if at_end else "other"
 
 
-def _check(batches: Iterator[pa.RecordBatch], repairs: bool) -> Iterator[pa.RecordBatch]:
+def _check(batches: Iterator[pa.RecordBatch], kinds: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[] for _ in range(6)]
         for doc, source, path, text in zip(*(b.column(i).to_pylist() for i in range(4))):
             m = _ENDING.search(path or "")
             if not m:
                 continue
-            found = faults(m[1], text or "")
-            cost, kind = (0, None) if not found else (1, None)
-            if found and repairs:
-                cost, kind = repair_cost(m[1], found), fault_kind(m[1], text or "", found)
-            for c, x in zip(out, (doc, source, m[1], bool(found), cost, kind)):
+            cost, at_end = repair(m[1], text or "")
+            kind = fault_kind(m[1], text or "", cost, at_end) if cost and kinds else None
+            for c, x in zip(out, (doc, source, m[1], cost > 0, cost, kind)):
                 c.append(x)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
+        types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "source", "language", "invalid", "cost", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], names=["doc_id", "source", "language", "invalid", "cost", "kind"])
 
 
-def check_syntax(documents: DataFrame, repairs: bool = True) -> DataFrame:
+def check_syntax(documents: DataFrame, kinds: bool = True) -> DataFrame:
     """(doc_id, source, language, invalid, cost, kind) of every file whose ending names a known language.
 
-    ``cost`` is the least number of edits found (0: valid); without ``repairs`` it is only told from 0.
+    ``cost`` is the least number of edits (0: valid); ``kind`` is left out without ``kinds``.
     """
     schema = "doc_id bigint, source string, language string, invalid boolean, cost int, kind string"
-    return documents.select("doc_id", "source", "path", "text").mapInArrow(lambda it: _check(it, repairs), schema)
+    return documents.select("doc_id", "source", "path", "text").mapInArrow(lambda it: _check(it, kinds), schema)
 
 
 def fault_rates(documents: DataFrame) -> DataFrame:
