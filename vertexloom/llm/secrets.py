@@ -1,10 +1,11 @@
 """Credentials in source text (linear-chain conditional random field over lexical tokens).
 
-Lines that hold a credential word or a mixed run of characters are candidates; every line of every
-text is searched for them. Their tokens get shape and context features, and the Viterbi path of a
-two-label chain marks the tokens that form a usable secret. Adjacent marked tokens are one span, the
-exact characters to be redacted. Private keys are marked from their BEGIN line to the END line. The
-weights are trained by ``secrets_train`` on lines it makes itself and lie beside this module.
+Every line of every text is labelled: its tokens get shape and context features, and the Viterbi path
+of a two-label chain marks the tokens that form a usable secret. Most lines need no path: a bound on
+what a token can score in any context, computed once a distinct token from the weights, proves that
+the best path marks nothing. Adjacent marked tokens are one span, the exact characters to be redacted.
+Private keys are marked from their BEGIN line to the END line, as their format says. The weights are
+trained by ``secrets_train`` on lines it makes itself and lie beside this module.
 
 Defined results: NULL and empty texts hold nothing; a value split over string pieces counts at its
 first piece; line numbers count line feeds; repeated rows are judged alike; long texts are read whole.
@@ -18,7 +19,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from importlib.resources import files
 from pathlib import Path
@@ -27,64 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"[A-Za-z0-9_+/.\-%!#$^*~\\|]+={0,2}|[^\sA-Za-z0-9]")
-_WORDS = re.compile(r"(?i)(?<!com)passw|pwd|passphrase|secret|token|api_?key|auth|bearer|\bbasic\b|credential|private|identified by|access_?key|signing|:[^\s/:@\"']{3,}@|-----BEGIN|client_?key|key[_\w]{0,12}[\"']?\s*[:=]|\bsig=|\s-u\s|b64|base64")
-_RUN = re.compile(r"[A-Za-z0-9_+/\-]{16,}")
-_DIGIT, _LETTER = re.compile(r"\d"), re.compile("[A-Za-z]")
-_COUNTED = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)*_?\d{1,4}")  # names that count up, such as layout_20
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
 _KEYS = frozenset("password passwd pass pwd passphrase secret token key apikey auth authorization bearer basic credential credentials signing private access sig signature login authtoken".split())
+#: Names that end in one of these without a mark of their own, such as PGPASSWORD.
+_KEY_ENDS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "pwd", "credentials")
 _INERT = frozenset("hash digest sum checksum integrity uuid id ref name field label header realm public cert certificate rev revision commit tree trace etag verify icon pixel image sha md5 fingerprint content nonce version page".split())
 _STAND_IN = re.compile(r"(?i)change_?me|replace|example|dummy|redacted|placeholder|your|insert|xxxx|\*\*\*|\.\.\.|^<|todo|sample|^password$|^secret$|^token$|^x-[a-z-]+$|^none$|^null$|^true$|^false$|^test$|secret_?here|not_?set|deploy time")
 MODEL = Path(__file__).with_name("secrets_model.json")
 
 
-def candidate_lines(text: str) -> list[tuple[int, int]]:
-    """Bounds of the lines worth labelling, in order: an automaton finds what any credential word needs."""
-    low = text.lower()
-    if len(low) != len(text):  # letters whose small form is longer
-        low = "".join(c.lower() if c.isascii() else c for c in text)
-    hits = [at for at, _ in _needed().iter(low)]
-    done = -1
-    out: dict[int, int] = {}
-    for at in hits:
-        if at <= done:
-            continue
-        lo = text.rfind("\n", 0, at) + 1
-        hi = text.find("\n", at)
-        hi = len(text) if hi < 0 else hi
-        if _WORDS.search(text, lo, hi):
-            out[lo], done = hi, hi
-    done = -1
-    for m in _RUN.finditer(text):
-        t = m[0]
-        if m.start() < done or t.isalpha() or not _DIGIT.search(t) or _COUNTED.fullmatch(t) or not _LETTER.search(t):
-            continue
-        lo = text.rfind("\n", 0, m.start()) + 1
-        hi = text.find("\n", m.end())
-        done = len(text) if hi < 0 else hi
-        out[lo] = done
-    return sorted(out.items())
-
-
-_automaton: list = []
-
-
-def _needed():
-    """Automaton of the substrings of which every match of the credential words holds one."""
-    if not _automaton:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        for w in ("passw", "pwd", "passphrase", "secret", "token", "key", "auth", "bearer", "basic", "credential", "private", "identified by", "signing", "@", "-----begin", "sig=", "-u", "b64", "base64"):
-            a.add_word(w, w)
-        a.make_automaton()
-        _automaton.append(a)
-    return _automaton[0]
-
-
-@lru_cache(1 << 14)
+@lru_cache(1 << 16)
 def shape_features(t: str) -> tuple[str, ...]:
     """What a token's characters tell."""
     n = len(t)
@@ -137,11 +92,18 @@ def _decoded(t: str) -> str | None:
     return raw.decode("ascii") if len(raw) > 5 and all(32 <= c < 127 for c in raw) else None
 
 
-@lru_cache(1 << 14)
+@lru_cache(1 << 16)
 def name_words(t: str) -> tuple[str, ...]:
     return tuple(x.lower() for x in _PART.findall(t))
 
 
+@lru_cache(1 << 16)
+def is_key_name(t: str) -> bool:
+    """Does a name speak of a credential?"""
+    ws = name_words(t)
+    return any(w in _KEYS or w.endswith(_KEY_ENDS) for w in ws) and not any(w in _INERT for w in ws)
+
+
 def features(tokens: list[str], line: str) -> list[list[str]]:
     """One list of features a token."""
     start = "comment" if re.match(r"\s*(?://|#|\*|--)", line) else "code"
@@ -160,7 +122,7 @@ def features(tokens: list[str], line: str) -> list[list[str]]:
                 if x[0].isalpha() or x[0] == "_":
                     ws = name_words(x)
                     hop += 1
-                    if any(w in _KEYS for w in ws) and not any(w in _INERT for w in ws):
+                    if is_key_name(x):
                         key = key or hop
                     if any(w in _INERT for w in ws) and hop == 1:
                         inert = True
@@ -183,7 +145,7 @@ def features(tokens: list[str], line: str) -> list[list[str]]:
             if low[-1:] == ["="] and len(low) > 1 and low[-2] in ("rev", "page", "id", "ref", "v", "commit"):
                 f.append("param=inert")
             elif low[-1:] == ["="] and len(low) > 2 and low[-3] in ("?", "&"):
-                f.append("param=" + ("key" if any(w in _KEYS for w in name_words(low[-2])) else "other"))
+                f.append("param=" + ("key" if is_key_name(low[-2]) else "other"))
             if start == "comment":
                 f.append("comment" + ("key" if key else ""))
         out.append(f)
@@ -196,13 +158,78 @@ class Crf:
     def __init__(self, weights: dict[str, float], moves: list[list[float]]):
         # Only the difference between the labels matters for a feature.
         self.weights, self.moves = weights, moves
+        (m00, m01), (m10, m11) = moves
+        #: What a marked token adds for going on; beginning and ending a span must cost at least that.
+        self.stay = m11 - m00
+        if max(m01 + m10 - 2 * m00, m01 - m00) > self.stay:
+            raise ValueError("these moves allow a span of tokens that all score below zero")
+        self.context = {key: self._best_context(key) for key in (False, True)}
+        self.reach: dict[str, int] = {}
+
+    def _best_context(self, key: bool) -> float:
+        """The most that features of the surroundings can add to a token, with or without a key name near."""
+        w = self.weights
+        of = lambda start: {f: x for f, x in w.items() if f.startswith(start)}
+        best = lambda start: max([0.0, *of(start).values()])
+        sides = -1e9
+        befores = {f[3:] for f in of("b2=")} | {f[3:] for f in of("b1=")} | {""}
+        afters = {f[3:] for f in of("n1=")} | {"\0"}
+        for b in befores:
+            for n in afters:
+                last = b[-1:] or "w"
+                quoted = w.get("quoted" if last in "\"'`" and n[:1] in "\"'`;)" else "bare", 0.0)
+                got = w.get("b1=" + last, 0.0) + w.get("b2=" + b, 0.0) + w.get("n1=" + n, 0.0) + quoted
+                sides = max(sides, got + (max(0.0, w.get("keyquoted", 0.0)) if key else 0.0), max(w.get("b2=" + b, 0.0), 0.0) + max(w.get("b1=" + last, 0.0), 0.0) + max(w.get("n1=" + n, 0.0), 0.0) + quoted)
+        keys = [x for f, x in of("key=").items() if (f[4] == "0") != key] or [0.0]
+        told = ("userinfo", "statement", "scheme", "commentkey") if key else ()
+        rest = sum(max(0.0, w.get(f, 0.0)) for f in ("digest", "comment", *told))
+        return sides + max(keys) + rest + (best("param=") if key else max(0.0, w.get("param=inert", 0.0)))
+
+    def reaches(self, t: str) -> int:
+        """Can the token be marked? 0 never, 1 only if something before or after it tells so, 2 anywhere;
+        + 4: it tells so itself, as a key name or as a word or sign that ``features`` looks for."""
+        got = self.reach.get(t)
+        if got is None:
+            own = self.score(shape_features(t)) + self.stay
+            if len(t) > 1 or t.isalnum():
+                got = 2 if own + self.context[False] > 0 else 1 if own + self.context[True] > 0 else 0
+                got += 4 * ((t[0].isalpha() or t[0] == "_") and is_key_name(t) or t.lower() in ("identified", "bearer", "basic"))
+            else:
+                got = 2 * (own > 0) + 4 * (t in "@?&")
+            if len(self.reach) > 300_000:  # memory stays bounded
+                self.reach.clear()
+            self.reach[t] = got
+        return got
+
+    def lines(self, text: str) -> list[tuple[int, int]]:
+        """Bounds of the lines whose best path may mark a token."""
+        out: list[tuple[int, int]] = []
+        seen = self.reach.get
+        done, key, weak, held = 0, False, False, False
+        for m in TOKEN.finditer(text):
+            got = seen(m[0])
+            if got is None:
+                got = self.reaches(m[0])
+            if not got:
+                continue
+            at = m.start()
+            if at >= done:  # a new line, or the first one of interest
+                lo = text.rfind("\n", 0, at) + 1
+                hi = text.find("\n", at)
+                hi = len(text) if hi < 0 else hi
+                done, key, weak, held = hi, False, False, False
+            key, weak = key or got > 3, weak or bool(got & 1)
+            if not held and (got & 2 or weak and key):
+                held = True
+                out.append((lo, hi))
+        return out
 
     @classmethod
     def load(cls) -> Crf:
         m = json.loads(files(__package__).joinpath(MODEL.name).read_text())  # also from a zipped package
         return cls(m["weights"], m["moves"])
 
-    def score(self, f: list[str]) -> float:
+    def score(self, f: Iterable[str]) -> float:
         get = self.weights.get
         return sum(get(x, 0.0) for x in f)
 
@@ -237,32 +264,28 @@ def spans(text: str) -> list[tuple[int, int]]:
         if len(re.sub(r"[^A-Za-z0-9/=]", "", body)) >= 40 and not re.search(r"\.\.\.|<|xxxx|\*\*\*", body):
             out.append((m.start(), hi))
     blocks = list(out)
-    for lo, hi in candidate_lines(text):
-        line = text[lo:hi]
-        if any(a <= lo < b for a, b in blocks) or _BEGIN.search(line) or line.startswith(("-----", ">>>>>>>", "<<<<<<<")):
+    for lo, hi in crf.lines(text):
+        if any(a <= lo < b for a, b in blocks):
             continue
+        line = text[lo:hi]
         got = [(m.start(), m[0]) for m in TOKEN.finditer(line)]
-        if len(got) > 400:  # minified lines: label around what could be a literal, in windows that overlap
-            windows = [got[k : k + 200] for k in range(0, len(got), 150)]
-        else:
-            windows = [got]
-        for window in windows:
-            tokens = [t for _, t in window]
-            labels = crf.viterbi(features(tokens, line))
-            open_at = None
-            for (at, t), y in zip(window, labels):
-                if y and (len(t) > 1 or open_at is not None):
-                    if open_at is not None and not line[end_at:at].strip():
-                        end_at = at + len(t)
-                    else:
-                        if open_at is not None:
-                            out.append((lo + open_at, lo + end_at))
-                        open_at, end_at = at, at + len(t)
-                elif open_at is not None:
-                    out.append((lo + open_at, lo + end_at))
-                    open_at = None
-            if open_at is not None:
+        labels = crf.viterbi(features([t for _, t in got], line))
+        if 1 not in labels:
+            continue
+        open_at = None
+        for (at, t), y in zip(got, labels):
+            if y and (len(t) > 1 or open_at is not None):
+                if open_at is not None and not line[end_at:at].strip():
+                    end_at = at + len(t)
+                else:
+                    if open_at is not None:
+                        out.append((lo + open_at, lo + end_at))
+                    open_at, end_at = at, at + len(t)
+            elif open_at is not None:
                 out.append((lo + open_at, lo + end_at))
+                open_at = None
+        if open_at is not None:
+            out.append((lo + open_at, lo + end_at))
     return sorted(set(out))
 
 
