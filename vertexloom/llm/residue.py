@@ -4,7 +4,7 @@ Labelled exemplars, each one passage, are indexed by term. A document is cut int
 into overlapping windows. For each window the index gives the exemplars that share a term with it; its
 containment is the largest IDF-weighted share of its terms that one exemplar holds, with IDF weights
 from the document counts of the whole corpus. Covered windows of messages (errors, script notices)
-exclude a document when they make up most of its weight; filler counts wherever it stands as prose.
+exclude a document when they hold a good part of its weight; filler counts wherever it stands as prose.
 Placeholders are exemplars as well: a delimited name is retrieved by
 its opening sign and contained in an exemplar if its signs and the form of its name are the same;
 marks that code, a tool or an explanation accounts for don't count.
@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -211,12 +212,15 @@ WINDOW, STEP = 5, 2
 STEM = 5
 
 
+_STEMMED = re.compile(rf"([^\W_]{{1,{STEM}}})[^\W_]*")
+
+
 def words(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
 def terms(text: str) -> list[str]:
-    return [t[:STEM] for t in words(text)]
+    return _STEMMED.findall(text.lower())
 
 
 def mark_shape(m: re.Match) -> tuple[str, str, str] | None:
@@ -328,45 +332,62 @@ def windows(passage: Sequence[str]) -> Iterator[tuple[int, Sequence[str]]]:
         yield k, passage[k : k + WINDOW]
 
 
+class _Weights(dict):
+    """IDF weights of the exemplar terms; other terms weigh ``unknown``, ids and numbers nothing."""
+
+    unknown = 1.0
+
+    def __missing__(self, t: str) -> float:
+        if len(self) > 500_000:  # memory stays bounded
+            for x in [x for x in self if x not in _EX.index]:
+                del self[x]
+        got = self[t] = 0.0 if _DIGIT.search(t) else self.unknown
+        return got
+
+
 class Weigher:
     """Containment of windows in exemplars, by the IDF weights of one corpus."""
 
     def __init__(self, counts: dict[str, int], n_docs: int):
-        self.weight = {t: math.log((n_docs + 1) / (counts.get(t, 0) + 0.5)) for t in _EX.vocabulary}
+        self.weight = _Weights((t, math.log((n_docs + 1) / (counts.get(t, 0) + 0.5))) for t in _EX.vocabulary)
         held = sorted(w for t, w in self.weight.items() if counts.get(t))
-        #: Terms of no exemplar weigh as the middle one of those that the corpus holds, ids and numbers nothing.
-        self.unknown = held[len(held) // 2] if held else 1.0
-
-    def of(self, t: str) -> float:
-        return self.weight.get(t, 0.0 if _DIGIT.search(t) else self.unknown)
+        if held:
+            self.weight.unknown = held[len(held) // 2]  # as the middle one of the terms that the corpus holds
+        self.message = {t: self.weight[t] for t in _EX.messages}
 
     def best(self, window: Sequence[str], kinds: tuple[str, ...]) -> tuple[float, int]:
-        """(largest share of the window's weight that one exemplar of these kinds holds, that exemplar)."""
+        """(largest share of the window's weight that one exemplar of these kinds holds, that exemplar).
+
+        A single term of several is no containment.
+        """
         distinct = set(window)
-        total, by = 0.0, Counter()
+        total, by, shared = 0.0, Counter(), Counter()
         for t in distinct:
-            w = self.of(t)
+            w = self.weight[t]
             total += w
             for x in _EX.index.get(t, ()):
                 by[x] += w
-        by = [(w, -x) for x, w in by.items() if _EX.kinds[x] in kinds]
+                shared[x] += 1
+        least = min(2, len(distinct))
+        by = [(w, -x) for x, w in by.items() if shared[x] >= least and _EX.kinds[x] in kinds]
         if not by or not total:
             return 0.0, -1
         w, x = max(by)
         return w / total, -x
 
-    def covered(self, passage: Sequence[str], kinds: tuple[str, ...], share: float) -> tuple[float, dict[str, float]]:
-        """(weight of the passage, weight in covered windows by class)."""
+    def contained(self, passage: Sequence[str], kinds: tuple[str, ...], share: float) -> dict[str, float]:
+        """Weight of the terms that exemplars hold in covered windows, by class."""
         by: dict[int, str] = {}
         for k, win in windows(passage):
             got, x = self.best(win, kinds)
             if got >= share:
-                for j in range(k, k + len(win)):
-                    by.setdefault(j, _EX.kinds[x])
+                for j, t in enumerate(win, k):
+                    if x in _EX.index.get(t, ()):
+                        by.setdefault(j, _EX.kinds[x])
         out = Counter()
         for j, kind in by.items():
-            out[kind] += self.of(passage[j])
-        return sum(map(self.of, passage)), out
+            out[kind] += self.weight[passage[j]]
+        return out
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,23 +428,26 @@ def judge(text: str, path: str, w: Weigher, message_share: float, window_share:
         return "placeholder", 1.0
     if got := filler(text, path, w, filler_share):
         return "filler", got
-    seen = passages(visible(text))
-    total = sum(w.of(t) for p in seen for t in p)
-    # Of a covered window at least its share is known: a text with less can't be covered enough.
-    if not total or sum(w.of(t) for p in seen for t in p if t in _EX.messages) < message_share * window_share * total / WINDOW:
+    seen = visible(text)
+    every = terms(seen)
+    total = sum(map(w.weight.__getitem__, every))
+    # No more can be contained than is known at all.
+    if not total or sum(map(w.message.get, every, repeat(0.0))) < message_share * total:
         return None, 0.0
-    by = Counter()
-    for p in seen:
-        by.update(w.covered(p, ("error", "script"), window_share)[1])
-    covered = sum(by.values())
-    return (max(by, key=by.get), covered / total) if covered >= message_share * total else (None, 0.0)
+    by, split = Counter(), passages(seen)
+    # Single terms tell something beside a message of several only, such as names of fields.
+    for p in sorted(split, key=len, reverse=True):
+        if len(p) > 1 or by or len(split) == 1:
+            by.update(w.contained(p, ("error", "script"), window_share))
+    contained = sum(by.values())
+    return (max(by, key=by.get), contained / total) if contained >= message_share * total else (None, 0.0)
 
 
-def residue(documents: DataFrame, message_share: float = 0.5, window_share: float = 0.5, filler_share: float = 0.6) -> DataFrame:
+def residue(documents: DataFrame, message_share: float = 0.3, window_share: float = 0.5, filler_share: float = 0.6) -> DataFrame:
     """(doc_id, kind, coverage) of documents that are template residue; kind: placeholder, filler, error, script.
 
-    ``coverage`` is the share of a document's weight in covered windows (messages), or the containment
-    of its best window (filler).
+    ``coverage`` is the share of a document's weight that exemplars hold in covered windows (messages), or
+    the containment of its best window (filler).
     """
     # One row per exemplar term at most: bounded by the exemplars, whatever the corpus.
     counts = {r["term"]: r["n"] for r in documents.select("text").mapInArrow(_held, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
