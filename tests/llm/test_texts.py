@@ -23,6 +23,8 @@ HAND = "package p\n\nimport (\n\t\"inner/x\"\n)\n\n// This module generates code
         ("a/x.go", "// Code generated by tool. DO NOT EDIT.\npackage p\n", "generated"), ("a/x.go", HAND, None), ("a/x.go", COUNTED, "counted"), ("package-lock.json", "{}", "generated"), ("a/x.py", "", None),
         ("a/x.js", "export function a(b,c){if(b>c){return d(b);}for(const e of c){f(e);}return b+c;}" * 6, "minified"), ("a/x.py", "T = [\n" + "1.25, 2.5, 3.75, 4.0,\n" * 40 + "]\n", "data"),
         ("a/x.py", "# vendored from somelib@1.2.3\ndef f():\n    pass\n", "vendored"), ("a/x.py", "# Do not edit the order of the fields below without telling the team.\nx = 1\n", None),
+        ("a/x.js", "// This file was generated by swagger-codegen\nx();\n", "generated"), ("a/x.c", "/* Generated by Cython 3.0.8 */\nint x;\n", "generated"), ("a/x.py", "# Form implementation generated from reading ui file 'a.ui'\nx = 1\n", "generated"), ("a/x.go", "// Created by protoc-gen-foo, changes will be lost\npackage p\n", "generated"), ("a/x.py", "# Generated by Django 4.2 on 2024-01-01\nx = 1\n", "generated"),
+        ("a/x.go", "package p\n\n// Code generated by tool. DO NOT EDIT.\nvar X = 1\n", "generated"), ("a/x.py", "# Created by Anna, 2019\nx = 1\n", None), ("a/x.js", "// Reads the code generated by the compiler\nx();\n", None), ("a/x.rs", "// Checks that files generated by protoc are committed\nfn x() {}\n", None),
     ],
 )
 def test_own_evidence(path, text, kind):

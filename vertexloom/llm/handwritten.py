@@ -25,18 +25,23 @@ from pyspark.sql import functions as F
 from vertexloom.operators.durable import durable
 
 _CODE = re.compile(r"\.(py|js|ts|rs|go|cs|mjs|cjs|jsx|tsx|java|c|h|cc|cpp|css|php|rb|swift|kt)$")
-#: Headers by which generators mark their output (in comments at the top).
+_TOP = r"^\W*(?:(?:this|the|these|file|code|source|sources|module|class|form|implementation|document|contents?|it|is|are|was|were|been|has|have|being|auto(?:matically)?|programmatically|all|data|parser|lexer|bindings?|stubs?|header|client|api|types?|schema|models?|grammar|diese|dieser|datei|wurde|wird|der|die|ce|cette|fichier|le|la|a|été|est|este|esta|archivo|fue|ha|sido)\W+){0,7}"
+#: A statement that a tool made the file, of a kind that public generators put on top of their output.
 _GENERATED = re.compile(
-    r"(?i)@generated\b|\bcode generated by\b|\bgenerated (?:code|file)\b.{0,40}\bdo not (?:edit|modify)|\bautogenerated\b|\bauto-generated\b"
-    r"|\bautomatically generated\b|\bmachine[- ](?:made|generated) by\b|\bgenerated by [\w.-]+.{0,60}\bdo not (?:edit|modify)"
-    r"|\bproduced automatically\b|\bmanual changes will be (?:overwritten|lost)\b|\bchanges (?:are|will be) lost\b.{0,40}\b(?:run|regenerat)"
-    r"|\bgenerated: .{1,80}-> this file\b|\bwurde von \S+ (?:erzeugt|generiert)\b|\bnicht von hand (?:ä|ae)ndern\b|\bdo not (?:edit|modify)(?: by hand)?[.!]? .{0,40}\bgenerated\b"
-    r"|\b(?:fichier|code) produit par\b|\bne pas modifier\b|\bno (?:modificar|editar)(?: a mano)?\b.{0,40}\bgenerad|\bgénéré (?:automatiquement|par)\b|\bgenerado (?:automáticamente|por)\b"
+    rf"(?i)@generated\b|<auto-?generated|{_TOP}auto-?generated\b|{_TOP}generated (?:by|from|with|using|on|via|automatically)\b|{_TOP}(?:automatically|machine)[- ](?:generated|made|produced|created|written|built)\b"
+    rf"|{_TOP}(?:produced|created|made|emitted|built|written) automatically\b|\bgenerated (?:code|file|source)\b.{{0,40}}\b(?:do not|don't|never) (?:edit|modify|change|touch)|{_TOP}generated\s*(?:[:;.]|-+|$)"
+    rf"|{_TOP}(?:automatisch )?(?:generiert|erzeugt)(?: von| aus| mit|\W*$)|{_TOP}(?:von|aus|mit) \S+ (?:generiert|erzeugt|erstellt)\b|{_TOP}(?:généré|produit|créé)e? (?:automatiquement|par|depuis|à partir)|{_TOP}(?:generado|producido|creado) (?:automáticamente|por|desde|a partir)"
 )
-#: Notices of third-party libraries at the top of a file.
+#: A maker that need not be a tool, and a warning that it is one: both together tell the same.
+_MADE = re.compile(rf"(?i){_TOP}(?:produced|created|made|emitted|built|written|compiled|output) (?:by|from|with|using) \S+")
+_WARNED = re.compile(
+    r"(?i)\b(?:do not|don't|never|must not) (?:edit|modify|change|touch|alter)\b(?: (?:this|the file|it|by hand|manually|directly)|\W*$|[.!;,])|\b(?:changes|edits|modifications)\b.{0,30}\b(?:lost|overwritten|discarded|undone)\b"
+    r"|\bnicht (?:von hand |manuell )?(?:ä|ae)ndern\b|\bnicht (?:von hand |manuell )?bearbeiten\b|\bne pas (?:modifier|éditer)\b|\bno (?:modificar|editar|cambiar)\b"
+)
+#: Notices of third-party libraries: where the file was copied from, or its name, version and licence.
 _NOTICE = re.compile(
-    r"(?i)^\W*(?:vendored from \S+@v?\d|upstream: \S+/v?\d|(?:bundled|copied|taken|imported) from \S+[@/ ]v?\d+\.\d+|@licen[cs]e\b"
-    r"|[a-z][\w.-]*(?: |@)v?\d+\.\d+(?:\.\d+)?(?:\W*$| - https?://| \| ))|^\W*copyright (?:\(c\) )?(?:\d{4} )?the \S+ authors\b"
+    r"(?i)^\W*(?:this (?:file|code) (?:is|was) )?(?:vendored|bundled|copied|taken|imported|mirrored|extracted|forked|adapted) from \S+[@/ ]v?\d+(?:\.\d+)+|^\W*(?:upstream|origin(?:al)?|library|package|project|source)\s*:\s*\S+[@/ ]v?\d+(?:\.\d+)+|^\W*@licen[cs]e\b"
+    r"|^\W*[a-z][\w.-]*(?: |@)v?\d+\.\d+(?:\.\d+)?(?:\W*$| - https?://| \| )|^\W*copyright (?:\(c\) )?(?:\d{4} )?the \S+ authors\b"
 )
 _LOCK = re.compile(
     r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|packages\.lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|pdm\.lock|uv\.lock|pipfile\.lock|composer\.lock|gemfile\.lock|go\.sum|mix\.lock|paket\.lock|deno\.lock|bun\.lockb?|flake\.lock|project\.assets\.json)$",
@@ -46,21 +51,24 @@ _LOCK = re.compile(
 _TOOL_NAME = re.compile(r"(?:_pb2?|_gen|[._]generated|\.g|\.gen|\.pb|\.designer)\.[a-z]+$")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')")
 _LEAD = re.compile(r"^\s*(?://|#|--|;|(/\*|<!--))")
+#: What may stand before a file's comments without being a statement of it.
+_PRELUDE = re.compile(r"""^\s*(?:package [\w.]+;?|['"]use strict['"];?|<\?\w.*|\{|%YAML.*|---|namespace [\w.]+;)\s*$""")
 #: What a licence says of itself, not the name of a library.
 _LICENCE = re.compile(r"(?i)^\W*(?:version|licen[cs]e|revision|release|since|apache|mpl|bsd|[al]?gpl)\b[ @]")
 _COUNTED = re.compile(r"(?<![\w.])(?!(?:[uif]|u?int|float|utf_?|sha_?|md|base|b)\d+\b)[A-Za-z_]\w*?(\d+)\b")
 _LITERAL = re.compile(r"""0[xX][0-9a-fA-F]+|[-+]?\d[\d_.eE+-]*|"[^"\n]*"|'[^'\n]*'|[\s,]+|[A-Za-z0-9+/=]{60,}""")
 _FRAME = re.compile(r"(?m)^\s*(?:package \w+|//.*|#.*|/\*.*|import .*|from .*|use .*|using .*)$")
+#: So many mined patterns (some 50 bytes each) may be sent to every task.
+BROADCAST_PATTERNS = 100_000
 _VARIANTS = {"js", "ts", "mjs", "cjs", "css"}
 
 
 def is_minified(text: str, ext: str) -> bool:
     """Long lines of code with hardly any white space between short names."""
-    if ext not in _VARIANTS or len(text) < 200 or text.lstrip().startswith("<"):
+    if ext not in _VARIANTS or text.lstrip().startswith("<"):
         return False
     lines = [x for x in text.split("\n") if x.strip()]
-    longest = max(map(len, lines))
-    if longest < 180:
+    if max(map(len, lines), default=0) < 180:
         return False
     long_share = sum(len(x) for x in lines if len(x) > 180) / len(text)
     body = re.sub(r""""[^"\n]*"|'[^'\n]*'|//[^\n]*""", "", text)
@@ -71,8 +79,6 @@ def is_minified(text: str, ext: str) -> bool:
 
 def is_data(text: str) -> bool:
     """Code whose statements are nothing but one block of literals."""
-    if len(text) < 300:
-        return False
     body = _FRAME.sub("", text)
     frame = _LITERAL.sub("", body)
     return len(frame) <= 90 and len(body) > 12 * len(frame) + 200 and bool(re.search(r"[=:{\[(]", frame))
@@ -109,12 +115,14 @@ def is_counted(text: str, least: int = 3) -> bool:
 
 
 def leading_comments(lines: list[str]) -> Iterator[str]:
-    """The comment lines before the first other line, with the inside of block comments."""
+    """The comment lines before the first statement, with the inside of block comments."""
     end = None
     for line in lines:
         rest = line
         if end is None:
             m = _LEAD.match(line)
+            if not m and _PRELUDE.match(line):
+                continue
             if not m and line.strip():
                 return
             if m and m[1]:
@@ -134,8 +142,8 @@ def own_evidence(path: str, text: str) -> str | None:
     lines = text.split("\n")
     lead = list(leading_comments(lines))
     tail = list(takewhile(lambda x: _COMMENT.match(x) or not x.strip(), reversed(lines)))
-    near = [x for x in [*lines[:12], *text.rstrip().rsplit("\n", 3)[-3:]] if _COMMENT.match(x)]
-    if any(map(_GENERATED.search, [*lead, *near, *tail])):
+    told = [*lead, *tail]
+    if any(map(_GENERATED.search, told)) or any(map(_MADE.search, told)) and any(map(_WARNED.search, told)):
         return "generated"
     if not ext:
         return None
@@ -258,7 +266,9 @@ def not_handwritten(documents: DataFrame, precision: float = 0.95, support: int
     )
     mined = mined.select("pattern", F.col("own").alias("pattern_kind"))
     rest = judged.filter("own is null").select("doc_id", F.explode("patterns").alias("pattern"))
-    placed = rest.join(mined, "pattern").groupBy("doc_id").agg(F.min("pattern_kind").alias("pattern_kind"))
+    mined = durable(mined)
+    # Few patterns have the support; only a counted few are sent to all tasks, else the join's skew is split at run time.
+    placed = rest.join(F.broadcast(mined) if mined.count() <= BROADCAST_PATTERNS else mined, "pattern").groupBy("doc_id").agg(F.min("pattern_kind").alias("pattern_kind"))
     all_ = judged.select("doc_id", "own", "copy").join(placed, "doc_id", "left").join(told, "doc_id", "left")
     by: Column = F.when(F.col("value").isNotNull(), "attribute").when(F.col("copy"), "copied lines").when(F.col("own").isNotNull(), "own evidence").otherwise("mined pattern")
     kind = F.when(F.col("value") == F.lit(False), None).when(F.col("value"), F.col("attribute")).otherwise(F.coalesce("own", "pattern_kind"))
