@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from vertexloom.operators.hierarchy import encode, hierarchy, paths, resolve
+from vertexloom.operators.hierarchy import descendants, hierarchy, paths
 from vertexloom.operators.hotkeys import chunked_counts, number_rows, ordered_profile
 from vertexloom.operators.percentiles import exact_percentiles, value_counts
 from vertexloom.operators.snapshots import snapshot_changes
@@ -122,15 +122,33 @@ def test_hierarchy_kinds(spark):
     assert {tuple(r) for r in hierarchy(_spans(spark), "id", "up", "seq").select("id", "top", "depth", "kind").collect()} == want
 
 
-def test_rounds_and_last_merge_agree_on_chains_and_cycles(spark):
-    rows = [(f"n{i:03}", f"n{i - 1:03}" if i % 40 else None, i) for i in range(160)] + [(f"x{i:03}", f"x{(i + 1) % 23:03}" if i < 23 else f"x{i - 1:03}", i) for i in range(60)]
-    df = spark.createDataFrame(rows, "id string, up string, seq bigint")
-    one = {tuple(r) for r in resolve(encode(df, "id", "up", "seq")[1]).select("depth", "kind").groupBy("depth", "kind").count().collect()}
-    two = {tuple(r) for r in resolve(encode(df, "id", "up", "seq")[1], 0).select("depth", "kind").groupBy("depth", "kind").count().collect()}
-    assert one == two and (39, "root", 4) in one and (0, "cycle", 23) in one and (37, "below_cycle", 1) in one
+def _by_walking(rows):
+    """(id, top, depth, kind) of (id, parent) rows, one step at a time."""
+    up = dict(rows)
+    for i in up:
+        trail, at = [i], i
+        while up[at] in up and up[at] not in trail:
+            at = up[at]
+            trail.append(at)
+        if up[at] in trail:
+            k = trail.index(up[at])
+            yield i, min(trail[k:]), k, "below_cycle" if k else "cycle"
+        else:
+            yield i, at, len(trail) - 1, "missing_parent" if up[at] else "root"
+
+
+def test_long_chains_and_cycles_against_walking(spark):
+    rows = [(f"n{i:04}", f"n{i - 1:04}" if i % 1200 else None) for i in range(1300)] + [(f"x{i:03}", f"x{(i + 1) % 23:03}" if i < 23 else f"x{i - 1:03}") for i in range(60)] + [("lost", "gone"), ("loop", "loop"), ("under", "loop")]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "id string, up string, seq bigint")
+    want = set(_by_walking(rows))
+    assert {tuple(r) for r in hierarchy(df, "id", "up", "seq").select("id", "top", "depth", "kind").collect()} == want
+    assert ("n1199", "n0000", 1199, "root") in want and ("x059", "x000", 37, "below_cycle") in want
 
 
 def test_paths_and_descendants(spark):
-    got = {r["id"]: (r["path"], r["n_descendants"]) for r in paths(_spans(spark), "id", "up", "seq").collect()}
-    assert got["a2"] == (["a1", "a2"], 0) and got["a1"] == (["a1"], 2) and got["b1"] == (["b1"], 1) and "c1" not in got
+    df = paths(_spans(spark), "id", "up", "seq").cache()
+    got = {r["id"]: (r["path"], r["n_descendants"]) for r in df.collect()}
+    assert got["a2"] == (["a1", "a2"], 0) and got["a1"] == (["a1"], 2) and got["b1"] == (["b1"], 1) and got["c1"] == (["c1"], 0) and got["d2"] == (["c3", "d1", "d2"], 0) and len(got) == 14
+    assert {tuple(r) for r in descendants(df).filter("id in ('a1', 'c3', 'f2')").collect()} == {("a1", "a2", 1), ("a1", "a3", 1), ("c3", "d1", 1), ("c3", "d2", 2), ("f2", "f3", 1)}
     assert hierarchy(_spans(spark).limit(0), "id", "up", "seq").count() == 0

@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests, one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine a temporary folder is set.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vertexloom-"))
         current = sc.getCheckpointDir()
     return current
@@ -32,10 +35,40 @@ def durable(df: DataFrame) -> DataFrame:
     Use it where row order and partition numbers don't matter afterwards; columns keep their
     encoding, so it costs far less disk than a serialised checkpoint.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = _fresh(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _fresh(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+class Rounds:
+    """A table that grows by a part each round, read as one scan however many rounds there were.
+
+    Aggregates of a part are taken while it is written: no further job counts it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n, self.schema = spark, _fresh(spark), 0, None
+
+    def add(self, df: DataFrame, **measures: Column) -> dict[str, int]:
+        seen = Observation()
+        if measures:
+            df = df.observe(seen, *(m.alias(k) for k, m in measures.items()))
+        df.write.parquet(f"{self.root}/round={self.n}")
+        self.schema = df.schema
+        self.n += 1
+        return seen.get if measures else {}
+
+    def all(self) -> DataFrame:
+        """Every part, with its number as ``round``."""
+        schema = T.StructType([*self.schema.fields, T.StructField("round", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.root)
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/round={self.n - 1}")
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 Ids become order-preserving integer codes once. Each partition joins its own links to a weighted
 disjoint-set forest: every node points to its local top with the number of links between. Only the
 tops whose parent lies in another partition remain open; their links form a smaller forest, whose
-rounds merge pairs of forests (a pointer plus its target's pointer), so that a chain of any depth
-needs a logarithmic number of rounds. Open nodes that have walked further than there are open nodes
+rounds merge pairs of forests (a pointer plus its target's pointer and offset), so that a chain of any
+depth needs a logarithmic number of rounds. Ids are in no order, so nearly all links cross any cut of
+the partitions: a tree of merges would bring nearly all of them to its last task, rounds never do. Open nodes that have walked further than there are open nodes
 are on or below a cycle. Paths, if wanted, are materialised last, by the same parent index.
 
 Defined results: ids compare after trimming and lower-casing; NULL, empty and all-zero parents mean
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.operators.durable import durable, partitions
+from vertexloom.operators.durable import Rounds, durable, partitions
 
 ROOT, MISSING, OPEN, CYCLE = 0, 1, 2, 3
 
@@ -65,57 +66,6 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINKS = pa.schema([("code", pa.int64()), ("parent", pa.int64()), ("state", pa.int32())])
 _STEPS = pa.schema([("code", pa.int64()), ("top", pa.int64()), ("dist", pa.int64()), ("state", pa.int32())])
 
-#: Up to so many open links are merged in one task (24 bytes each); beyond it, rounds go on first.
-LAST_MERGE = 1 << 21
-
-
-def _last_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All remaining weighted links at once: every pointer goes to its end, or gets state CYCLE."""
-    rows = pa.Table.from_batches(list(batches), schema=_STEPS)
-    if not rows.num_rows:
-        return
-    order = np.argsort(rows["code"].to_numpy(), kind="stable")
-    code, top, dist, state = (rows[c].to_numpy()[order] for c in _STEPS.names)
-    self = np.arange(len(code))
-    open_ = state == OPEN
-    ptr = np.where(open_, np.minimum(np.searchsorted(code, top), len(code) - 1), self)
-    dist = np.where(open_, dist, 0)
-    for _ in range(len(code).bit_length() + 1):
-        nxt = ptr[ptr]
-        if (nxt == ptr).all():
-            break
-        dist = dist + np.where(nxt != ptr, dist[ptr], 0)
-        ptr = nxt
-    at_end = ~open_[ptr]
-    own = rows["dist"].to_numpy()[order]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(code), pa.array(np.where(at_end, top[ptr], top)), pa.array(dist + np.where(at_end, own[ptr], 0)), pa.array(np.where(at_end, state[ptr], CYCLE).astype(np.int32))],
-        names=_STEPS.names,
-    )
-
-
-def _rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, top: least code of the cycle entered, depth to it) of nodes whose walks are all endless."""
-    rows = pa.Table.from_batches(list(batches), schema=_LINKS)
-    if not rows.num_rows:
-        return
-    code = np.sort(rows["code"].to_numpy())
-    parent = rows["parent"].to_numpy()[np.argsort(rows["code"].to_numpy(), kind="stable")]
-    step = np.searchsorted(code, parent)
-    far = step
-    for _ in range(len(code).bit_length()):
-        far = far[far]
-    on = np.zeros(len(code), dtype=bool)
-    on[far] = True  # more steps than there are nodes end on a cycle, and reach all of it
-    low, jump = np.where(on, np.arange(len(code)), len(code)), step
-    for _ in range(len(code).bit_length()):
-        low, jump = np.where(on, np.minimum(low, low[jump]), low), jump[jump]
-    ptr, depth = np.where(on, np.arange(len(code)), step), (~on).astype(np.int64)
-    for _ in range(len(code).bit_length()):
-        depth, ptr = depth + depth[ptr], ptr[ptr]
-    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(code[low[ptr]]), pa.array(depth)], names=["code", "top", "depth"])
-
-
 def encode(df: DataFrame, node: str, parent: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """(names: code, id) and (links: code, parent, state), one row per id; codes sort as ids do."""
     rows = df.select(canonical_id(node).alias("id"), canonical_id(parent).alias("up"), F.col(seq).alias("seq")).filter("id is not null")
@@ -127,45 +77,36 @@ def encode(df: DataFrame, node: str, parent: str, seq: str) -> tuple[DataFrame,
     return names.select("code", "id"), durable(links)
 
 
-def _walk(links: DataFrame, last_merge: int = LAST_MERGE) -> DataFrame:
+def _walk(links: DataFrame) -> DataFrame:
     """(code, top, dist, state) of every node, state ROOT or MISSING, or CYCLE where the walk never ends.
 
-    Only the nodes where other partitions' walks enter take part in the merges. At most ``last_merge``
-    of them are merged in one task. While there are more open ones, a round replaces each open
-    pointer by its target's, so round r has merged 2^r local walks; rounds also end when the targets
-    of the open pointers are closed under one step, which proves that every open walk is endless.
+    Only the nodes where other partitions' walks enter take part in the merges. A round merges each
+    forest with the one that its open pointers lead to, so round r has merged 2^r local walks; rounds
+    also end when the targets of the open pointers are closed under one step, which proves that every
+    open walk is endless.
     """
     spark = links.sparkSession
     local = durable(links.repartitionByRange(partitions(spark), "code").mapInArrow(_forest, "code bigint, top bigint, dist bigint, state int"))
-    left = local.filter(F.col("state") == OPEN)
+    is_open = F.col("state") == OPEN
+    left = local.filter(is_open)
     if left.isEmpty():
         return local
-    entered = local.join(left.select(F.col("top").alias("code")).distinct(), "code", "left_semi")
-    step = durable(entered)
-    ended, still = [step.filter(F.col("state") != OPEN)], step.filter(F.col("state") == OPEN)
-    n_open, n_before = still.count(), -1
-    if step.count() <= last_merge:
-        merged = step.coalesce(1).mapInArrow(_last_merge, "code bigint, top bigint, dist bigint, state int")
-        return _compose(local, left, merged)
+    is_open = F.col("state") == OPEN
+    table = Rounds(spark)
+    n_open, n_before = table.add(local.join(left.select(F.col("top").alias("code")).distinct(), "code", "left_semi"), open=F.count_if(is_open))["open"], -1
     while n_open:
         if n_open == n_before:
-            targets = still.select(F.col("top").alias("code")).distinct()
-            onward = step.join(targets, "code", "left_semi").select(F.col("top").alias("code"))
+            targets = table.last().filter(is_open).select(F.col("top").alias("code")).distinct()
+            onward = table.all().filter("round = 0").join(targets, "code", "left_semi").select(F.col("top").alias("code"))
             if onward.join(targets, "code", "left_anti").isEmpty():
                 break
-        known = still
-        for e in ended:
-            known = known.unionByName(e)
+        # A code's last row counts: ended ones stay in the round in which they ended.
+        known = table.all().filter(~is_open | (F.col("round") == table.n - 1))
         target = known.select(F.col("code").alias("via"), "top", F.col("dist").alias("more"), "state")
-        moved = still.select("code", F.col("top").alias("via"), "dist").join(target, "via")
-        moved = durable(moved.select("code", "top", (F.col("dist") + F.col("more")).alias("dist"), "state"))
-        ended.append(moved.filter(F.col("state") != OPEN))
-        still = moved.filter(F.col("state") == OPEN)
-        n_before, n_open = n_open, still.count()
-    known = still.withColumn("state", F.lit(CYCLE).cast("int"))
-    for e in ended:
-        known = known.unionByName(e)
-    return _compose(local, left, known)
+        moved = table.last().filter(is_open).select("code", F.col("top").alias("via"), "dist").join(target, "via")
+        n_before, n_open = n_open, table.add(moved.select("code", "top", (F.col("dist") + F.col("more")).alias("dist"), "state"), open=F.count_if(is_open))["open"]
+    known = table.all().filter(~is_open | (F.col("round") == table.n - 1))
+    return _compose(local, left, known.select("code", "top", "dist", F.when(is_open, CYCLE).otherwise(F.col("state")).alias("state")))
 
 
 def _compose(local: DataFrame, left: DataFrame, known: DataFrame) -> DataFrame:
@@ -178,35 +119,26 @@ def _compose(local: DataFrame, left: DataFrame, known: DataFrame) -> DataFrame:
 def _cycles(links: DataFrame) -> DataFrame:
     """(code, low) of the nodes on cycles; ``links`` holds only nodes whose walk never ends.
 
-    The image of all nodes under 2^r steps shrinks to the cycles; it has got there when one more step
-    maps it onto as many nodes. The least code of a cycle spreads by the same doubling and is final
-    when a round changes nothing.
+    Pointers double, with the least code of the nodes they pass. Once they span as many steps as there
+    are nodes, every one ends on a cycle, all cycle nodes are ends, and each has passed its whole cycle.
     """
-    one = links.select("code", F.col("parent").alias("top"))
-    hop = one
-    while True:
-        image = durable(hop.select(F.col("top").alias("code")).distinct())
-        stepped = one.join(image, "code", "left_semi").select("top").distinct()
-        if stepped.count() == image.count():
-            break
-        hop = durable(hop.select("code", F.col("top").alias("via")).join(hop.select(F.col("code").alias("via"), "top"), "via").select("code", "top"))
-    ring = durable(one.join(image, "code", "left_semi").withColumn("low", F.least("code", "top")))
-    while True:
-        far = ring.select(F.col("code").alias("via"), F.col("top").alias("next"), F.col("low").alias("far"))
-        grown = durable(ring.select("code", F.col("top").alias("via"), "low").join(far, "via").select("code", F.col("next").alias("top"), F.least("low", "far").alias("new"), "low"))
-        changed = not grown.filter("new != low").isEmpty()
-        ring = grown.select("code", "top", F.col("new").alias("low"))
-        if not changed:
-            return ring.select("code", "low")
-
-
-def resolve(links: DataFrame, last_merge: int = LAST_MERGE) -> DataFrame:
+    table = Rounds(links.sparkSession)
+    n = table.add(links.select("code", F.col("parent").alias("top"), F.least("code", "parent").alias("low")), nodes=F.count(F.lit(1)))["nodes"]
+    for _ in range(n.bit_length()):
+        hop = table.last()
+        far = hop.select(F.col("code").alias("via"), F.col("top").alias("next"), F.col("low").alias("far"))
+        table.add(hop.withColumnRenamed("top", "via").join(far, "via").select("code", F.col("next").alias("top"), F.least("low", "far").alias("low")))
+    hop = table.last()
+    return hop.join(hop.select(F.col("top").alias("code")).distinct(), "code", "left_semi").select("code", "low")
+
+
+def resolve(links: DataFrame) -> DataFrame:
     """(code, top, depth, kind): kind is root, missing_parent, cycle or below_cycle.
 
     ``top`` is the node where the walk ends, or the least node of the cycle it enters; ``depth`` the
     number of links to the end, or to the first node on the cycle (0 on it).
     """
-    walks = _walk(links, last_merge)
+    walks = _walk(links)
     ended = walks.filter(F.col("state") != CYCLE).select(
         "code", "top", F.col("dist").alias("depth"), F.when(F.col("state") == ROOT, "root").otherwise("missing_parent").alias("kind")
     )
@@ -214,13 +146,10 @@ def resolve(links: DataFrame, last_merge: int = LAST_MERGE) -> DataFrame:
     if endless.isEmpty():
         return ended
     looped = durable(links.join(endless, "code", "left_semi"))
-    if looped.count() <= last_merge:
-        rings = looped.coalesce(1).mapInArrow(_rings, "code bigint, top bigint, depth bigint")
-        return ended.unionByName(rings.withColumn("kind", F.when(F.col("depth") == 0, "cycle").otherwise("below_cycle")))
     ring = durable(_cycles(looped))
     cut = looped.join(ring.select("code", F.lit(True).alias("on")), "code", "left")
     cut = cut.select("code", F.when(F.col("on"), F.col("code")).otherwise(F.col("parent")).alias("parent"), F.when(F.col("on"), ROOT).otherwise(OPEN).cast("int").alias("state"))
-    to_ring = _walk(durable(cut), last_merge).select("code", F.col("top").alias("at"), F.col("dist").alias("depth"))
+    to_ring = _walk(durable(cut)).select("code", F.col("top").alias("at"), F.col("dist").alias("depth"))
     below = to_ring.join(ring.select(F.col("code").alias("at"), "low"), "at").select(
         "code", F.col("low").alias("top"), "depth", F.when(F.col("depth") == 0, "cycle").otherwise("below_cycle").alias("kind")
     )
@@ -238,32 +167,34 @@ def hierarchy(df: DataFrame, node: str, parent: str, seq: str, kinds: tuple[str,
 
 
 def paths(df: DataFrame, node: str, parent: str, seq: str) -> DataFrame:
-    """(id, top, depth, kind, path, n_descendants) of nodes whose walk ends: ``path`` lists the ids from
-    the top down to the node, ``n_descendants`` counts the nodes below it.
+    """(id, top, depth, kind, path, n_descendants) of every node: ``path`` lists the ids from the top down to
+    the node, ``n_descendants`` counts the nodes below it.
 
     Paths double in length each round through the parent index; their total length is the size of
-    the result itself. Nodes on or below cycles have no finite path and are left out.
+    the result itself. A path that would be endless begins at the first node on the cycle, so that
+    ``depth`` is its length less one for every kind; what goes round a cycle counts as below nothing.
     """
     names, links = encode(df, node, parent, seq)
-    found = resolve(links).filter(F.col("kind").isin("root", "missing_parent"))
-    finite = links.join(found.select("code"), "code", "left_semi").join(names, "code")
-    still = durable(finite.select("code", F.when(F.col("state") == OPEN, F.col("parent")).alias("next"), F.array("id").alias("path")))
-    ended = [still.filter("next is null")]
-    still = still.filter("next is not null")
-    while not still.isEmpty():
-        known = still
-        for e in ended:
-            known = known.unionByName(e)
+    found = durable(resolve(links))
+    finite = links.join(found.select("code", "kind"), "code").join(names, "code")
+    table, walking = Rounds(df.sparkSession), F.col("next").isNotNull()
+    first = F.when((F.col("state") == OPEN) & (F.col("kind") != "cycle"), F.col("parent")).alias("next")
+    n = table.add(finite.select("code", first, F.array("id").alias("path")), walking=F.count_if(walking))["walking"]
+    while n:
+        known = table.all().filter(~walking | (F.col("round") == table.n - 1))
         above = known.select(F.col("code").alias("via"), F.col("next").alias("onward"), F.col("path").alias("above"))
-        moved = still.withColumnRenamed("next", "via").join(above, "via")
-        moved = durable(moved.select("code", F.col("onward").alias("next"), F.concat("above", "path").alias("path")))
-        ended.append(moved.filter("next is null"))
-        still = moved.filter("next is not null")
-    every = ended[0]
-    for e in ended[1:]:
-        every = every.unionByName(e)
-    every = every.join(found, "code").select(
-        F.element_at("path", -1).alias("id"), F.element_at("path", 1).alias("top"), F.col("depth").cast("int").alias("depth"), "kind", "path"
+        moved = table.last().filter(walking).withColumnRenamed("next", "via").join(above, "via")
+        n = table.add(moved.select("code", F.col("onward").alias("next"), F.concat("above", "path").alias("path")), walking=F.count_if(walking))["walking"]
+    every = table.all().filter(~walking).select("code", "path")
+    tops = names.select(F.col("code").alias("top"), F.col("id").alias("top_id"))
+    every = every.join(found.join(tops, "top").select("code", "top_id", "depth", "kind"), "code").select(
+        F.element_at("path", -1).alias("id"), F.col("top_id").alias("top"), F.col("depth").cast("int").alias("depth"), "kind", "path"
     )
     below = every.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_descendants"))
     return every.join(below, "id", "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
+
+
+def descendants(paths_: DataFrame) -> DataFrame:
+    """(id, descendant, steps) of every node and every node below it, from ``paths``."""
+    up = F.explode(F.transform(F.slice("path", 1, F.size("path") - 1), lambda x, k: F.struct(x.alias("id"), (F.size("path") - 1 - k).alias("steps"))))
+    return paths_.select(F.element_at("path", -1).alias("descendant"), up.alias("a")).select("a.id", "descendant", "a.steps")

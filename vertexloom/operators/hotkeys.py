@@ -17,8 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.operators.durable import partitions, pinned
+from vertexloom.operators.durable import durable, partitions, pinned
 
+#: So many offsets (some 100 bytes each) may be sent to every task.
+BROADCAST_OFFSETS = 200_000
 _PID, _POS, _CHUNK = "__pid", "__pos", "__chunk"
 
 
@@ -32,14 +34,15 @@ def number_chunks(
     order: Sequence[str] = (),
     target_chunks: int = 256,
     keep_null_key: bool = False,
+    chunk_rows: int = 1 << 20,
 ) -> DataFrame:
     """``df`` with ``__chunk``: the row's equal-sized chunk within its key, ordered by ``order``.
 
     With ``order`` the rows are range-partitioned by key and order, so that later partitions hold
     later rows of a key; without it they stay in the partitions where they are.
-    Keys with at most N / target_chunks rows have chunk 0 only, hence at most ``target_chunks``
-    keys need offsets, and their (partition, key) offsets are at most target_chunks x partitions
-    rows: this bound, not the data, limits what is broadcast.
+    A chunk has N / target_chunks rows, but never more than ``chunk_rows``, so that one task's share
+    stays the same however large the data. Keys of one chunk need no offsets; those of the others are
+    counted, and broadcast up to ``BROADCAST_OFFSETS``, beyond which they are joined on (partition, key).
     """
     keys, order = list(keys), list(order)
     if not keep_null_key:
@@ -59,14 +62,15 @@ def number_chunks(
             ),
         }
     )
-    size = max(1, -(-rows.count() // target_chunks))
+    size = max(1, min(chunk_rows, -(-rows.count() // target_chunks)))
     hot = per_part.filter(F.col("__total") > size).select(
         F.col(_PID).alias("__hp"), *(F.col(k).alias(f"__hk{i}") for i, k in enumerate(keys)), "__offset", "__first"
     )
     same: Column = F.col(_PID) == F.col("__hp")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"__hk{i}"))
-    numbered = rows.join(F.broadcast(hot), same, "left")
+    hot = durable(hot)
+    numbered = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_OFFSETS else hot, same, "left")
     chunk = F.coalesce(F.floor((F.col("__offset") + F.col(_POS) - F.col("__first")) / F.lit(size)), F.lit(0))
     return numbered.withColumn(_CHUNK, chunk).drop("__hp", "__offset", "__first", *(f"__hk{i}" for i in range(len(keys))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.operators.hierarchy import hierarchy, paths
+from vertexloom.operators.hierarchy import descendants, hierarchy, paths
 from vertexloom.operators.hotkeys import chunked_counts, ordered_profile
 from vertexloom.operators.percentiles import exact_percentiles, value_counts
 from vertexloom.operators.snapshots import latest, snapshot_changes
@@ -98,7 +98,13 @@ def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("span_id"), F.col("top").alias("top_span_id"), "depth", F.col("kind").alias("ends"), F.array_join("path", "/").alias("path"), "n_descendants")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profiles, p2_found, p2_communities, p3_found, p3_percentiles, p3_weeks_from_days, p6_found, p6_paths)}
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span with each span below it."""
+    got = descendants(paths(_table(spark, sf_dir, "trace_spans"), "span_id", "parent_span_id", "seq"))
+    return got.select(F.col("id").alias("span_id"), F.col("descendant").alias("descendant_id"), "steps")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_profiles, p2_found, p2_communities, p3_found, p3_percentiles, p3_weeks_from_days, p6_found, p6_paths, p6_descendants)}
 
 _LINKS = """ends AS (
   SELECT link_id, max_by(source, observed_at) AS source, max_by(target, observed_at) AS target FROM
@@ -118,7 +124,17 @@ c AS (SELECT coalesce(n.snapshot_no, o.snapshot_no + 1) AS snapshot_no, coalesce
   CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN {_DIFFER} THEN 'changed' END AS change,
   o.community AS old_community, n.community AS new_community
   FROM v o FULL JOIN v n ON o.id = n.id AND n.snapshot_no = o.snapshot_no + 1)"""
+_SPANS = """n AS (SELECT lower(regexp_replace(span_id, '^\\s+|\\s+$', '', 'g')) AS id, lower(regexp_replace(parent_span_id, '^\\s+|\\s+$', '', 'g')) AS up, seq FROM trace_spans),
+s AS (SELECT id, CASE WHEN NOT regexp_full_match(up, '0*') THEN up END AS up FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM n WHERE id IS NOT NULL AND NOT regexp_full_match(id, '0*')) t WHERE k = 1),
+w(id, here, trail) AS (SELECT id, id, [id] FROM s UNION ALL SELECT w.id, s.up, list_append(trail, s.up) FROM w JOIN s ON s.id = w.here JOIN s p ON p.id = s.up WHERE NOT list_contains(trail, s.up)),
+e AS (SELECT w.id, w.here, trail, s.up, p.id AS there, list_position(trail, s.up) AS pos FROM w JOIN s ON s.id = w.here LEFT JOIN s p ON p.id = s.up WHERE s.up IS NULL OR p.id IS NULL OR list_contains(trail, s.up)),
+r AS (SELECT id, CASE WHEN there IS NULL THEN here ELSE list_min(trail[pos:]) END AS top, CAST(CASE WHEN there IS NULL THEN len(trail) - 1 ELSE pos - 1 END AS INTEGER) AS depth,
+  CASE WHEN up IS NULL THEN 'root' WHEN there IS NULL THEN 'missing_parent' WHEN pos = 1 THEN 'cycle' ELSE 'below_cycle' END AS ends, list_reverse(CASE WHEN there IS NULL THEN trail ELSE trail[:pos] END) AS path FROM e),
+b AS (SELECT path[k] AS id, r.id AS below, len(path) - k AS steps FROM r, generate_series(1, len(path) - 1) g(k))"""
 SQL = {
+    "p6_found": f"WITH RECURSIVE {_SPANS} SELECT id AS span_id, top AS top_span_id, depth, ends FROM r WHERE ends <> 'root'",
+    "p6_paths": f"WITH RECURSIVE {_SPANS} SELECT id AS span_id, top AS top_span_id, depth, ends, array_to_string(path, '/') AS path, (SELECT count(*) FROM b WHERE b.id = r.id) AS n_descendants FROM r",
+    "p6_descendants": f"WITH RECURSIVE {_SPANS} SELECT id AS span_id, below AS descendant_id, CAST(steps AS INTEGER) AS steps FROM b",
     "p1_found": f"WITH {_LINKS} SELECT side, id FROM sides WHERE id IS NOT NULL GROUP BY side, id HAVING count(*) * 100 >= (SELECT count(*) FROM ends)",
     "p2_found": f"WITH {_NODES} SELECT CAST(snapshot_no AS INTEGER) AS snapshot_no, id, change FROM c WHERE change IS NOT NULL AND snapshot_no BETWEEN 2 AND (SELECT max(snapshot_no) FROM nodes)",
     "p2_communities": f"WITH {_NODES} SELECT CAST(c.snapshot_no AS INTEGER) AS snapshot_no, c.id, change, old_community, new_community, (SELECT count(*) FROM drift_events e WHERE e.snapshot_no = c.snapshot_no AND e.node_id = c.id) AS n_reports FROM c WHERE change IS NOT NULL AND c.snapshot_no BETWEEN 2 AND (SELECT max(snapshot_no) FROM nodes)",
