@@ -28,6 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"[A-Za-z0-9_+/.\-%!#$^*~\\|]+={0,2}|[^\sA-Za-z0-9]")
+#: The tokens that can matter for a line: single characters are ruled out, which ``Crf`` makes sure of.
+_LONG = re.compile(r"[A-Za-z0-9_+/.\-%!#$^*~\\|]{2,}={0,2}")
+_PARAM = re.compile(r"[?&]\s*[A-Za-z0-9_+/.\-%!#$^*~\\|]+\s*=")
+#: Types of a value, which stand between its name and it.
+_TYPES = frozenset("str String string char byte bytes".split())
+#: Signs that tokens of several characters hold.
+TOKEN_SIGNS = re.compile(r"[_+/.\-%!#$^*~\\|=]")
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
@@ -104,52 +111,69 @@ def is_key_name(t: str) -> bool:
     return any(w in _KEYS or w.endswith(_KEY_ENDS) for w in ws) and not any(w in _INERT for w in ws)
 
 
+_COMMENT = re.compile(r"\s*(?://|#|\*|--)")
+
+
 def features(tokens: list[str], line: str) -> list[list[str]]:
     """One list of features a token."""
-    start = "comment" if re.match(r"\s*(?://|#|\*|--)", line) else "code"
-    out = []
-    for k, t in enumerate(tokens):
-        f = list(shape_features(t))
-        if len(t) > 1 or t.isalnum():
-            before = tokens[max(0, k - 3) : k]
-            f.append("b1=" + (before[-1] if before and not before[-1][0].isalnum() else "w"))
-            f.append("b2=" + "".join(x if not x[0].isalnum() else "w" for x in before[-2:]))
-            nxt = tokens[k + 1] if k + 1 < len(tokens) else "$"
-            f.append("n1=" + (nxt if not nxt[0].isalnum() else "w"))
-            key = inert = False
-            hop = 0
-            for x in reversed(tokens[max(0, k - 8) : k]):
-                if x[0].isalpha() or x[0] == "_":
-                    ws = name_words(x)
-                    hop += 1
-                    if is_key_name(x):
-                        key = key or hop
-                    if any(w in _INERT for w in ws) and hop == 1:
-                        inert = True
-                    if hop == 3:
-                        break
-            f.append(f"key={key or 0}{'i' if inert else ''}")
-            quoted = any(x in "\"'`" for x in before[-1:]) and nxt[0] in "\"'`;)"
-            f.append("quoted" if quoted else "bare")
-            if key and quoted:
-                f.append("keyquoted")
-            if nxt == "@" and before and before[-1] == ":":
-                f.append("userinfo")
-            if inert and "hex=digest" in f:
-                f.append("digest")
-            low = [x.lower() for x in tokens[max(0, k - 4) : k]]
-            if "identified" in low:
-                f.append("statement")
-            if low[-1:] and low[-1] in ("bearer", "basic"):
-                f.append("scheme")
-            if low[-1:] == ["="] and len(low) > 1 and low[-2] in ("rev", "page", "id", "ref", "v", "commit"):
-                f.append("param=inert")
-            elif low[-1:] == ["="] and len(low) > 2 and low[-3] in ("?", "&"):
-                f.append("param=" + ("key" if is_key_name(low[-2]) else "other"))
-            if start == "comment":
-                f.append("comment" + ("key" if key else ""))
-        out.append(f)
-    return out
+    comment = bool(_COMMENT.match(line))
+    return [token_features(tokens, k, comment) for k in range(len(tokens))]
+
+
+def token_features(tokens: list[str], k: int, comment: bool) -> list[str]:
+    t = tokens[k]
+    f = list(shape_features(t))
+    if len(t) == 1 and not t.isalnum():
+        return f
+    before = tokens[max(0, k - 3) : k]
+    f.append("b1=" + (before[-1] if before and not before[-1][0].isalnum() else "w"))
+    f.append("b2=" + "".join(x if not x[0].isalnum() else "w" for x in before[-2:]))
+    nxt = tokens[k + 1] if k + 1 < len(tokens) else "$"
+    f.append("n1=" + (nxt if not nxt[0].isalnum() else "w"))
+    key = inert = False
+    hop = 0
+    for x in reversed(tokens[max(0, k - 8) : k]):
+        if (x[0].isalpha() or x[0] == "_") and x not in _TYPES:
+            hop += 1
+            if is_key_name(x):
+                key = key or hop
+            if hop == 1 and any(w in _INERT for w in name_words(x)):
+                inert = True
+            if hop == 3:
+                break
+    f.append(f"key={key or 0}{'i' if inert else ''}")
+    quoted = any(x in "\"'`" for x in before[-1:]) and nxt[0] in "\"'`;)"
+    f.append("quoted" if quoted else "bare")
+    if key and quoted:
+        f.append("keyquoted")
+    if nxt == "@" and before and before[-1] == ":":
+        f.append("userinfo")
+    if inert and "hex=digest" in f:
+        f.append("digest")
+    low = [x.lower() for x in tokens[max(0, k - 4) : k]]
+    if "identified" in low:
+        f.append("statement")
+    if low[-1:] and low[-1] in ("bearer", "basic"):
+        f.append("scheme")
+    if low[-1:] == ["="] and len(low) > 1 and low[-2] in ("rev", "page", "id", "ref", "v", "commit"):
+        f.append("param=inert")
+    elif low[-1:] == ["="] and len(low) > 2 and low[-3] in ("?", "&"):
+        f.append("param=" + ("key" if is_key_name(low[-2]) else "other"))
+    if comment:
+        f.append("comment" + ("key" if key else ""))
+    return f
+
+
+def addressed(text: str) -> Iterator[int]:
+    """Places of an @ after a token, as the password of an address has it, and of parameters after ? or &."""
+    at = text.find("@")
+    while at >= 0:
+        before = text[max(0, at - 20) : at].rstrip()
+        if before and (before[-1].isalnum() or TOKEN_SIGNS.match(before[-1])):
+            yield at
+        at = text.find("@", at + 1)
+    for m in _PARAM.finditer(text):
+        yield m.start()
 
 
 class Crf:
@@ -159,70 +183,127 @@ class Crf:
         # Only the difference between the labels matters for a feature.
         self.weights, self.moves = weights, moves
         (m00, m01), (m10, m11) = moves
-        #: What a marked token adds for going on; beginning and ending a span must cost at least that.
+        #: What a marked token adds for going on, and what the tokens of a span must add together to pay for it.
         self.stay = m11 - m00
-        if max(m01 + m10 - 2 * m00, m01 - m00) > self.stay:
+        self.least = self.stay - max(m01 + m10 - 2 * m00, m01 - m00)
+        if self.least < 0:
             raise ValueError("these moves allow a span of tokens that all score below zero")
-        self.context = {key: self._best_context(key) for key in (False, True)}
+        if weights.get("len=1", 0.0) > -20 or max([0.0, *(x + self.stay for f, x in weights.items() if f.startswith("p="))]) > 0:
+            raise ValueError("single characters must be ruled out")
+        self.context = [max(self._sides(b, n, told) for b in self._ends("b", told) for n in self._ends("n", told)) + self._rest(comment, told) for told in (False, True) for comment in (False, True)]
+        self.beside: dict[tuple[str, str, bool], float] = {}
+        self.rest = [self._rest(bool(k & 1), bool(k & 2)) for k in range(4)]
         self.reach: dict[str, int] = {}
+        self.clean: set[str] = set()  # lines without a mark
+        self.own: dict[str, float] = {}  # what a token adds by itself
 
-    def _best_context(self, key: bool) -> float:
-        """The most that features of the surroundings can add to a token, with or without a key name near."""
+    def _ends(self, side: str, told: bool) -> set[str]:
+        """The characters that features of the sides can have next to a token; "" for the end of the line."""
+        if side == "b":
+            return {"", "w", *(f[-1] for f in self.weights if f.startswith(("b1=", "b2=")) and len(f) > 3)}
+        return {"", "w", *(f[3] for f in self.weights if f.startswith("n1=") and len(f) > 3 and (told or f != "n1=@"))}
+
+    def _sides(self, b: str, n: str, told: bool) -> float:
+        """The most that the tokens beside a token can add when ``b`` and ``n`` are the characters next to it."""
+        w = self.weights
+        word = not b or b.isalnum() or TOKEN_SIGNS.match(b) is not None
+        most = lambda start: max([0.0, *(x for f, x in w.items() if f.startswith(start) and (f[-1] == b and len(f) > 3 or word and f[-1] == "w"))])
+        after = max([0.0, *(x for f, x in w.items() if f.startswith("n1=") and (f[3:4] == (n or "$") or n.isalnum() and f == "n1=w"))])
+        quoted = w.get("quoted" if b and b in "\"'`" and n and n in "\"'`;)" else "bare", 0.0)
+        return most("b1=") + most("b2=") + after + quoted
+
+    def _rest(self, comment: bool, told: bool) -> float:
+        """The most that other features can add, in comments or not, with or without what tells of a credential."""
         w = self.weights
-        of = lambda start: {f: x for f, x in w.items() if f.startswith(start)}
-        best = lambda start: max([0.0, *of(start).values()])
-        sides = -1e9
-        befores = {f[3:] for f in of("b2=")} | {f[3:] for f in of("b1=")} | {""}
-        afters = {f[3:] for f in of("n1=")} | {"\0"}
-        for b in befores:
-            for n in afters:
-                last = b[-1:] or "w"
-                quoted = w.get("quoted" if last in "\"'`" and n[:1] in "\"'`;)" else "bare", 0.0)
-                got = w.get("b1=" + last, 0.0) + w.get("b2=" + b, 0.0) + w.get("n1=" + n, 0.0) + quoted
-                sides = max(sides, got + (max(0.0, w.get("keyquoted", 0.0)) if key else 0.0), max(w.get("b2=" + b, 0.0), 0.0) + max(w.get("b1=" + last, 0.0), 0.0) + max(w.get("n1=" + n, 0.0), 0.0) + quoted)
-        keys = [x for f, x in of("key=").items() if (f[4] == "0") != key] or [0.0]
-        told = ("userinfo", "statement", "scheme", "commentkey") if key else ()
-        rest = sum(max(0.0, w.get(f, 0.0)) for f in ("digest", "comment", *told))
-        return sides + max(keys) + rest + (best("param=") if key else max(0.0, w.get("param=inert", 0.0)))
+        best = lambda *fs: sum(max(0.0, w.get(f, 0.0)) for f in fs)
+        keys = [x for f, x in w.items() if f.startswith("key=") and (told or f[4] == "0")] or [0.0]
+        more = best("keyquoted", "userinfo", "statement", "scheme") + max([0.0, *(x for f, x in w.items() if f.startswith("param="))]) if told else best("param=inert")
+        return max(keys) + best("digest") + more + (best("comment", "commentkey") if comment else 0.0)
 
     def reaches(self, t: str) -> int:
-        """Can the token be marked? 0 never, 1 only if something before or after it tells so, 2 anywhere;
-        + 4: it tells so itself, as a key name or as a word or sign that ``features`` looks for."""
+        """In which lines the token can add to a span: bits 1 plain, 2 comment, 4 told, 8 told in a comment; + 16: it
+        tells so itself, as a key name or as a word or sign that ``features`` looks for."""
         got = self.reach.get(t)
         if got is None:
-            own = self.score(shape_features(t)) + self.stay
-            if len(t) > 1 or t.isalnum():
-                got = 2 if own + self.context[False] > 0 else 1 if own + self.context[True] > 0 else 0
-                got += 4 * ((t[0].isalpha() or t[0] == "_") and is_key_name(t) or t.lower() in ("identified", "bearer", "basic"))
-            else:
-                got = 2 * (own > 0) + 4 * (t in "@?&")
             if len(self.reach) > 300_000:  # memory stays bounded
                 self.reach.clear()
+                self.own.clear()
+            own = self.own[t] = self.score(shape_features(t)) + self.stay
+            if len(t) > 1 or t.isalnum():
+                got = sum(1 << k for k, c in enumerate(self.context) if own + c > 0)
+                got += 16 * ((t[0].isalpha() or t[0] == "_") and is_key_name(t) or t.lower() in ("identified", "bearer", "basic"))
+            else:
+                got = 15 * (own > 0)
             self.reach[t] = got
         return got
 
     def lines(self, text: str) -> list[tuple[int, int]]:
-        """Bounds of the lines whose best path may mark a token."""
-        out: list[tuple[int, int]] = []
-        seen = self.reach.get
-        done, key, weak, held = 0, False, False, False
-        for m in TOKEN.finditer(text):
-            got = seen(m[0])
+        """Bounds of the lines some token of which can add to a span.
+
+        Distinct tokens are judged once a text; where one that matters stands, what is beside it counts too.
+        """
+        hot, seen = {}, self.reach.get
+        for t in set(_LONG.findall(text)):
+            got = seen(t)
             if got is None:
-                got = self.reaches(m[0])
+                got = self.reaches(t)
+            if got & 19:
+                hot[t] = got
+        told: dict[int, int] = {}
+        out: dict[int, int] = {}
+        get, beside, rest, own = hot.get, self.beside, self.rest, self.own
+        for m in _LONG.finditer(text) if hot else ():
+            got = get(m[0])
             if not got:
                 continue
-            at = m.start()
-            if at >= done:  # a new line, or the first one of interest
-                lo = text.rfind("\n", 0, at) + 1
+            lo = text.rfind("\n", 0, m.start()) + 1
+            if lo in out:
+                continue
+            hi = text.find("\n", m.end())
+            hi = len(text) if hi < 0 else hi
+            if got & 16:
+                told[lo] = hi
+            if got & 3:
+                key = (text[lo : m.start()].rstrip()[-1:], text[m.end() : m.end() + 20].lstrip(" \t\r")[:1].strip(), False)
+                side = beside.get(key)
+                if side is None:
+                    side = beside[key] = self._sides(*key)
+                if own[m[0]] + side + rest[0] > 0 or own[m[0]] + side + rest[1] > 0 and _COMMENT.match(text, lo, hi):
+                    out[lo] = hi
+        for at in addressed(text):
+            lo = text.rfind("\n", 0, at) + 1
+            if lo not in told:
                 hi = text.find("\n", at)
-                hi = len(text) if hi < 0 else hi
-                done, key, weak, held = hi, False, False, False
-            key, weak = key or got > 3, weak or bool(got & 1)
-            if not held and (got & 2 or weak and key):
-                held = True
-                out.append((lo, hi))
-        return out
+                told[lo] = len(text) if hi < 0 else hi
+        for lo, hi in told.items():
+            if lo not in out and any(seen(t, 15) & (8 if _COMMENT.match(text, lo, hi) else 4) for t in _LONG.findall(text, lo, hi)):
+                out[lo] = hi
+        return sorted(out.items())
+
+    def marks(self, tokens: list[str], line: str) -> list[int] | None:
+        """The labels of a line's tokens, or None if none is marked.
+
+        The gain of any span is at most the sum of what its tokens add, less what a span costs.
+        """
+        comment = bool(_COMMENT.match(line))
+        seen, beside = self.reach.get, self.beside
+        codes = [c if (c := seen(t)) is not None else self.reaches(t) for t in tokens]
+        told = max(codes, default=0) > 15 or next(addressed(line), None) is not None
+        bit, rest = (2 if comment else 1) << (2 if told else 0), self.rest[comment + 2 * told]
+        total, last = 0.0, len(tokens) - 1
+        for k, c in enumerate(codes):
+            if c & bit:
+                key = (tokens[k - 1][-1] if k else "", tokens[k + 1][0] if k < last else "", told)
+                side = beside.get(key)
+                if side is None:
+                    side = beside[key] = self._sides(*key)
+                if self.own.get(tokens[k], 1e9) + side + rest <= 0:
+                    continue
+                total += max(0.0, self.score(token_features(tokens, k, comment)) + self.stay)
+                if total > self.least:
+                    labels = self.viterbi(features(tokens, line))
+                    return labels if 1 in labels else None
+        return None
 
     @classmethod
     def load(cls) -> Crf:
@@ -268,9 +349,15 @@ def spans(text: str) -> list[tuple[int, int]]:
         if any(a <= lo < b for a, b in blocks):
             continue
         line = text[lo:hi]
+        if line in crf.clean:  # lines that recur are labelled once
+            continue
         got = [(m.start(), m[0]) for m in TOKEN.finditer(line)]
-        labels = crf.viterbi(features([t for _, t in got], line))
-        if 1 not in labels:
+        labels = crf.marks([t for _, t in got], line)
+        if not labels:
+            if len(line) < 200:
+                if len(crf.clean) > 200_000:  # memory stays bounded
+                    crf.clean.clear()
+                crf.clean.add(line)
             continue
         open_at = None
         for (at, t), y in zip(got, labels):
