@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +152,12 @@ def planned(graph: Graph, plan: str) -> Graph:
     return Graph(graph.nodes.filter(F.col("plan_id") == plan), graph.edges.filter(F.col("plan_id") == plan))
 
 
+def merged_batches(batches: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(kind, tokens, n) over batches of nodes and edges put one after the other: token sums and rows of each kind."""
+    rows = [df.select(F.lit(k).alias("kind"), "tokens") for b in batches for k, df in zip(("node", "edge"), b)]
+    return functools.reduce(DataFrame.unionByName, rows).groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+
+
 def plan_symbols(symbols: DataFrame, plan: str) -> tuple[DataFrame, DataFrame]:
     """Planned nodes, and planned edges to ``target`` where it isn't NULL, of (label, source_file, target, relation)."""
     pid = make_id(F.lit(plan), "label")

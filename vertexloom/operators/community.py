@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.operators.durable import durable
+from vertexloom.operators.durable import Rounds, durable, partitions
 from vertexloom.operators.measure import renumber_by_size
+from vertexloom.sources.graphs import Graph
 
 #: Graphs up to so many undirected links are clustered exactly in one task; larger ones by rounds.
 LOCAL_LINKS = 2_000_000
@@ -129,6 +130,13 @@ def split_large(members: DataFrame, edges: DataFrame, share: float = 0.25, least
     return renumber_by_size(out)
 
 
+def cluster(graph: Graph, share: float = 0.25, least: int = 10) -> Graph:
+    """The graph with communities on its nodes: found, the oversized ones split, numbered by falling size."""
+    members = split_large(communities(graph.nodes, graph.edges), graph.edges, share, least)
+    cols = graph.nodes.columns
+    return graph.with_(nodes=durable(graph.nodes.drop("community").join(members, "id", "left").select(*cols)))
+
+
 def _brandes(start: np.ndarray, near: np.ndarray, sources: Iterator[int]) -> np.ndarray:
     """Sum over ``sources`` of each node's dependency; ``near`` holds the neighbours of k from start[k] to start[k + 1].
 
@@ -278,18 +286,24 @@ def dominators(edges: DataFrame, root: str, hop_limit: int = 2_000_000) -> DataF
 
 
 def random_walks(edges: DataFrame, walks: int = 4, length: int = 8, seed: int = 42) -> DataFrame:
-    """(walk, start, step, id): uniform directed walks, the same for the same seed and edges."""
-    adj = durable(edges.select("source", "target").distinct().groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("next")))
-    at = adj.select(F.col("source").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).select("walk", "start", F.lit(0).alias("step"), F.col("start").alias("id"))
-    out = [at]
+    """(walk, start, step, id): uniform directed walks, the same for the same seed and edges.
+
+    Targets are numbered inside their source without being gathered there, so a source with most links
+    stays spread over all tasks; a step looks up one number.
+    """
+    from vertexloom.operators.hotkeys import number_rows
+
+    pairs = edges.select("source", "target").distinct()
+    near = durable(number_rows(pairs.repartitionByRange(partitions(edges.sparkSession), "source", "target").sortWithinPartitions("source", "target"), ["source"], "k").select("source", "target", "k"))
+    n = durable(near.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    table = Rounds(edges.sparkSession)
+    table.add(n.select(F.col("source").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).select("walk", "start", F.lit(0).alias("step"), F.col("start").alias("id")))
     for k in range(1, length):
-        pick = F.pmod(F.xxhash64(F.lit(seed), "walk", "start", F.lit(k)), F.size("next").cast("bigint")) + 1
-        at = durable(at.join(adj.withColumnRenamed("source", "id"), "id").select("walk", "start", F.lit(k).alias("step"), F.element_at("next", pick.cast("int")).alias("id")))
-        out.append(at)
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every
+        at = table.last().join(n.withColumnRenamed("source", "id"), "id")
+        pick = F.pmod(F.xxhash64(F.lit(seed), "walk", "start", F.lit(k)), F.col("n"))
+        at = at.select("walk", "start", F.col("id").alias("source"), pick.alias("k"))
+        table.add(at.join(near, ["source", "k"]).select("walk", "start", F.lit(k).alias("step"), F.col("target").alias("id")))
+    return table.all().select("walk", "start", "step", "id")
 
 
 def node_vectors(edges: DataFrame, dim: int = 16, walks: int = 4, length: int = 8, rounds: int = 5, window: int = 3, seed: int = 42) -> DataFrame:

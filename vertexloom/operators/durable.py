@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -77,6 +78,20 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, to: str) -> DataFrame:
+    """``df`` with 0-based row numbers in its present order: counts per partition give the offsets, no row moves."""
+    rows = pinned(df.withColumns({"__pid": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()}))
+    first = {r["__pid"]: (r["n"], r["first"]) for r in rows.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"), F.min("__pos").alias("first")).collect()}  # one row a partition
+    shift, at = {}, 0
+    for p in sorted(first):
+        shift[p] = at - first[p][1]
+        at += first[p][0]
+    if not shift:
+        return rows.withColumn(to, F.lit(0).cast("bigint")).drop("__pid", "__pos")
+    offset = F.create_map(*(F.lit(x) for kv in shift.items() for x in kv))
+    return rows.withColumn(to, F.col("__pos") + offset[F.col("__pid")]).drop("__pid", "__pos")
+
+
 def partitions(spark: SparkSession) -> int:
     """Partition count for explicit range partitioning: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -1,21 +1,20 @@
 """Traversal and path search: level-synchronous frontiers over (source, target) frames.
 
-A round joins the frontier with the edges and keeps what is new; frontiers and results are written
-tables, so lineage stays short and lost executors cost one round at most. Ties go to the least id.
-Links are counted first: up to ``LOCAL_LINKS`` of them are walked in one task, which saves the fixed
-cost of the rounds; more go through the rounds, with the same result.
+A round joins the frontier with the edges and keeps what is new; what was found is a table that grows by
+a part each round, so lineage stays short and lost executors cost one round at most. Ties go to the least id.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.operators.durable import durable
+from vertexloom.functions.paths import make_id, is_test_path, stem
+from vertexloom.operators.durable import Rounds, durable
+from vertexloom.operators.measure import degrees, focus_labels, framework_noise, half_edges
+from vertexloom.sources.graphs import Graph
 
 
 def oriented(edges: DataFrame, direction: str = "forward", relations: Sequence[str] | None = None) -> DataFrame:
@@ -26,94 +25,35 @@ def oriented(edges: DataFrame, direction: str = "forward", relations: Sequence[s
     return {"forward": fwd, "reverse": rev, "both": fwd.unionByName(rev)}[direction].distinct()
 
 
-#: So many links fit one task's adjacency lists (about 100 bytes each), and so many seeds are walked there.
-LOCAL_LINKS, LOCAL_SEEDS = 1_000_000, 64
-
-
-def _walk_local(pairs: DataFrame, seeds: DataFrame, max_depth: int | None, apart: bool) -> DataFrame:
-    """(seed, id, depth) by breadth-first search in one task; seeds (column id) walk ``apart`` or at once.
-
-    Apart, a seed is only found again if a cycle leads back to it; at once, seeds have depth 0.
-    """
-    marked = pairs.select("s", "t").unionByName(seeds.select(F.lit(None).cast("string").alias("s"), F.col("id").alias("t")))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        is_seed = df.s.isna()
-        near: dict[str, list[str]] = defaultdict(list)
-        for a, b in zip(df.s[~is_seed], df.t[~is_seed]):
-            near[a].append(b)
-        out = []
-        every = sorted(set(df.t[is_seed]))
-        for start in [[x] for x in every] if apart else [every]:
-            depth = {} if apart else dict.fromkeys(start, 0)
-            front, d = start, 0
-            while front and (max_depth is None or d < max_depth):
-                d += 1
-                new = {b for a in front for b in near.get(a, ())} - depth.keys()
-                depth.update(dict.fromkeys(new, d))
-                front = list(new)
-            out += [(start[0] if apart else None, k, v) for k, v in depth.items()]
-        return pd.DataFrame(out, columns=["seed", "id", "depth"])
-
-    return marked.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "seed string, id string, depth int")
-
-
-def reach(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
+def reach(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """(id, depth): least number of steps from any seed (column id); seeds have depth 0.
 
     ``max_nodes`` keeps the first nodes by (depth, id), as a bounded breadth-first search meets them.
     """
     pairs = durable(pairs)
-    if pairs.count() <= local_links and seeds.limit(local_links + 1).count() <= local_links:
-        found = _walk_local(pairs, seeds, max_depth, False).select("id", "depth")
-        return found.orderBy("depth", "id").limit(max_nodes) if max_nodes else found
-    frontier = durable(seeds.select("id").distinct())
-    found = [frontier.withColumn("depth", F.lit(0))]
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    table, depth = Rounds(pairs.sparkSession), 0
+    total = new = table.add(seeds.select("id").distinct(), n=F.count(F.lit(1)))["n"]
+    while new and (max_depth is None or depth < max_depth) and (not max_nodes or total < max_nodes):
         depth += 1
-        seen = found[0].select("id")
-        for f in found[1:]:
-            seen = seen.unionByName(f.select("id"))
-        step = frontier.withColumnRenamed("id", "s").join(pairs, "s").select(F.col("t").alias("id")).distinct()
-        frontier = durable(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        found.append(frontier.withColumn("depth", F.lit(depth)))
-        if max_nodes and sum(f.count() for f in found) >= max_nodes:
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+        step = table.last().withColumnRenamed("id", "s").join(pairs, "s").select(F.col("t").alias("id")).distinct()
+        new = table.add(step.join(table.all().select("id"), "id", "left_anti"), n=F.count(F.lit(1)))["n"]
+        total += new
+    out = table.all().select("id", F.col("round").alias("depth"))
     return out.orderBy("depth", "id").limit(max_nodes) if max_nodes else out
 
 
-def closure_from(pairs: DataFrame, seeds: DataFrame, budget: int | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
+def closure_from(pairs: DataFrame, seeds: DataFrame, budget: int | None = None) -> DataFrame:
     """(s, t): everything reached from each seed in one step or more (column s). Semi-naive."""
     pairs = durable(pairs)
-    if pairs.count() <= local_links and seeds.limit(LOCAL_SEEDS + 1).count() <= LOCAL_SEEDS:
-        got = durable(_walk_local(pairs, seeds.select(F.col("s").alias("id")), None, True))
-        deepest = got.agg(F.max("depth")).first()[0] or 0
-        if budget is not None and deepest + 1 > budget:
-            raise RuntimeError("maximum step limit reached")
-        return got.select(F.col("seed").alias("s"), F.col("id").alias("t"))
-    delta = durable(seeds.select("s").distinct().join(pairs, "s").select("s", "t").distinct())
-    found = [delta]
-    rounds = 1
-    while not delta.isEmpty():
+    table, rounds = Rounds(pairs.sparkSession), 1
+    new = table.add(seeds.select("s").distinct().join(pairs, "s").select("s", "t").distinct(), n=F.count(F.lit(1)))["n"]
+    while new:
         rounds += 1
         if budget is not None and rounds > budget:
             raise RuntimeError("maximum step limit reached")
-        seen = found[0]
-        for f in found[1:]:
-            seen = seen.unionByName(f)
-        step = delta.select("s", F.col("t").alias("m")).join(pairs.select(F.col("s").alias("m"), "t"), "m").select("s", "t").distinct()
-        delta = durable(step.join(seen, ["s", "t"], "left_anti"))
-        found.append(delta)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        step = table.last().select("s", F.col("t").alias("m")).join(pairs.select(F.col("s").alias("m"), "t"), "m").select("s", "t").distinct()
+        new = table.add(step.join(table.all().select("s", "t"), ["s", "t"], "left_anti"), n=F.count(F.lit(1)))["n"]
+    return table.all().select("s", "t")
 
 
 def closure(pairs: DataFrame, budget: int | None = None) -> DataFrame:
@@ -131,32 +71,65 @@ def closure(pairs: DataFrame, budget: int | None = None) -> DataFrame:
         size = n
 
 
-def cheapest(steps: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, cost, hops, parent): least (cost, hops), then least parent, over (s, t, cost) steps. Relaxation rounds."""
+def cheapest(steps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, cost, hops, parent): least (cost, hops), then least parent, over (s, t, cost) steps.
+
+    Relaxation rounds until nothing improves; a round writes only what it improved, and the best of a
+    node is the least of its rows.
+    """
     steps = durable(steps)
-    best = durable(seeds.select("id", F.lit(0).cast(steps.schema["cost"].dataType).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")))
-    frontier = best
-    for _ in range(max_rounds):
-        offer = frontier.select(F.col("id").alias("s"), F.col("cost").alias("c0"), "hops").join(steps, "s").select(F.col("t").alias("id"), (F.col("c0") + F.col("cost")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("s").alias("parent"))
-        offer = offer.groupBy("id").agg(F.min(F.struct("cost", "hops", "parent")).alias("o")).select("id", "o.*")
-        old = best.select("id", F.col("cost").alias("c1"), F.col("hops").alias("h1"))
-        frontier = durable(offer.join(old, "id", "left").filter(F.col("c1").isNull() | (F.struct("cost", "hops") < F.struct(F.col("c1"), F.col("h1")))).select("id", "cost", "hops", "parent"))
-        if frontier.isEmpty():
+    table = Rounds(steps.sparkSession)
+    least = lambda df: df.groupBy("id").agg(F.min(F.struct("cost", "hops", "parent")).alias("o")).select("id", "o.*")
+    new = table.add(seeds.select("id", F.lit(0).cast(steps.schema["cost"].dataType).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")).distinct(), n=F.count(F.lit(1)))["n"]
+    while new:
+        offer = table.last().select(F.col("id").alias("s"), F.col("cost").alias("c0"), "hops").join(steps, "s").select(F.col("t").alias("id"), (F.col("c0") + F.col("cost")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("s").alias("parent"))
+        old = least(table.all()).select("id", F.col("cost").alias("c1"), F.col("hops").alias("h1"), F.col("parent").alias("p1"))
+        better = F.col("c1").isNull() | (F.struct("cost", "hops") < F.struct(F.col("c1"), F.col("h1"))) | ((F.col("cost") == F.col("c1")) & (F.col("hops") == F.col("h1")) & (F.col("parent") < F.col("p1")))
+        new = table.add(least(offer).join(old, "id", "left").filter(better).select("id", "cost", "hops", "parent"), n=F.count(F.lit(1)))["n"]
+    return least(table.all())
+
+
+def path_to(best: DataFrame, goal: str) -> DataFrame:
+    """(pos, id) from a seed to ``goal`` along the parents of ``cheapest``; empty when it was not reached.
+
+    Pointers to parents double each round, and each id on the way gets its distance from the goal.
+    """
+    up = durable(best.select("id", F.col("parent").alias("far"), F.lit(1).cast("bigint").alias("n")))
+    on = best.filter(F.col("id") == goal).select("id", F.lit(0).cast("bigint").alias("back"))
+    on = durable(on)
+    while True:
+        more = durable(on.join(up, "id").filter("far is not null").select(F.col("far").alias("id"), (F.col("back") + F.col("n")).alias("back")))
+        if more.isEmpty():
             break
-        best = durable(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
-    return best
+        on = durable(on.unionByName(more).distinct())
+        way = up.select(F.col("id").alias("far"), F.col("far").alias("beyond"), F.col("n").alias("m"))
+        up = durable(up.filter("far is not null").join(way, "far", "left").select("id", F.col("beyond").alias("far"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
+    top = on.agg(F.max("back").alias("top"))  # one row
+    return on.crossJoin(F.broadcast(top)).select((F.col("top") - F.col("back")).cast("int").alias("pos"), "id")
 
 
-def path_to(best: DataFrame, goal: str, limit: int = 1000) -> list[str]:
-    """Ids from a seed to ``goal`` along the parents of ``cheapest``; empty when it was not reached."""
-    at, out = goal, []
-    while at is not None and len(out) <= limit:
-        row = best.filter(F.col("id") == at).select("parent").first()
-        if row is None:
-            return []
-        out.append(at)
-        at = row["parent"]
-    return out[::-1]
+def shortest_path(edges: DataFrame, start: str, goal: str, include: Sequence[str] | None = None) -> DataFrame:
+    """(pos, id) of a path of fewest steps, edges taken both ways; ties go to the least ids."""
+    steps = oriented(edges, "both", include).withColumn("cost", F.lit(1).cast("bigint"))
+    return path_to(cheapest(steps, edges.sparkSession.createDataFrame([(start,)], "id string")), goal)
+
+
+def find_path(graph: Graph, start: str, goal: str, mode: str = "semantic", exclude_noise: bool = False) -> DataFrame:
+    """(pos, id) by the mode ``strict`` (fewest steps) or ``semantic`` (relations and noise weighed)."""
+    if mode == "strict":
+        return shortest_path(graph.edges, start, goal)
+    steps = semantic_steps(graph.edges, framework_noise(graph).filter(F.col("id") != goal), 20_000 if exclude_noise else 8_000)
+    return path_to(cheapest(steps, graph.nodes.sparkSession.createDataFrame([(start,)], "id string")), goal)
+
+
+def path_confidence(graph: Graph, path: DataFrame) -> DataFrame:
+    """(pos, source, target, relation, confidence, extractor, resolution_status) of each step of a path (pos, id):
+    of the edges between two nodes the one of least (relation, confidence)."""
+    step = path.select("pos", F.col("id").alias("a")).join(path.select((F.col("pos") - 1).alias("pos"), F.col("id").alias("b")), "pos")
+    e = graph.edges.select("source", "target", F.struct("relation", "confidence", "extractor", "resolution_status", "source", "target").alias("e"))
+    both = e.select(F.col("source").alias("a"), F.col("target").alias("b"), "e").unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b"), "e"))
+    best = step.join(both, ["a", "b"]).groupBy("pos").agg(F.min("e").alias("e"))
+    return best.select("pos", "e.source", "e.target", "e.relation", "e.confidence", "e.extractor", "e.resolution_status")
 
 
 RELATION_COST = {"calls": 1000, "uses": 1200, "method": 1300, "contains": 1400, "references": 1700, "imports": 6000}
@@ -175,7 +148,7 @@ def safest_steps(edges: DataFrame, relations: Sequence[str] | None = None) -> Da
     return both.groupBy("s", "t").agg((1 - F.max("confidence_score")).alias("cost"))
 
 
-def semantic_steps(edges: DataFrame, noisy: DataFrame | None = None, penalty: int = 4000) -> DataFrame:
+def semantic_steps(edges: DataFrame, noisy: DataFrame | None = None, penalty: int = 8000) -> DataFrame:
     """Undirected steps of the cheapest relation's cost, plus a penalty for entering a noisy node (column id)."""
     both = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), relation_cost(F.col("relation")).alias("cost")).unionByName(edges.select(F.col("target").alias("s"), F.col("source").alias("t"), relation_cost(F.col("relation")).alias("cost")))
     steps = both.groupBy("s", "t").agg(F.min("cost").cast("bigint").alias("cost"))
@@ -236,6 +209,46 @@ def resolve_one(nodes: DataFrame, degrees: DataFrame, symbol: str) -> DataFrame:
     return ranked.select("id", "label").limit(1)
 
 
+def structural_references(graph: Graph, symbol: str) -> DataFrame:
+    """(label, relation, source_file): what contains, implements or extends a symbol, and what imports its file."""
+    n = graph.nodes.select(F.col("id").alias("source"), "label", "source_file")
+    own = graph.edges.filter((F.col("target") == symbol) & F.col("relation").isin("contains", "method", "inherits", "implements"))
+    out = own.select("source", "relation").join(n, "source").select("label", "relation", "source_file")
+    file_id = graph.nodes.filter(F.col("id") == symbol).select(make_id(stem("source_file")).alias("target")).filter(F.col("target") != symbol)
+    by = graph.edges.filter("relation = 'imports'").join(F.broadcast(file_id), "target", "left_semi").select("source").join(n, "source")  # one row
+    return out.unionByName(by.select("label", F.lit("imports_file").alias("relation"), "source_file"))
+
+
+def explain_subsystem(graph: Graph, symbol: str) -> DataFrame:
+    """(part, name, detail): parents, callers, production and test files, focus and hubs around a symbol."""
+    me = graph.nodes.filter(F.col("id") == symbol)
+    out_ = graph.edges.filter(F.col("source") == symbol).select(F.col("target").alias("id"), "relation", F.lit("out").alias("way"))
+    in_ = graph.edges.filter(F.col("target") == symbol).select(F.col("source").alias("id"), "relation", F.lit("in").alias("way"))
+    near = out_.unionByName(in_).join(graph.nodes.select("id", "label", "source_file"), "id")
+    row = lambda df, part, name, detail: df.select(F.lit(part).alias("part"), name.alias("name"), detail.cast("string").alias("detail"))
+    none = F.lit(None)
+    out = row(near.filter("way = 'out' and relation in ('inherits', 'implements', 'contains', 'method')"), "parent", F.col("label"), F.col("relation"))
+    out = out.unionByName(row(near.filter("way = 'in' and relation in ('calls', 'imports', 'uses')"), "caller", F.col("label"), none))
+    files = near.select("source_file", is_test_path("source_file").alias("test")).unionByName(me.select("source_file", F.lit(False).alias("test"))).distinct()
+    out = out.unionByName(row(files.filter("not test"), "production_file", F.col("source_file"), none)).unionByName(row(files.filter("test"), "test_file", F.col("source_file"), none))
+    mates = graph.nodes.join(F.broadcast(me.select("community").filter("community is not null")), "community")  # one row
+    out = out.unionByName(row(focus_labels(mates, "community", "source_file"), "focus", F.col("focus"), F.col("community")))
+    hubs = mates.filter(F.col("id") != symbol).select("id", "label").join(framework_noise(graph), "id", "left_anti").join(degrees(graph), "id").orderBy(F.col("degree").desc(), "id").limit(3)
+    return out.unionByName(row(hubs, "hub", F.col("label"), F.col("degree")))
+
+
+def analyse_symbol(graph: Graph, symbol: str, behavioural: int = 10, structural: int = 5) -> DataFrame:
+    """(kind, k, relation, other, direction, confidence, n): the edges of a symbol, behaviour and structure apart,
+    by confidence and relation; ``n`` is the whole number of each kind, of which the first are listed."""
+    e = graph.edges.filter((F.col("source") == symbol) | (F.col("target") == symbol))
+    kind = F.when(F.col("relation").isin("contains", "imports"), "structural").otherwise("behavioural")
+    trust = F.when(F.col("confidence") == "EXTRACTED", 0).when(F.col("confidence") == "INFERRED", 1).otherwise(2)
+    out = e.select(kind.alias("kind"), "relation", F.when(F.col("source") == symbol, F.col("target")).otherwise(F.col("source")).alias("other"), F.when(F.col("source") == symbol, "out").otherwise("in").alias("direction"), "confidence", trust.alias("trust"))
+    w = Window.partitionBy("kind")
+    out = out.withColumns({"k": F.row_number().over(w.orderBy("trust", "relation", "other", "direction")), "n": F.count(F.lit(1)).over(w)})
+    return out.filter(F.col("k") <= F.when(F.col("kind") == "structural", structural).otherwise(behavioural)).drop("trust")
+
+
 def file_summary(nodes: DataFrame, degrees: DataFrame, suffix: str) -> DataFrame:
     """(source_file, file_type, n, n_hidden): symbols of files with this ending; leaves of degree up to 5 count as hidden."""
     own = nodes.filter(F.col("source_file").endswith(suffix)).join(degrees, "id", "left")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.operators.durable import durable
+from vertexloom.operators.durable import Rounds
 from vertexloom.operators.measure import BEHAVIOUR, degrees
 from vertexloom.operators.traverse import closure, closure_from
 from vertexloom.sources.graphs import Graph
@@ -175,7 +175,7 @@ busy(X) :- imports(_,X,_).
 is_orphan(X) :- node(X,_,_,_,_), not busy(X).
 identical(X,X) :- node(X,_,_,_,_).
 circular_dependency(X,Y) :- calls_transitive(X,Y), calls_transitive(Y,X), not identical(X,Y).
-bypasses_layer(X,Y,Z) :- calls_transitive(X,Z), node(Y,_,_,_,_), not calls_transitive(X,Y).
+bypasses_layer(X,Y,Z) :- depends_transitive(X,Z), node(Y,_,_,_,_), not depends_transitive(X,Y).
 """
 
 
@@ -273,11 +273,15 @@ class Engine:
         if len(first.body) != 1 or len(second.body) != 2 or len(first.head.args) != 2 or any(a.negated for r in rules for a in r.body):
             return None
         e, (p, e2) = first.body[0], second.body
+        turned = p.name != name  # the recursive goal stands last: the same closure
+        if turned:
+            p, e2 = e2, p
         plain = lambda a: all(isinstance(x, Var) for x in a.args)
         if not (plain(e) and plain(e2) and plain(p) and p.name == name and e2.name == e.name and e.args[:2] == first.head.args):
             return None
         x, z = second.head.args
-        if p.args[0] == x and p.args[1] == e2.args[0] and e2.args[1] == z and len({x, z, p.args[1]}) == 3:
+        front, back = (e2, p) if turned else (p, e2)
+        if front.args[0] == x and front.args[1] == back.args[0] and back.args[1] == z and len({x, z, front.args[1]}) == 3:
             return e.name, len(e.args)
         return None
 
@@ -307,26 +311,31 @@ class Engine:
         recursive = [r for r in rules if any(a.name in names for a in r.body)]
         arity = {r.head.name: len(r.head.args) for r in rules}
         total: dict[str, DataFrame] = {}
+        tables: dict[str, Rounds] = {}
+        left = False
         for n in names:
+            cols = [f"_{i}" for i in range(arity[n])]
             parts = [self._body(r) for r in rules if r.head.name == n and r not in recursive]
             if n in self.facts:
                 parts.append(self._rows(self.facts[n]))
-            start = reduce(DataFrame.unionByName, parts).distinct() if parts else self._empty(arity[n])
-            total[n] = durable(start) if recursive else start
-        if recursive:
-            delta, rounds = dict(total), 0
-            while any(not d.isEmpty() for d in delta.values()):
-                rounds += 1
-                if rounds > self.budget:
-                    raise DatalogError("maximum step limit reached")
-                new = {}
-                for n in names:
-                    cols = [f"_{i}" for i in range(arity[n])]
-                    parts = [self._body(r, {k: delta[a.name]}, total) for r in recursive if r.head.name == n for k, a in enumerate(r.body) if a.name in names]
-                    fresh = reduce(DataFrame.unionByName, parts).distinct() if parts else self._empty(arity[n])
-                    new[n] = durable(fresh.join(total[n], cols, "left_anti"))
-                total = {n: durable(total[n].unionByName(new[n])) for n in names}
-                delta = new
+            total[n] = reduce(DataFrame.unionByName, parts).distinct() if parts else self._empty(arity[n])
+            if recursive:
+                tables[n] = Rounds(self.spark)
+                left |= tables[n].add(total[n], n=F.count(F.lit(1)))["n"] > 0
+                total[n] = tables[n].all().select(*cols)
+        rounds = 0
+        while left:
+            rounds += 1
+            if rounds > self.budget:
+                raise DatalogError("maximum step limit reached")
+            delta, left, new = {n: t.last() for n, t in tables.items()}, False, {}
+            for n in names:
+                parts = [self._body(r, {k: delta[a.name]}, total) for r in recursive if r.head.name == n for k, a in enumerate(r.body) if a.name in names]
+                fresh = reduce(DataFrame.unionByName, parts).distinct() if parts else self._empty(arity[n])
+                new[n] = fresh.join(total[n], total[n].columns, "left_anti")
+            for n in names:  # each a part beside the others: nothing found before is written again
+                left |= tables[n].add(new[n], n=F.count(F.lit(1)))["n"] > 0
+            total = {n: t.all().select(*total[n].columns) for n, t in tables.items()}
         self.known |= total
 
     def _atom(self, atom: Atom, rows: DataFrame) -> DataFrame:
@@ -372,7 +381,7 @@ class Engine:
                 frame = self._atom(a, rows(k, a))
                 on = [c for c in frame.columns if c in out.columns and c != "__one"]
                 out = out.join(frame.select(*on).distinct(), on, "left_anti") if on else out.join(frame.limit(1).select(F.lit(1).alias("__any")), F.lit(True), "left_anti")
-        head = [F.col(a.name) if isinstance(a, Var) else F.lit(a) for a in rule.head.args]
+        head = [F.col(a.name) if isinstance(a, Var) else F.lit(a).cast("bigint") if isinstance(a, int) else F.lit(a) for a in rule.head.args]
         return out.select(*(c.alias(f"_{i}") for i, c in enumerate(head))).distinct()
 
     def _goal(self, goal: Atom) -> DataFrame:

@@ -27,6 +27,14 @@ _BASE = f"gn AS ({NODES_SQL}), ge AS ({EDGES_SQL})"
 _PLAN = """pn AS (SELECT id, label, file_type, source_file, source_location, community, CAST(NULL AS STRING) AS plan_id FROM gn UNION ALL SELECT 'alpha_customer_' || CAST(c_custkey AS STRING), 'Planned' || c_name, 'code', 'src/controllers/planned.rs', NULL, NULL, 'alpha' FROM customer WHERE c_custkey % 29 = 0),
 pe AS (SELECT source, target, relation, confidence, CAST(NULL AS STRING) AS plan_id FROM ge UNION ALL SELECT 'alpha_customer_' || CAST(c_custkey AS STRING), 'supplier_' || CAST(c_custkey % (SELECT count(*) FROM supplier) AS STRING), 'calls', 'INFERRED', 'alpha' FROM customer WHERE c_custkey % 29 = 0)"""
 _HALF = "h AS (SELECT source AS id, target AS other, relation, confidence, resolution_status FROM ge UNION ALL SELECT target, source, relation, confidence, resolution_status FROM ge WHERE source <> target), deg AS (SELECT gn.id, count(h.id) AS degree FROM gn LEFT JOIN h ON gn.id = h.id GROUP BY gn.id)"
+_FRAMEWORK = ", ".join(f"'{x}'" for x in P.FRAMEWORK_LABELS)
+_FW = "(lower(trim(label)) IN ({0}) OR (len(list_filter(string_split_regex(lower(trim(label)), '[.:]'), lambda t: t <> '')) > 0 AND len(list_filter(string_split_regex(lower(trim(label)), '[.:]'), lambda t: t <> '' AND t NOT IN ({0}))) = 0))".format(_FRAMEWORK)
+_STEM = "regexp_extract(source_file, '([^/]*?)(\\.[^./]*)?$', 1)"
+_TEST = "regexp_matches(lower({0}), '/tests/|/test/|_test\\.|\\.test\\.|/spec/|/specs/|_spec\\.|tests\\.rs|test_bench|_tests\\.rs')"
+_NOISE = f"io AS (SELECT id FROM h GROUP BY id HAVING bool_and(lower(relation) = 'imports')), noise AS (SELECT id FROM io JOIN gn USING (id) WHERE lower(label) <> lower({_STEM}) AND {_FW})"
+_BARE = "relation NOT IN ('contains', 'method', 'uses')"
+_HUBS = f"""hubs AS (SELECT q.id FROM (SELECT h.id, count(*) AS n, count(*) FILTER (relation = 'imports') AS i, count(*) FILTER ({_BARE}) AS b, count(*) FILTER ({_BARE} AND relation <> 'imports') AS ob, count(DISTINCT CASE WHEN {_BARE} THEN o.source_file END) AS files
+FROM h LEFT JOIN gn o ON o.id = h.other GROUP BY h.id) q JOIN gn ON gn.id = q.id WHERE file_type = 'code' AND n > 1 AND (i = n OR (n > 2 AND i > 0.7 * n) OR (coalesce(source_location, '') = '' AND b > 0 AND ob = 0 AND (files >= 40 OR (files >= 5 AND (contains(label, '.') OR {_FW}))))))"""
 _ENDS = "x AS (SELECT e.*, s.community AS sc, t.community AS tc, s.file_type AS st, t.file_type AS tt, s.source_file AS sf, t.source_file AS tf FROM ge e JOIN gn s ON s.id = e.source JOIN gn t ON t.id = e.target)"
 
 
@@ -71,12 +79,14 @@ _datalog("reaching_bound_target", '?- calls_transitive(X, "part_2").', 'SELECT s
 _datalog("datalog_same_community", '?- same_community("nation_3", Y).', "SELECT DISTINCT b.id AS \"Y\" FROM gn a JOIN gn b ON coalesce(a.community, 999) = coalesce(b.community, 999) WHERE a.id = 'nation_3'")
 _datalog("is_orphan", "?- is_orphan(X).", "SELECT id AS \"X\" FROM gn WHERE id NOT IN (SELECT source FROM ge WHERE relation IN ('calls', 'imports') UNION SELECT target FROM ge WHERE relation IN ('calls', 'imports'))")
 _datalog("circular_dependency_bound", '?- circular_dependency("part_1", Y).', "SELECT f.t AS \"Y\" FROM w f JOIN b ON f.t = b.s WHERE f.t <> 'part_1'", _walk("part_1", " AND relation = 'calls'") + ", b(s) AS (SELECT source FROM ge WHERE target = 'part_1' AND relation = 'calls' UNION SELECT e.source FROM b JOIN ge e ON e.target = b.s WHERE e.relation = 'calls')")
-_datalog("bypasses_layer_bound", '?- bypasses_layer("part_1", "supplier_3", Z).', "SELECT t AS \"Z\" FROM w WHERE NOT EXISTS (SELECT 1 FROM w WHERE t = 'supplier_3')", _walk("part_1", " AND relation = 'calls'"))
+_datalog("bypasses_layer_bound", '?- bypasses_layer("part_1", "customer_3", Z).', "SELECT t AS \"Z\" FROM w WHERE NOT EXISTS (SELECT 1 FROM w WHERE t = 'customer_3')", _walk("part_1", ""))
 _datalog("datalog_join", "two(X, Z) :- imports(Y, Z, _), calls(X, Y, _). ?- two(X, Z).", "SELECT DISTINCT c.source AS \"X\", i.target AS \"Z\" FROM ge c JOIN ge i ON c.target = i.source WHERE c.relation = 'calls' AND i.relation = 'imports'")
 _datalog("datalog_negation", "sink(X) :- node(X, _, _, _, _), not calls(X, _, _). ?- sink(X).", "SELECT id AS \"X\" FROM gn WHERE id NOT IN (SELECT source FROM ge WHERE relation = 'calls')")
 _datalog("datalog_constant", '?- edge("customer_1", T, "calls", "Extracted").', "SELECT DISTINCT target AS \"T\" FROM ge WHERE source = 'customer_1' AND relation = 'calls' AND confidence = 'EXTRACTED'")
 _datalog("datalog_repeated_variable", "?- edge(X, X, _, _).", "SELECT DISTINCT source AS \"X\" FROM ge WHERE source = target")
 _datalog("datalog_ground", '?- depends_transitive("region_0", "supplier_1").', "SELECT count(*) > 0 AS holds FROM w WHERE t = 'supplier_1'", _walk("region_0", ""))
+_datalog("datalog_right_recursion", 'far(X, Y) :- calls(X, Y, _). far(X, Y) :- calls(X, Z, _), far(Z, Y). ?- far("part_1", Y).', 'SELECT t AS "Y" FROM w', _walk("part_1", " AND relation = 'calls'"))
+_datalog("datalog_general_recursion", 'up("region_0", 0). up(Y, 0) :- up(X, 0), contains(X, Y, _). ?- up(Y, 0).', "SELECT s AS \"Y\" FROM w", "w(s) AS (SELECT 'region_0' UNION SELECT e.target FROM w JOIN ge e ON e.source = w.s WHERE e.relation = 'contains')")
 _datalog("datalog_facts", 'watched("part_1"). watched("part_2"). caller(X, Y) :- watched(Y), calls(X, Y, _). ?- caller(X, Y).', "SELECT DISTINCT source AS \"X\", target AS \"Y\" FROM ge WHERE relation = 'calls' AND target IN ('part_1', 'part_2')")
 
 
@@ -87,16 +97,16 @@ register("SELECT file_type, count(*) AS n FROM gn GROUP BY file_type", name="typ
 register("SELECT count(DISTINCT community) AS n FROM gn", name="distinct_communities")(lambda g: g.nodes.agg(F.count_distinct("community").alias("n")))
 register("SELECT * FROM deg", ctes=_HALF, name="degrees")(M.degrees)
 register("SELECT id, source_file FROM gn WHERE source_file LIKE '%src/%' AND source_file NOT LIKE '%/tests/%' AND file_type = 'code'", name="node_scope")(lambda g: M.scope(g.nodes, ["SRC/"], ["/tests/"], ["code"], "exclude", True).select("id", "source_file"))
-register("SELECT id FROM gn WHERE source_file LIKE 'vendor/%'", name="generated_only")(lambda g: M.scope(g.nodes, generated="only").select("id"))
+register("SELECT id FROM gn WHERE len(list_intersect(string_split(lower(source_file), '/'), ['generated', 'gen', 'template', 'templates', 'vendor', 'third_party', 'third-party', 'obj', 'dist', 'build', 'target', 'node_modules'])) > 0 OR regexp_matches(lower(source_file), '\\.(g|generated|designer|gen)\\.cs$|\\.generated\\.(rs|ts)$|\\.g\\.ts$|\\.generated\\.[^/]*$')", name="generated_only")(lambda g: M.scope(g.nodes, generated="only").select("id"))
 register("SELECT source, target FROM ge WHERE relation LIKE '%call%'", name="relation_scope")(lambda g: M.relation_scope(g.edges, ["call", "imp"], ["imports"]).select("source", "target"))
-register("SELECT id FROM gn WHERE source_file LIKE '%/tests/%' OR source_file LIKE '%\\_test.%' ESCAPE '\\'", name="test_paths")(lambda g: g.nodes.filter(P.is_test_path("source_file")).select("id"))
+register(f"SELECT id FROM gn WHERE {_TEST.format('source_file')}", name="test_paths")(lambda g: g.nodes.filter(P.is_test_path("source_file")).select("id"))
 register("SELECT id FROM gn WHERE source_file LIKE 'src/db/%'", name="glob_paths")(lambda g: g.nodes.filter(P.matches_glob("source_file", "src/db/**")).select("id"))
 register(
     """SELECT count(*) AS edges, count(*) FILTER (relation = 'imports') AS imports, count(*) FILTER (relation = 'imports' AND resolution_status = 'resolved') AS imports_resolved, count(*) FILTER (relation = 'imports' AND resolution_status = 'unresolved') AS imports_unresolved,
     count(*) FILTER (relation = 'calls') AS calls, count(*) FILTER (relation = 'calls' AND resolution_status = 'resolved') AS calls_resolved, count(*) FILTER (relation = 'calls' AND resolution_status = 'heuristic') AS calls_heuristic, count(*) FILTER (relation = 'calls' AND resolution_status = 'unresolved') AS calls_unresolved, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous FROM ge""",
     name="resolution_report",
 )(lambda g: M.resolution_report(g.edges))
-register("SELECT s.community, s.size, coalesce(i.internal, 0) AS internal, round(CASE WHEN s.size > 1 THEN coalesce(i.internal, 0) / (s.size * (s.size - 1) / 2) ELSE 1.0 END, 9) AS cohesion FROM (SELECT community, count(*) AS size FROM gn WHERE community IS NOT NULL GROUP BY 1) s LEFT JOIN (SELECT sc AS community, count(*) AS internal FROM x WHERE sc = tc GROUP BY 1) i USING (community)", ctes=_ENDS, name="community_stats")(M.community_stats)
+register("SELECT s.community, s.size, coalesce(i.internal, 0) AS internal, round(CASE WHEN s.size > 1 THEN coalesce(i.internal, 0) / (s.size * (s.size - 1) / 2) ELSE 0.0 END, 9) AS cohesion FROM (SELECT community, count(*) AS size FROM gn WHERE community IS NOT NULL GROUP BY 1) s LEFT JOIN (SELECT sc AS community, count(*) AS internal FROM x WHERE sc = tc GROUP BY 1) i USING (community)", ctes=_ENDS, name="community_stats")(lambda g: M.community_stats(g).drop("focus"))
 register("SELECT q.c AS community, CAST(floor(count(*) FILTER (c = o) / 2) AS BIGINT) AS internal, count(*) FILTER (c <> o) AS boundary, count(DISTINCT CASE WHEN c <> o THEN o END) AS external_communities, any_value(t.top_node) AS top_node FROM (SELECT sc AS c, tc AS o FROM x WHERE sc IS NOT NULL AND tc IS NOT NULL UNION ALL SELECT tc, sc FROM x WHERE sc IS NOT NULL AND tc IS NOT NULL) q JOIN (SELECT community, first(id ORDER BY degree DESC, id) AS top_node FROM deg JOIN gn USING (id) WHERE community IS NOT NULL GROUP BY 1) t ON t.community = q.c GROUP BY 1", ctes=_ENDS + ", " + _HALF, name="community_overview")(M.community_overview)
 register("SELECT h.id, count(*) AS cross_edges, count(DISTINCT o.community) AS external_communities FROM h JOIN gn s ON s.id = h.id JOIN gn o ON o.id = h.other WHERE s.community <> o.community GROUP BY 1", ctes=_HALF, name="bridges")(M.bridges)
 register("SELECT source, target, relation, confidence, round(weight * confidence_score, 9) AS score FROM x WHERE sc <> tc", ctes=_ENDS, name="boundary_crossings")(M.boundary_crossings)
@@ -104,17 +114,19 @@ register("SELECT lower(label) AS label, count(*) AS n, count(DISTINCT source_fil
 register("SELECT direction, relation, count(*) AS n FROM (SELECT CASE WHEN sf LIKE '%controllers%' AND tf LIKE '%services%' THEN 'forward' WHEN sf LIKE '%services%' AND tf LIKE '%controllers%' THEN 'backward' END AS direction, relation FROM x) WHERE direction IS NOT NULL GROUP BY ALL", ctes=_ENDS, name="module_dependencies")(lambda g: M.module_dependencies(g, "controllers", "services"))
 register("SELECT count(DISTINCT other) AS nodes, count(DISTINCT source_file) AS files, count(DISTINCT community) AS communities, count(*) FILTER (confidence = 'EXTRACTED') AS extracted, count(*) FILTER (confidence = 'INFERRED') AS inferred, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous FROM h JOIN gn ON gn.id = h.other WHERE h.id = 'part_1'", ctes=_HALF, name="blast_radius")(lambda g: M.blast_radius(g, g.nodes.filter("id = 'part_1'")))
 register("SELECT id FROM h GROUP BY id HAVING bool_and(relation = 'imports')", ctes=_HALF, name="import_only")(M.import_only)
-register("SELECT id FROM (SELECT id, count(*) AS n, count(*) FILTER (relation = 'imports') AS i FROM h GROUP BY id) WHERE i = n OR (n > 2 AND i > 0.7 * n)", ctes=_HALF, name="aggregation_hubs")(M.aggregation_hubs)
-register("SELECT id, label, degree FROM deg JOIN gn USING (id) WHERE degree > 1 AND lower(label) <> lower(regexp_extract(source_file, '([^/]*?)(\\.[^./]*)?$', 1)) AND id NOT IN (SELECT id FROM (SELECT id, count(*) AS n, count(*) FILTER (relation = 'imports') AS i FROM h GROUP BY id) WHERE i = n OR (n > 2 AND i > 0.7 * n)) ORDER BY degree DESC, id LIMIT 20", ctes=_HALF, name="god_nodes")(M.god_nodes)
-_SCORE = "(CASE confidence WHEN 'AMBIGUOUS' THEN 3.0 WHEN 'INFERRED' THEN 2.0 ELSE 1.0 END + CASE WHEN st <> tt THEN 2.0 ELSE 0.0 END + CASE WHEN split_part(sf, '/', 1) <> split_part(tf, '/', 1) THEN 2.0 ELSE 0.0 END + CASE WHEN sc <> tc THEN 1.0 ELSE 0.0 END)"
-register(f"SELECT source, target, relation, CAST({_SCORE} AS DOUBLE) AS score FROM x", ctes=_ENDS, name="surprise")(lambda g: M.surprise(g).select("source", "target", "relation", "score"))
-register(f"SELECT source, target, relation, CAST({_SCORE} AS DOUBLE) AS score FROM x ORDER BY 4 DESC, source, target, relation LIMIT 20", ctes=_ENDS, name="surprise_top")(lambda g: M.surprise(g).select("source", "target", "relation", "score").orderBy(F.col("score").desc(), "source", "target", "relation").limit(20))
+register(f"SELECT id FROM hubs", ctes=f"{_HALF}, {_HUBS}", name="aggregation_hubs")(M.aggregation_hubs)
+register(f"SELECT id FROM noise", ctes=f"{_HALF}, {_NOISE}", name="framework_noise")(M.framework_noise)
+register(f"SELECT id, label, degree FROM deg JOIN gn USING (id) WHERE degree > 1 AND lower(label) <> lower({_STEM}) AND id NOT IN (SELECT id FROM hubs) AND id NOT IN (SELECT id FROM noise) ORDER BY degree DESC, id LIMIT 20", ctes=f"{_HALF}, {_HUBS}, {_NOISE}", name="god_nodes")(M.god_nodes)
+_SCORE = "(CASE confidence WHEN 'AMBIGUOUS' THEN 3.0 WHEN 'INFERRED' THEN 2.0 ELSE 1.0 END + CASE WHEN st <> tt THEN 2.0 ELSE 0.0 END + CASE WHEN split_part(sf, '/', 1) <> split_part(tf, '/', 1) THEN 2.0 ELSE 0.0 END + CASE WHEN sc <> tc THEN 1.0 ELSE 0.0 END) * CASE WHEN relation = 'semantically_similar_to' THEN 1.5 ELSE 1.0 END + CASE WHEN least(sd.degree, td.degree) <= 2 AND greatest(sd.degree, td.degree) >= 5 THEN 1.0 ELSE 0.0 END"
+_BOTH_DEGREES = "x JOIN deg sd ON sd.id = x.source JOIN deg td ON td.id = x.target"
+register(f"SELECT source, target, relation, CAST({_SCORE} AS DOUBLE) AS score FROM {_BOTH_DEGREES}", ctes=_ENDS + ", " + _HALF, name="surprise")(lambda g: M.surprise(g).select("source", "target", "relation", "score"))
+register(f"SELECT source, target, relation, CAST({_SCORE} AS DOUBLE) AS score FROM {_BOTH_DEGREES} ORDER BY 4 DESC, source, target, relation LIMIT 20", ctes=_ENDS + ", " + _HALF, name="surprise_top")(lambda g: M.surprise(g).select("source", "target", "relation", "score").orderBy(F.col("score").desc(), "source", "target", "relation").limit(20))
 register("SELECT round(sum(coalesce(l, 0) / m - (k / (2 * m)) ** 2), 9) AS q FROM (SELECT c, sum(weight) AS k FROM (SELECT sc AS c, weight FROM x WHERE sc IS NOT NULL AND tc IS NOT NULL UNION ALL SELECT tc, weight FROM x WHERE sc IS NOT NULL AND tc IS NOT NULL AND source <> target) GROUP BY c) kk LEFT JOIN (SELECT sc AS c, sum(weight) AS l FROM x WHERE sc = tc GROUP BY 1) ll USING (c), (SELECT sum(weight) AS m FROM x WHERE sc IS NOT NULL AND tc IS NOT NULL)", ctes=_ENDS, name="modularity")(M.modularity)
 register("SELECT gn.id, s.k AS community FROM gn JOIN (SELECT community, CAST(row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS BIGINT) AS k FROM gn WHERE community IS NOT NULL GROUP BY community) s USING (community)", name="renumber_by_size")(lambda g: M.renumber_by_size(g.nodes.filter("community is not null").select("id", "community")))
 _PR = "n AS (SELECT source AS id FROM ge UNION SELECT target FROM ge), c AS (SELECT count(*) AS n FROM n), s AS (SELECT source, target, sum(weight) AS w FROM ge GROUP BY 1, 2), e AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS share FROM s), r0 AS (SELECT id, 1.0 / n AS rank FROM n, c)" + "".join(f", r{k + 1} AS (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + d.lost / c.n) AS rank FROM n CROSS JOIN c CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE id NOT IN (SELECT source FROM e)) d LEFT JOIN (SELECT target AS id, sum(rank * share) AS got FROM r{k} JOIN e ON e.source = r{k}.id GROUP BY 1) g USING (id))" for k in range(5))
 register("SELECT id, round(rank, 9) AS rank FROM r5", ctes=_PR, name="page_rank_5")(lambda g: M.page_rank(g.edges, rounds=5).select("id", F.round("rank", 9).alias("rank")))
-register(None, name="choke_points")(M.choke_points)
-register("SELECT id, degree, unresolved, CAST(unresolved AS DOUBLE) AS risk FROM (SELECT id, count(*) AS degree, count(*) FILTER (relation = 'calls' AND resolution_status = 'unresolved') AS unresolved FROM h GROUP BY id) WHERE degree >= 3 ORDER BY risk DESC, id LIMIT 10", ctes=_HALF, name="quality_risk")(M.quality_risk)
+register("SELECT r5.id, round(rank * (1 + 0.1 * d), 7) AS score FROM r5 JOIN (SELECT id, count(*) AS d FROM (SELECT source AS id FROM ge UNION ALL SELECT target FROM ge) GROUP BY 1) q USING (id)", ctes=_PR, name="choke_points")(lambda g: M.choke_points(g, 5).select("id", F.round("score", 7).alias("score")))
+register("SELECT id, degree, unresolved, CAST(unresolved AS DOUBLE) AS risk FROM (SELECT id, count(*) AS degree, count(*) FILTER (relation = 'calls' AND resolution_status = 'unresolved') AS unresolved FROM h GROUP BY id) WHERE degree >= 3 AND unresolved > 0 ORDER BY risk DESC, id LIMIT 10", ctes=_HALF, name="quality_risk")(M.quality_risk)
 
 # --- building ------------------------------------------------------------------------------------
 register("SELECT id, label || '!' AS label FROM gn", name="upsert_last_wins")(lambda g: B.upsert_nodes(g.nodes.withColumn("seq", F.lit(1)).unionByName(g.nodes.withColumns({"seq": F.lit(2), "label": F.concat("label", F.lit("!"))})), "seq").select("id", "label"))
@@ -140,21 +152,43 @@ register("SELECT id, min(depth) AS depth FROM w GROUP BY id", ctes=_BOTH + ", w(
 register("SELECT id, min(depth) AS depth FROM w GROUP BY id", ctes="w(id, depth) AS (SELECT 'customer_1', 0 UNION SELECT e.target, depth + 1 FROM w JOIN ge e ON e.source = w.id WHERE depth < 4)", recursive=True, name="transitive_neighbourhood")(lambda g: T.reach(T.oriented(g.edges), _one(g, "customer_1"), 4))
 register("SELECT s AS id FROM w WHERE s <> 'part_5'", ctes="w(s) AS (SELECT source FROM ge WHERE target = 'part_5' UNION SELECT e.source FROM w JOIN ge e ON e.target = w.s)", recursive=True, name="reverse_reachable")(lambda g: T.reach(T.oriented(g.edges, "reverse"), _one(g, "part_5")).filter("depth > 0").select("id"))
 register("SELECT CAST(min(depth) AS INTEGER) AS hops FROM w WHERE id = 'supplier_4'", ctes=_BOTH + ", w(id, depth) AS (SELECT 'customer_2', 0 UNION SELECT b.t, depth + 1 FROM w JOIN b ON b.s = w.id WHERE depth < 4)", recursive=True, name="shortest_hops")(lambda g: T.reach(T.oriented(g.edges, "both"), _one(g, "customer_2")).filter("id = 'supplier_4'").select(F.col("depth").alias("hops")))
-register(None, name="safest_cost")(lambda g: T.cheapest(T.safest_steps(g.edges), _one(g, "customer_1")).select("id", F.round("cost", 6).alias("cost")))
-register(None, name="semantic_cost")(lambda g: T.cheapest(T.semantic_steps(g.edges, M.import_only(g)), _one(g, "customer_1")).select("id", "cost", "hops"))
+def _relaxed(step: str, rounds: int) -> str:
+    """CTEs of so many relaxation rounds from customer_1 over steps (s, t, cost)."""
+    first = f"step AS MATERIALIZED ({step}), q0 AS MATERIALIZED (SELECT 'customer_1' AS id, 0 AS cost, 0 AS hops)"
+    best = "SELECT id, m.cost AS cost, m.hops AS hops FROM (SELECT id, min({'cost': cost, 'hops': hops}) AS m FROM (SELECT * FROM q%d UNION ALL SELECT t, q.cost + step.cost, hops + 1 FROM q%d q JOIN step ON step.s = q.id) GROUP BY id)"
+    return first + "".join(f", q{k + 1} AS MATERIALIZED ({best % (k, k)})" for k in range(rounds))
+
+
+_EITHER = "(SELECT source AS s, target AS t, relation, confidence_score FROM ge UNION ALL SELECT target, source, relation, confidence_score FROM ge)"
+_RANK = "CASE lower(relation) WHEN 'calls' THEN 1000 WHEN 'uses' THEN 1200 WHEN 'method' THEN 1300 WHEN 'contains' THEN 1400 WHEN 'references' THEN 1700 WHEN 'imports' THEN 6000 ELSE 2200 END"
+register("SELECT id, round(cost, 6) AS cost FROM q30", ctes=_relaxed(f"SELECT s, t, 1 - max(confidence_score) AS cost FROM {_EITHER} GROUP BY 1, 2", 30), name="safest_cost")(lambda g: T.cheapest(T.safest_steps(g.edges), _one(g, "customer_1")).select("id", F.round("cost", 6).alias("cost")))
+register("SELECT id, cost, hops FROM q30", ctes=f"{_HALF}, {_NOISE}, " + _relaxed(f"SELECT s, t, CAST(min({_RANK}) + CASE WHEN t IN (SELECT id FROM noise) AND t <> 'supplier_4' THEN 8000 ELSE 0 END AS BIGINT) AS cost FROM {_EITHER} GROUP BY 1, 2", 30), name="semantic_cost")(lambda g: T.cheapest(T.semantic_steps(g.edges, M.framework_noise(g).filter("id <> 'supplier_4'")), _one(g, "customer_1")).select("id", "cost", "hops"))
+register(None, name="semantic_path")(lambda g: T.find_path(g, "customer_1", "supplier_4"))
+register("SELECT CAST(min(depth) AS BIGINT) AS hops FROM w WHERE id = 'supplier_4'", ctes=_BOTH + ", w(id, depth) AS (SELECT 'customer_2', 0 UNION SELECT b.t, depth + 1 FROM w JOIN b ON b.s = w.id WHERE depth < 4)", recursive=True, name="strict_path")(lambda g: T.find_path(g, "customer_2", "supplier_4", "strict").agg((F.count(F.lit(1)) - 1).alias("hops")))
+register(None, name="path_confidence")(lambda g: T.path_confidence(g, T.find_path(g, "customer_1", "supplier_4")))
 register("SELECT DISTINCT CASE WHEN source = 'part_1' THEN target ELSE source END AS neighbour, relation, e.confidence FROM ge e WHERE source = 'part_1' OR target = 'part_1'", name="neighbours")(lambda g: T.neighbours(g.nodes, g.edges, "part_1").select("neighbour", "relation", "confidence"))
 register("SELECT DISTINCT s.symbol, gn.id FROM (SELECT 'nation_1' AS symbol UNION SELECT 'asia' UNION SELECT 'none') s JOIN gn ON gn.id = s.symbol OR (lower(gn.label) = s.symbol AND s.symbol NOT IN (SELECT id FROM gn))", name="resolve_symbols")(lambda g: T.resolve_symbols(g.nodes, g.nodes.sparkSession.createDataFrame([("nation_1, asia,none",)], "symbols string")))
 register("SELECT source_file, file_type, count(*) AS n, count(*) FILTER (degree <= 5) AS n_hidden FROM gn JOIN deg USING (id) WHERE source_file LIKE '%.md' GROUP BY ALL", ctes=_HALF, name="file_summary")(lambda g: T.file_summary(g.nodes, M.degrees(g), ".md"))
 register("SELECT id, community, degree FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) AS k FROM deg JOIN gn USING (id)) WHERE k <= 3", ctes=_HALF, name="top_per_community")(lambda g: T.top_n(M.degrees(g).join(g.nodes.select("id", "community"), "id"), [F.col("degree").desc(), F.col("id")], 3, ["community"]).select("id", "community", "degree"))
 
 # --- ranking -------------------------------------------------------------------------------------
-_LEX = "k AS (SELECT id, CAST(contains(hay, 'asia') AS INT) + CAST(contains(hay, 'supplier') AS INT) AS hits FROM (SELECT id, lower(label || ' ' || id || ' ' || source_file) AS hay FROM gn)), o AS (SELECT id FROM h GROUP BY id HAVING bool_and(relation = 'imports')), lex AS (SELECT k.id, k.hits * CASE WHEN o.id IS NULL THEN 1.0 ELSE 0.5 END AS score FROM k LEFT JOIN o ON o.id = k.id WHERE hits > 0)"
-register("SELECT lex.id, CAST(score AS DOUBLE) AS score, degree FROM lex JOIN deg USING (id)", ctes=_HALF + ", " + _LEX, name="lexical_rank")(lambda g: R.lexical_rank(g, "Asia, supplier!"))
-register(None, name="hybrid_rank")(lambda g: R.hybrid_rank(g, "asia region"))
-register(None, name="query_graph")(lambda g: R.query_graph(g, "asia region", 2))
+_LEX = "k AS (SELECT id, sum(CAST(contains(lower(label), w) OR contains(lower(id), w) OR contains(lower(source_file), w) AS INT)) AS hits FROM gn, (SELECT unnest([{0}]) AS w) GROUP BY id), fac AS (SELECT io.id, CASE WHEN noise.id IS NULL THEN 0.5 ELSE 0.2 END AS factor FROM io LEFT JOIN noise USING (id)), lex AS (SELECT k.id, k.hits * coalesce(factor, 1.0) AS score FROM k LEFT JOIN fac ON fac.id = k.id WHERE hits > 0)"
+_STRUCT = "fr0 AS (SELECT id AS seed, id, 0 AS d FROM lex), pairs AS (SELECT DISTINCT source, target FROM ge), " + ", ".join(f"s{d} AS (SELECT DISTINCT f.seed, p.target AS id FROM fr{d - 1} f JOIN pairs p ON p.source = f.id), fr{d} AS (SELECT seed, id, {d} AS d FROM s{d} WHERE (seed, id) NOT IN ({' UNION ALL '.join(f'SELECT (seed, id) FROM fr{k}' for k in range(d))}))" for d in (1, 2, 3)) + ", raw AS (SELECT id, sum(1 / (1 + 0.5 * d)) AS s FROM (SELECT * FROM fr0 UNION ALL SELECT * FROM fr1 UNION ALL SELECT * FROM fr2 UNION ALL SELECT * FROM fr3) GROUP BY id), st AS (SELECT raw.id, round(s * coalesce(factor, 1.0), 9) AS score FROM raw LEFT JOIN fac ON fac.id = raw.id)"
+_lex = lambda *w: f"{_HALF}, {_NOISE}, " + _LEX.format(", ".join(f"'{x}'" for x in w))
+register("SELECT lex.id, CAST(score AS DOUBLE) AS score, degree FROM lex JOIN deg USING (id)", ctes=_lex("asia", "supplier"), name="lexical_rank")(lambda g: R.lexical_rank(g, "Asia, supplier!"))
+register("SELECT id, CAST(degree * coalesce(factor, 1.0) AS DOUBLE) AS score, degree FROM deg LEFT JOIN fac USING (id) WHERE id NOT IN (SELECT id FROM noise) ORDER BY 2 DESC, degree DESC, id LIMIT 5", ctes=_lex("zzz"), name="lexical_fallback")(lambda g: R.lexical_rank(g, "zzzqqq"))
+register("SELECT id, score FROM st", ctes=_lex("asia", "region") + ", " + _STRUCT, name="structural_rank")(lambda g: R.ranked(g, "asia region", "structural"))
+register("SELECT coalesce(lex.id, st.id) AS id, round(0.6 * coalesce(lex.score, 0) + 0.4 * coalesce(st.score, 0), 9) AS score FROM lex FULL JOIN st ON lex.id = st.id", ctes=_lex("asia", "region") + ", " + _STRUCT, name="hybrid_rank")(lambda g: R.ranked(g, "asia region", "hybrid"))
+_QG = _lex("asia", "region") + ", seed AS (SELECT id FROM lex JOIN deg USING (id) JOIN gn USING (id) WHERE NOT (contains(lower(source_file), '/test/') OR contains(lower(source_file), '/tests/') OR contains(lower(source_file), '_test.') OR starts_with(lower(label), 'test')) ORDER BY score DESC, degree DESC, id LIMIT 5), w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT b.t, depth + 1 FROM w JOIN b ON b.s = w.id WHERE depth < 2)"
+register("SELECT id, min(depth) AS depth FROM w GROUP BY id ORDER BY depth, id LIMIT 50", ctes=_BOTH + ", " + _QG, recursive=True, name="query_graph")(lambda g: R.query_graph(g, "asia region", 2))
+register(None, name="query_graph_lines")(lambda g: R.shown_lines(g, R.query_graph(g, "asia region", 2)))
+register(None, name="query_graph_dfs")(lambda g: R.query_graph(g, "asia region", 2, dfs=True))
 register("SELECT d.vec_id, round(list_dot_product(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(d.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6) AS score FROM embeddings d, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10", name="dense_topk")(lambda spark, sf_dir: R.dense_search(v := spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", list(v.filter("vec_id = 0").first()["embedding"])))
-register(None, name="text_search")(lambda g: R.text_search(R.term_vectors(g.nodes, "id", "label", "source_file"), "id", "supplier db"))
-register(None, name="paper_like")(lambda spark, sf_dir: R.paper_like(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
+_WORDS = "tok AS (SELECT id, unnest(list_filter(string_split_regex(lower(label || ' ' || source_file), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) >= 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "))) AS t FROM gn), tf AS (SELECT id, t, count(*) / sum(count(*)) OVER (PARTITION BY id) AS tf FROM tok GROUP BY id, t)"
+register("SELECT id, round(sum(CASE WHEN t IN ('supplier', 'db') THEN tf * sqrt(0.5) ELSE 0 END) / sqrt(sum(tf * tf)), 9) AS score FROM tf GROUP BY id HAVING sum(CASE WHEN t IN ('supplier', 'db') THEN 1 ELSE 0 END) > 0 ORDER BY score DESC, id LIMIT 10", ctes=_WORDS, name="text_search")(lambda g: R.text_search(R.term_vectors(g.nodes, "id", "label", "source_file"), "id", "supplier db"))
+_SIGNALS = ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in R.PAPER_SIGNALS)
+_HEAD = "CASE WHEN strlen(left(text, 3000)) <= 3000 THEN left(text, 3000) ELSE left(text, (SELECT max(k) FROM generate_series(1, 3000) g(k) WHERE strlen(left(text, k)) <= 3000)) END"
+register(f"SELECT doc_id, CAST(len(list_filter([{_SIGNALS}], lambda s: contains(head, s))) AS INTEGER) AS n_signals FROM (SELECT doc_id, lower({_HEAD}) AS head FROM documents) WHERE len(list_filter([{_SIGNALS}], lambda s: contains(head, s))) >= 3", name="paper_like")(lambda spark, sf_dir: R.paper_like(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
 
 # --- change, impact, drift -----------------------------------------------------------------------
 
@@ -177,27 +211,32 @@ oe AS (SELECT DISTINCT source, target, relation FROM ge WHERE source IN (SELECT
 register("SELECT id, 'added' AS change FROM new WHERE id NOT IN (SELECT id FROM old) UNION ALL SELECT id, 'removed' FROM old WHERE id NOT IN (SELECT id FROM new)", ctes=_OLDNEW, name="diff_nodes")(lambda g: X.diff_nodes(_old(g), _new(g)))
 register("SELECT *, 'added' AS change FROM (SELECT * FROM ne EXCEPT SELECT * FROM oe) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM oe EXCEPT SELECT * FROM ne)", ctes=_OLDNEW, name="diff_edges")(lambda g: X.diff_edges(_old(g), _new(g)))
 register("SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'Added' WHEN n.id IS NULL THEN 'Removed' ELSE 'CommunityChanged' END AS change, o.community AS old_community, n.community AS new_community FROM old o FULL JOIN new n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.community IS DISTINCT FROM n.community", ctes=_OLDNEW, name="symbol_inventory")(lambda g: X.inventory(_old(g), _new(g)))
-register(None, name="drift_events")(lambda g: X.drift(_old(g), _new(g)))
+_MOVED = "nfull AS (SELECT * FROM ge WHERE source IN (SELECT id FROM new) AND target IN (SELECT id FROM new)), ofull AS (SELECT * FROM ge WHERE source IN (SELECT id FROM old) AND target IN (SELECT id FROM old)), mv AS (SELECT n.id, g.label, o.community AS oc, n.community AS nc FROM old o JOIN new n ON o.id = n.id JOIN gn g ON g.id = o.id WHERE o.community IS DISTINCT FROM n.community), ehalf AS (SELECT source AS id FROM nfull UNION ALL SELECT target FROM nfull WHERE source <> target), cn AS (SELECT (SELECT count(*) FROM ofull e JOIN old a ON a.id = e.source JOIN old b ON b.id = e.target WHERE a.community <> b.community) AS ox, (SELECT count(*) FROM nfull e JOIN new a ON a.id = e.source JOIN new b ON b.id = e.target WHERE a.community <> b.community) AS nx, (SELECT count(DISTINCT community) FROM old) AS oc, (SELECT count(DISTINCT community) FROM new) AS nc)"
+register("""SELECT 'CommunityChanged' AS kind, id AS node_id, label, oc AS old_community, nc AS new_community, CASE WHEN nc IS NULL THEN 'Warning' ELSE 'Info' END AS severity FROM mv
+UNION ALL SELECT 'HubMoved', id, label, oc, nc, 'Critical' FROM mv WHERE id IN (SELECT id FROM ehalf GROUP BY id HAVING count(*) > 5)
+UNION ALL SELECT 'NewCrossBoundaryEdge', 'cross-boundary', 'Cross-boundary edges', ox, nx, 'Warning' FROM cn WHERE nx > ox UNION ALL SELECT 'CommunitySplit', 'community-structure', 'Community count', oc, nc, 'Info' FROM cn WHERE nc > oc UNION ALL SELECT 'CommunityMerge', 'community-structure', 'Community count', oc, nc, 'Info' FROM cn WHERE nc < oc""", ctes=_OLDNEW + ", " + _MOVED, name="drift_events")(lambda g: X.drift(_old(g), _new(g)))
 register("SELECT count(*) AS n FROM x WHERE sc <> tc", ctes=_ENDS, name="drift_crossings")(X.crossings)
 register("SELECT s AS id FROM w WHERE s NOT IN ('supplier_1', 'supplier_2')", ctes="w(s) AS (SELECT source FROM ge WHERE target IN ('supplier_1', 'supplier_2') UNION SELECT e.source FROM w JOIN ge e ON e.target = w.s)", recursive=True, name="downstream_impact")(lambda g: X.impact(g, g.nodes.filter("id in ('supplier_1', 'supplier_2')")).select("id"))
 register("SELECT source, target, relation FROM pe WHERE plan_id = 'alpha'", plan=True, name="forbidden_dependency")(lambda g: X.forbidden(g, "alpha", "src/controllers/**", "src/db/**"))
 register("SELECT source, target FROM pe JOIN pn s ON s.id = source JOIN pn t ON t.id = target WHERE pe.plan_id = 'alpha' AND s.source_file LIKE 'src/controllers/%' AND t.source_file LIKE 'src/db/%'", plan=True, name="strict_layering")(lambda g: X.layering(g, "alpha", ["src/db/**", "src/services/**", "src/controllers/**"]))
-register(None, plan=True, name="strict_layering_transitive")(lambda g: X.layering(g, "alpha", ["src/db/**", "src/services/**", "src/controllers/**"], True))
+register("SELECT DISTINCT w.s AS source, w.t AS target FROM w JOIN pn a ON a.id = w.s JOIN pn b ON b.id = w.t WHERE (CASE WHEN a.source_file LIKE 'src/db/%' THEN 0 WHEN a.source_file LIKE 'src/services/%' THEN 1 WHEN a.source_file LIKE 'src/controllers/%' THEN 2 END) > (CASE WHEN b.source_file LIKE 'src/db/%' THEN 0 WHEN b.source_file LIKE 'src/services/%' THEN 1 WHEN b.source_file LIKE 'src/controllers/%' THEN 2 END)", ctes="w(s, t) AS (SELECT source, target FROM pe WHERE source IN (SELECT id FROM pn WHERE plan_id = 'alpha') UNION SELECT w.s, e.target FROM w JOIN pe e ON e.source = w.t)", recursive=True, plan=True, name="strict_layering_transitive")(lambda g: X.layering(g, "alpha", ["src/db/**", "src/services/**", "src/controllers/**"], True))
 register("SELECT 'alpha_customer_' || CAST(c_custkey AS STRING) AS id, 'edge' AS kind FROM customer WHERE c_custkey % 29 = 0 AND c_custkey % (SELECT count(*) FROM supplier) = 0", plan=True, name="banned_symbol")(lambda g: X.banned(g, "alpha", "supplier_0"))
 register("SELECT DISTINCT label, 'missing' AS status FROM pn WHERE plan_id = 'alpha'", plan=True, name="plan_compliance")(lambda g: X.compliance(g, "alpha"))
-register("SELECT DISTINCT source_file FROM gn WHERE source_file NOT LIKE '%/tests/%' AND source_file NOT LIKE '%\\_test.%' ESCAPE '\\' ORDER BY 1 LIMIT 20", plan=True, name="unplanned_files")(lambda g: X.unplanned_files(g, "alpha"))
-register(
-    """SELECT 'MinResolution' AS policy, round(i.r * 100.0 / i.n, 6) AS value, i.r * 100.0 / i.n >= 85 AS passed FROM (SELECT count(*) AS n, count(*) FILTER (resolution_status = 'resolved') AS r FROM ge WHERE relation = 'imports') i
-    UNION ALL SELECT 'MaxAmbiguous', round(count(*) FILTER (confidence = 'AMBIGUOUS') * 100.0 / count(*), 6), count(*) FILTER (confidence = 'AMBIGUOUS') * 100.0 / count(*) <= 5 FROM ge
-    UNION ALL SELECT 'MaxUnresolved', CAST(count(*) AS DOUBLE), count(*) <= 50 FROM ge WHERE resolution_status = 'unresolved'
-    UNION ALL SELECT 'MinCoherence', round(1 - (SELECT count(DISTINCT community) FROM gn) / count(*), 6), 1 - (SELECT count(DISTINCT community) FROM gn) / count(*) >= 0.1 FROM ge""",
-    name="policy_table",
-)(X.threshold_policies)
-register(None, name="verification_plan")(lambda g: X.verification_plan(g, g.nodes.filter("id = 'customer_1'")))
-register(None, name="next_files")(lambda g: X.next_files(X.verification_plan(g, g.nodes.filter("id = 'customer_1'"))))
+register(f"SELECT DISTINCT source_file FROM gn WHERE NOT {_TEST.format('source_file')} ORDER BY 1 LIMIT 20", plan=True, name="unplanned_files")(lambda g: X.unplanned_files(g, "alpha"))
+_COUNTS = "rc AS (SELECT count(*) AS edges, count(*) FILTER (relation = 'imports') AS imports, count(*) FILTER (relation = 'imports' AND resolution_status = 'resolved') AS ir, count(*) FILTER (relation = 'imports' AND resolution_status = 'unresolved') AS unresolved, count(*) FILTER (relation = 'calls') AS calls, count(*) FILTER (relation = 'calls' AND resolution_status = 'resolved') AS cr, count(*) FILTER (relation NOT IN ('imports', 'calls', 'contains', 'method')) AS methods, count(*) FILTER (relation NOT IN ('imports', 'calls', 'contains', 'method') AND resolution_status = 'resolved') AS mr, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous FROM ge), pol AS (SELECT 'MinResolution' AS policy, coalesce(ir * 100.0 / nullif(imports, 0), 100.0) AS value, 80.0 AS threshold, true AS least FROM rc UNION ALL SELECT 'MaxAmbiguous', ambiguous, 10, false FROM rc UNION ALL SELECT 'MaxUnresolved', unresolved, 100, false FROM rc UNION ALL SELECT 'MinCallResolution', coalesce(cr * 100.0 / nullif(calls, 0), 100.0), 70, true FROM rc UNION ALL SELECT 'MinCoherence', 1 - (SELECT count(DISTINCT community) FROM gn) / greatest(edges, 1), 0.1, true FROM rc UNION ALL SELECT 'MaxStale', 0, 0, false FROM rc), judged AS (SELECT policy, round(CAST(value AS DOUBLE), 6) AS value, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN least THEN value >= threshold ELSE value <= threshold END AS passed FROM pol)"
+register("SELECT * FROM judged", ctes=_COUNTS, name="policy_table")(X.threshold_policies)
+register("SELECT round((ir + mr + cr) * 100.0 / (imports + methods + calls), 6) AS resolution, ambiguous, (ir + mr + cr) * 100.0 / (imports + methods + calls) >= 80 AND ambiguous <= 10 AS passed FROM rc", ctes=_COUNTS, name="resolution_gate")(X.resolution_gate)
+_STEPS = """c AS (SELECT id, source_file FROM gn WHERE id = 'customer_1'), vp AS (SELECT 'ReadSource' AS step, id AS target, source_file AS file, 1 AS priority FROM c
+UNION ALL SELECT 'ReadSource', e.target, coalesce(t.source_file, '?'), 2 FROM ge e JOIN c ON c.id = e.source LEFT JOIN gn t ON t.id = e.target WHERE e.confidence = 'EXTRACTED'
+UNION ALL SELECT 'ReadSource', e.source, s.source_file, 3 FROM ge e JOIN c ON c.id = e.target JOIN gn s ON s.id = e.source
+UNION ALL SELECT 'RunTest', CASE WHEN e.source = c.id THEN e.target ELSE e.source END, CAST(NULL AS VARCHAR), 4 FROM ge e JOIN c ON c.id IN (e.source, e.target) WHERE e.relation = 'tests' OR contains(e.source, 'test')
+UNION ALL SELECT 'InspectEdge', e.source || ' ' || relation || ' ' || e.target, CAST(NULL AS VARCHAR), 6 FROM ge e JOIN c ON c.id = e.source WHERE e.confidence <> 'EXTRACTED'
+UNION ALL SELECT * FROM (SELECT 'RiskGate', 'security_review', '', 7 FROM c WHERE regexp_matches(id, 'auth|security|payment|credentials') LIMIT 1))"""
+register("SELECT * FROM vp", ctes=_STEPS, name="verification_plan")(lambda g: X.verification_plan(g, g.nodes.filter("id = 'customer_1'")))
+register("SELECT file, first(step ORDER BY priority, step) AS step, min(priority) AS priority FROM vp WHERE file <> '' GROUP BY file ORDER BY priority, file LIMIT 10", ctes=_STEPS, name="next_files")(lambda g: X.next_files(X.verification_plan(g, g.nodes.filter("id = 'customer_1'"))))
 
 # --- communities, centrality, vectors ------------------------------------------------------------
-register(None, name="communities")(lambda g: C.communities(g.nodes, g.edges))
+register(None, name="communities")(lambda g: C.cluster(g).nodes.select("id", "community"))
 register(None, name="betweenness")(lambda g: C.betweenness(g.edges))
 register(None, name="dominators")(lambda g: C.dominators(g.edges, "region_0"))
 register(None, name="random_walks")(lambda g: C.random_walks(g.edges, 2, 4))
@@ -227,6 +266,12 @@ def telemetry_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.smoothed(_events(spark, sf_dir), "event_type", "value", "event_id").select("name", F.round("ema", 6).alias("ema"))
 
 
+@register(None)
+def running_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return E.running_percentiles(_events(spark, sf_dir), "event_type", "value", "event_id").select("name", "call_count", r6("p50_ms"), r6("p95_ms"), r6("p99_ms"))
+
+
 @register(None)
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = live.tumbling_counts(_events(spark, sf_dir), "ts", "event_type")
@@ -235,6 +280,8 @@ def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["telemetry_roll_up"] = _TEL + "SELECT * FROM t"
 SQL["hot_paths"] = _TEL + "SELECT name, call_count, p95 FROM t ORDER BY call_count DESC, p95, name LIMIT 3"
+_ORDERED = "WITH RECURSIVE r AS (SELECT lower(event_type) AS name, CAST(value AS DOUBLE) AS x, row_number() OVER (PARTITION BY lower(event_type) ORDER BY event_id, value) AS k, count(*) OVER (PARTITION BY lower(event_type)) AS n FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL) "
+SQL["telemetry_smoothed"] = _ORDERED + "SELECT name, round(sum(0.1 * 0.9 ** (n - k) * x), 6) AS ema FROM r GROUP BY name"
 SQL["tumbling_counts"] = "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, lower(event_type) AS event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +50,45 @@ SELECT source, target, relation, confidence, CAST(CASE confidence WHEN 'EXTRACTE
 CASE WHEN relation = 'contains' OR confidence = 'EXTRACTED' THEN 'resolved' WHEN confidence = 'INFERRED' THEN 'heuristic' ELSE 'unresolved' END AS resolution_status FROM raw"""
 
 
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _private(sql: str) -> str:
+    """The text with views of our own in place of the tables', so that no view of the session is touched."""
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 __star_\2", sql)
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the star tables in ``sf_dir``."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
-    for t, df in tables.items():
-        df.createOrReplaceTempView(t)
-    return Graph(conform(spark.sql(NODES_SQL), NODE), conform(spark.sql(EDGES_SQL), EDGE))
+    """The graph of the star tables in ``sf_dir``, written once an application and read from then on."""
+    return _stored_star(spark.sparkContext.applicationId, sf_dir, spark)
+
+
+@functools.lru_cache(16)
+def _stored_star(application: str, sf_dir: str, spark: SparkSession) -> Graph:
+    from vertexloom.operators.durable import durable
+
+    for t in _TABLES:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"__star_{t}")
+    return Graph(durable(conform(spark.sql(_private(NODES_SQL)), NODE)), durable(conform(spark.sql(_private(EDGES_SQL)), EDGE)))
+
+
+def link_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the delivered tables: the nodes of the last snapshot and the framework's, and the last
+    delivery of each link whose both ends are among them."""
+    from vertexloom.operators.durable import durable
+    from vertexloom.operators.snapshots import latest
+
+    nodes = spark.read.parquet(f"{sf_dir}/nodes.parquet")
+    last = nodes.agg(F.max("snapshot_no")).first()[0]
+    cols = [c for c in nodes.columns if c not in ("snapshot_no", "id", "seq")]
+    own = latest(nodes.filter((F.col("snapshot_no") == F.lit(last)) & F.col("id").isNotNull()), ["id"], "seq", cols)
+    rest = spark.read.parquet(f"{sf_dir}/framework_nodes.parquet").join(own.select("id"), "id", "left_anti")
+    every = durable(conform(own, NODE).unionByName(conform(rest, NODE)))
+    links = spark.read.parquet(f"{sf_dir}/links.parquet")
+    links = latest(links, ["link_id"], "observed_at", [c for c in links.columns if c != "link_id"]).filter("source is not null and target is not null")
+    # Few ids hold most links: the ids side is sent to all tasks where it is small, else skewed parts are split at run time.
+    ends = links.join(every.select(F.col("id").alias("source")), "source", "left_semi").join(every.select(F.col("id").alias("target")), "target", "left_semi")
+    return Graph(every, durable(conform(ends, EDGE)))
 
 
 def star_plan(spark: SparkSession, sf_dir: str, graph: Graph) -> Graph:
@@ -78,10 +114,16 @@ def read_json_graph(spark: SparkSession, path: str) -> Graph:
 
 
 def write_json_graph(graph: Graph, path: str) -> None:
-    """JSON lines of nodes and links, one file a partition; parquet is the form for large graphs."""
-    graph.nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), *graph.nodes.columns)).alias("value")).unionByName(
-        graph.edges.select(F.to_json(F.struct(F.lit("link").alias("kind"), *graph.edges.columns)).alias("value"))
-    ).write.text(path)
+    """JSON lines of nodes and links, one file a partition, as ``read_json_lines`` takes them."""
+    row = lambda kind, df: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns)).alias("value"))
+    row("node", graph.nodes).unionByName(row("link", graph.edges)).write.text(path)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> Graph:
+    """The graph that ``write_json_graph`` wrote."""
+    lines = spark.read.text(path)
+    of = lambda kind, schema: lines.filter(F.get_json_object("value", "$.kind") == kind).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return Graph(of("node", NODE), of("link", EDGE))
 
 
 def write_snapshot(graph: Graph, root: str, name: str) -> None:
@@ -99,12 +141,24 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
     return files.select(name, "modificationTime", "length").groupBy("name").agg(F.max("modificationTime").alias("created_at"), F.sum("length").alias("bytes"))
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified, content) of a source tree, without skipped directories."""
-    from vertexloom.functions.paths import in_skipped_dir
+def read_corpus(spark: SparkSession, root: str, ignore: Sequence[str] = (), types: bool = True) -> DataFrame:
+    """(path, modified, content, file_type) of a source tree, without skipped folders, sensitive names and what the
+    lines of an ignore file (``ignore``) cover; ``types`` drops files of no known type."""
+    from vertexloom.functions.paths import file_type, ignore_regex, in_skipped_dir, is_sensitive
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.filter(~in_skipped_dir("path")).select("path", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"))
+    base = F.regexp_replace("path", "^file:", "")
+    own = files.withColumn("rel", F.regexp_replace(F.replace(base, F.lit(root.rstrip("/")), F.lit("")), "^/+", ""))
+    own = own.filter(~in_skipped_dir("rel") & ~is_sensitive("rel"))
+    for rx in filter(None, map(ignore_regex, ignore)):
+        own = own.filter(~F.col("rel").rlike(rx))
+    out = own.select("path", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"), file_type("rel").alias("file_type"))
+    return out.filter("file_type is not null") if types else out
+
+
+def is_stale(files: DataFrame, built_at: str) -> DataFrame:
+    """One row (stale, newest): has any file (column modified) changed since the graph was built?"""
+    return files.agg(F.coalesce(F.max("modified") > F.lit(built_at).cast("timestamp"), F.lit(False)).alias("stale"), F.max("modified").alias("newest"))
 
 
 SPAN = "struct<name:string,span_id:string,parent_span_id:string,kind:string,start_time:bigint,end_time:bigint,attributes:map<string,string>,status:string>"
