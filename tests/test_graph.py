@@ -90,17 +90,42 @@ def test_call_binding_needs_one_candidate(spark):
 def test_traversal_and_paths(spark, chain):
     seed = spark.createDataFrame([("a",)], "id string")
     assert rows(T.reach(T.oriented(chain.edges), seed)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
-    assert rows(T.reach(T.oriented(chain.edges), seed, local_links=0)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
     ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "s string, t string")
     two = spark.createDataFrame([("a",), ("c",)], "s string")
-    assert rows(T.closure_from(ring, two)) == rows(T.closure_from(ring, two, local_links=0)) == [("a", "a"), ("a", "b"), ("a", "c")]
+    assert rows(T.closure_from(ring, two)) == [("a", "a"), ("a", "b"), ("a", "c")]
     assert T.depth_first(chain.edges, "a", 2, 10) == ["a", "b", "c"]
     g = make(spark, [("start", "m1", "calls"), ("m1", "m2", "calls"), ("m2", "goal", "calls"), ("start", "system", "imports"), ("system", "goal", "imports")])
     s = spark.createDataFrame([("start",)], "id string")
-    assert T.path_to(T.cheapest(T.semantic_steps(g.edges), s), "goal") == ["start", "m1", "m2", "goal"]
+    ids = lambda df: [r["id"] for r in df.orderBy("pos").collect()]
+    assert ids(T.path_to(T.cheapest(T.semantic_steps(g.edges), s), "goal")) == ids(T.find_path(g, "start", "goal")) == ["start", "m1", "m2", "goal"]
+    assert ids(T.find_path(g, "start", "goal", "strict")) == ["start", "system", "goal"] and ids(T.shortest_path(g.edges, "start", "nowhere")) == []
+    assert rows(T.path_confidence(g, T.find_path(g, "start", "goal")).select("pos", "source", "relation")) == [(0, "start", "calls"), (1, "m1", "calls"), (2, "m2", "calls")]
+
+
+def test_doubling_closure(chain):
     assert rows(T.closure(T.oriented(chain.edges)))[0] == ("a", "b")
 
 
+def test_costs_along_a_long_chain(spark):
+    n = 90
+    g = make(spark, [(f"n{k:03}", f"n{k + 1:03}", "calls") for k in range(n)] + [("n000", f"n{n:03}", "imports")])
+    best = T.cheapest(T.oriented(g.edges).withColumn("cost", F.when(F.col("t") == f"n{n:03}", 1000).otherwise(1).cast("bigint")), spark.createDataFrame([("n000",)], "id string"))
+    got = {r["id"]: (r["cost"], r["hops"]) for r in best.collect()}
+    assert got[f"n{n - 1:03}"] == (n - 1, n - 1) and got[f"n{n:03}"] == (1000, 1)
+    assert [r["pos"] for r in T.path_to(best, f"n{n - 1:03}").orderBy("pos").collect()] == list(range(n))
+
+
+def test_references_subsystem_and_symbol(spark):
+    g = make(spark, [("box", "f", "contains"), ("user", "main", "imports"), ("f", "g", "calls"), ("h", "f", "calls", "INFERRED"), ("f", "base", "inherits")], [("f", "F", "code", "src/main.rs", 1), ("main", "main", "code", "src/main.rs", 1), ("box", "Box", "code", "src/a.rs", 1), ("user", "User", "code", "x/user.rs", 2), ("h", "H", "code", "src/tests/h.rs", 1), ("g", "G", "code", "src/b.rs", 1)])
+    assert rows(T.structural_references(g, "f")) == [("Box", "contains", "src/a.rs"), ("User", "imports_file", "x/user.rs")]
+    parts = {}
+    for part, name, _ in rows(T.explain_subsystem(g, "f").fillna("")):
+        parts.setdefault(part, []).append(name)
+    assert parts["caller"] == ["H"] and parts["parent"] == ["base"] and parts["test_file"] == ["src/tests/h.rs"] and "src/main.rs" in parts["production_file"]
+    got = rows(T.analyse_symbol(g, "f").select("kind", "k", "relation", "n"))
+    assert got == [("behavioural", 1, "calls", 3), ("behavioural", 2, "inherits", 3), ("behavioural", 3, "calls", 3), ("structural", 1, "contains", 1)]
+
+
 def test_measures(spark):
     g = make(spark, [("s", "t", "references", "AMBIGUOUS")], [("s", "s", "code", "src/a.rs", 0), ("t", "t", "paper", "papers/b.pdf", 1)])
     assert M.surprise(g).select("score").first()[0] == 8.0
@@ -112,9 +137,24 @@ def test_measures(spark):
 
 def test_communities_split_two_triangles(spark):
     e = [("0", "1", "r"), ("1", "2", "r"), ("0", "2", "r"), ("3", "4", "r"), ("4", "5", "r"), ("3", "5", "r"), ("2", "3", "r", "EXTRACTED", 0.05)]
-    for limit in (C.LOCAL_LINKS, 0):
-        got = dict(rows(C.communities(make(spark, e).nodes, make(spark, e).edges, limit)))
-        assert got["0"] == got["1"] == got["2"] != got["3"] == got["4"] == got["5"]
+    g = make(spark, e, [("lone", "lone", "code", "x.rs")])
+    got = dict(rows(C.communities(g.nodes, g.edges)))
+    assert got["0"] == got["1"] == got["2"] != got["3"] == got["4"] == got["5"] and len(set(got.values())) == 3
+    one = spark.createDataFrame([(str(k), 0) for k in range(6)] + [("lone", 1)], "id string, community bigint")
+    apart = dict(rows(C.split_large(one, g.edges, 0.25, 3)))
+    assert apart["0"] == apart["1"] == apart["2"] != apart["3"] == apart["5"] and len(set(apart.values())) == 3
+    assert dict(rows(C.split_large(one, g.edges, 0.25, 10)))["5"] == 0
+
+
+def test_communities_are_worth_it(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = {(a, b) for k in range(6) for a in range(k * 12, k * 12 + 12) for b in range(a + 1, k * 12 + 12) if rng.random() < 0.5} | {tuple(sorted(rng.sample(range(72), 2))) for _ in range(30)}
+    g = make(spark, [(f"n{a}", f"n{b}", "r") for a, b in sorted(pairs)])
+    q = M.modularity(C.cluster(g)).first()["q"]
+    planted = M.modularity(g.with_(nodes=g.nodes.withColumn("community", F.floor(F.substring("id", 2, 3).cast("int") / 12)))).first()["q"]
+    assert q >= planted - 0.03, (q, planted)
 
 
 def test_betweenness_dominators_walks(spark, chain):
@@ -165,6 +205,111 @@ def test_change_and_policy(spark, chain):
     assert X.forbidden(g, "x", "src/controllers/**", "src/db/**").count() == 1
     assert X.layering(g, "x", ["src/db/**", "src/controllers/**"], True).count() == 1
     assert rows(X.compliance(g, "x")) == [("Planned", "missing")]
+    rules = [{"type": "forbidden_dependency", "from_pattern": "src/controllers/**", "to_pattern": "src/db/**", "reason": "no"}, {"type": "banned_symbol", "symbol_label": " q ", "reason": "old"}, {"type": "strict_layering", "layers": ["src/db/**", "src/controllers/**"], "reason": "layers"}]
+    assert [r[0] for r in rows(X.preflight(g, "x", rules))] == ["banned_symbol", "forbidden_dependency", "strict_layering"]
+    assert X.preflight(g, "other", rules).count() == 0 and rows(X.change_gate(g, "x", rules).filter("gate = 'Preflight'")) == [("Preflight", 3.0, 0.0, False)]
+    assert rows(X.validate_plan(g, "x", rules[:1], C.cluster).select("rule")) == [("forbidden_dependency",)]
+    gate = X.delta_gate(make(spark, [("a", "b", "calls"), ("b", "c", "calls")]), "x", lambda x: x.with_(nodes=x.nodes.withColumn("community", F.lit(0).cast("bigint"))))[0].first()
+    assert gate["passes"] and gate["delta"] == 0
+
+
+def test_threshold_gates(spark):
+    g = make(spark, [(f"f{k}", f"g{k}", "imports") for k in range(100)] + [(f"f{k}", f"g{k + 1}", "calls", "AMBIGUOUS") for k in range(20)])
+    g = g.with_(edges=g.edges.withColumn("resolution_status", F.when((F.col("relation") == "imports") & (F.substring("source", 2, 3).cast("int") < 90), "resolved").otherwise("unresolved")))
+    got = {r["policy"]: (r["value"], r["passed"]) for r in X.threshold_policies(g, 85.0, 5).collect()}
+    assert got["MinResolution"] == (90.0, True) and got["MaxAmbiguous"] == (20.0, False) and got["MaxUnresolved"] == (10.0, True) and got["MinCallResolution"] == (0.0, False)
+    assert X.threshold_policies(g, ast_only=True).filter("policy = 'MinCallResolution' and passed").count() == 1
+    assert X.resolution_gate(g, 80, 30).first()["passed"] is False and X.resolution_gate(g, 80, 30, ast_only=True).first()["passed"] is True
+    assert dict((r["name"], r["value"]) for r in X.doctor(g, ["rust", "go"]).filter("check = 'language'").collect()) == {"rust": 200.0, "go": 0.0}
+
+
+def test_drift_and_verification(spark):
+    star = [("h", f"l{k}", "calls") for k in range(6)]
+    old = make(spark, star, [("h", "H", "code", "a.rs", 0), *((f"l{k}", f"l{k}", "code", "b.rs", 0) for k in range(6))])
+    new = make(spark, star, [("h", "H", "code", "a.rs", 1), *((f"l{k}", f"l{k}", "code", "b.rs", 0) for k in range(5)), ("l5", "l5", "code", "b.rs", None)])
+    got = {(r["kind"], r["node_id"], r["severity"]) for r in X.drift(old, new).collect()}
+    assert got == {("CommunityChanged", "h", "Info"), ("CommunityChanged", "l5", "Warning"), ("HubMoved", "h", "Critical"), ("NewCrossBoundaryEdge", "cross-boundary", "Warning"), ("CommunitySplit", "community-structure", "Info")}
+    assert X.drift_by_severity(X.drift(old, new)).first()["severity"] == "Critical"
+    g = make(spark, [("auth_login", "validate", "calls"), ("test_login", "auth_login", "tests"), ("auth_login", "guess", "calls", "INFERRED")])
+    plan = rows(X.verification_plan(g, spark.createDataFrame([("auth_login",)], "id string")).select("step", "target", "priority"))
+    assert plan == [("InspectEdge", "auth_login calls guess", 6), ("ReadSource", "auth_login", 1), ("ReadSource", "test_login", 3), ("ReadSource", "validate", 2), ("RiskGate", "security_review", 7), ("RunTest", "test_login", 4)]
+    few = X.safe_diff(X.inventory(old, make(spark, star[:2])), 2, 1)
+    assert {(r["change"], r["n"]) for r in few.collect()} >= {("Removed", 4)} and few.filter("change = 'Removed'").count() == 1
+    assert X.what_changed(old, new).first()["moved"] == 2
+
+
+def test_hubs_noise_focus_and_surprise(spark):
+    g = make(spark, [(f"f{k}", "app_hub", "imports") for k in range(10)] + [("x", "system", "imports"), ("y", "system", "imports"), ("a", "called", "calls"), ("b", "called", "calls")], [("system", "System.IO", "code", "src/z.rs"), ("app_hub", "app_hub", "code", "src/q.rs")])
+    hubs = {r["id"] for r in M.aggregation_hubs(g).collect()}
+    assert "app_hub" in hubs and "called" not in hubs and "f0" not in hubs
+    assert rows(M.framework_noise(g)) == [("system",)]
+    files = spark.createDataFrame([(1, "./src/serve/mod.rs"), (1, "./src/serve/handlers.rs"), (2, "a/x.rs"), (2, "b/y.rs"), (2, "b/y.rs"), (3, "src/one/file.rs")], "c int, f string")
+    assert dict(rows(M.focus_labels(files, "c", "f"))) == {1: "./src/serve", 2: "b/y.rs | a/x.rs", 3: "src/one"}
+    wide = make(spark, [("s", "hub", "references", "AMBIGUOUS")] + [(f"k{k}", "hub", "references") for k in range(4)], [("s", "s", "code", "src/a.rs", 0), ("hub", "hub", "paper", "papers/b.pdf", 1)])
+    assert M.surprise(wide).filter("source = 's'").first()["score"] == 9.0
+    lone = make(spark, [("a", "b", "calls")], [("a", "a", "code", "x.rs", 1), ("b", "b", "code", "x.rs", 2)])
+    assert {r["cohesion"] for r in M.community_stats(lone).collect()} == {0.0}
+    q = {r["source"] for r in M.suggested_questions(wide, M.community_stats(wide), C.betweenness(wide.edges)).collect()}
+    assert {"ambiguous", "bottleneck"} <= q
+
+
+def test_path_classes(spark):
+    df = spark.createDataFrame([("src/tests/a.rs",), ("src/template/x.cs",), ("a/b.generated.ts",), (".env.local",), ("src/main.rs",), ("x/id_rsa.pub",), ("a/.git/config",)], "p string")
+    flags = {r["p"]: tuple(r)[1:] for r in df.select("p", P.is_test_path("p"), P.is_generated_path("p"), P.is_sensitive("p"), P.is_skipped_event("p")).collect()}
+    assert flags == {"src/tests/a.rs": (True, False, False, False), "src/template/x.cs": (False, True, False, False), "a/b.generated.ts": (False, True, False, False), ".env.local": (False, False, True, True), "src/main.rs": (False, False, False, False), "x/id_rsa.pub": (False, False, True, False), "a/.git/config": (False, False, False, True)}
+    one = spark.createDataFrame([("\\\\?\\C:\\p\\src\\a.rs", "héllo")], "p string, t string")
+    assert tuple(one.select(P.relative_path("p", "C:/p"), P.clipped("t", 2), P.clipped("t", 3)).first()) == ("src/a.rs", "h", "hé")
+
+
+def test_running_telemetry(spark):
+    from vertexloom.operators import telemetry as E
+
+    values = [5.0, 1.0, 9.0, 4.0, 8.0]
+    df = spark.createDataFrame([("A" if k % 2 else "a", k, x) for k, x in enumerate(values)] + [(None, 9, 1.0), ("b", 1, None)], "n string, k int, x double")
+    ema = 0.0
+    p50 = p95 = p99 = values[0]
+    for k, x in enumerate(values):
+        ema = 0.9 * ema + 0.1 * x
+        if k:
+            p50, p95, p99 = p50 * 0.9 + x * 0.1, p95 + (x - p95) * (0.05 if x > p95 else 0.01), p99 + (x - p99) * (0.01 if x > p99 else 0.001)
+    assert E.smoothed(df, "n", "x", "k").first()["ema"] == pytest.approx(ema)
+    assert tuple(E.running_percentiles(df, "n", "x", "k").first()) == ("a", 5, pytest.approx(p50), pytest.approx(p95), pytest.approx(p99))
+
+
+def test_corpus_ignores_and_round_trip(spark, tmp_path):
+    for f in ("src/a.py", "node_modules/b.py", "out/c.py", "src/.env", "src/x.bin"):
+        (tmp_path / "c" / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c" / f).write_text("x = 1")
+    got = S.read_corpus(spark, str(tmp_path / "c"), ["# note", "out/"])
+    assert [r["path"].rsplit("/", 1)[-1] for r in got.collect()] == ["a.py"] and S.is_stale(got, "2000-01-01").first()["stale"]
+    g = make(spark, [("a", "b", "calls")])
+    S.write_json_graph(g, str(tmp_path / "g"))
+    back = S.read_json_lines(spark, str(tmp_path / "g"))
+    assert rows(back.edges) == rows(g.edges) and rows(back.nodes) == rows(g.nodes)
+
+
+def test_file_watch_patches_the_graph(spark, tmp_path):
+    from vertexloom.streaming import live
+
+    src, state = tmp_path / "src", {}
+    src.mkdir()
+    (src / "m.py").write_text("def first():\n    return 1\n")
+    state["g"] = S.Graph(S.conform(spark.createDataFrame([("old", "old", "gone.py")], "id string, label string, source_file string"), S.NODE), S.conform(spark.createDataFrame([], "source string, target string"), S.EDGE))
+
+    def parse(batch):
+        n, e = extract(batch, "path", "content")
+        return n.withColumn("seq", F.lit(1)), e.withColumn("seq", F.lit(1))
+
+    def save(g):
+        S.write_snapshot(g, str(tmp_path / "snaps"), f"s{len(list((tmp_path / 'snaps').glob('*'))) if (tmp_path / 'snaps').exists() else 0}")
+        state["g"] = S.read_snapshot(spark, str(tmp_path / "snaps"), sorted(x.name for x in (tmp_path / "snaps").iterdir())[-1])
+
+    q = live.watch_files(spark, str(src), parse, lambda: state["g"], save, str(tmp_path / "cp"), "0 seconds")
+    q.processAllAvailable()
+    (src / "n.py").write_text("def second():\n    return 2\n")
+    q.processAllAvailable()
+    q.stop()
+    assert {"first", "second", "old"} <= {r["label"] for r in state["g"].nodes.collect()}
 
 
 def test_ids_and_labels(spark):

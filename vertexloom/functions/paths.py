@@ -150,7 +150,7 @@ def normalize_label(x: str | Column, depth: int = 6) -> Column:
 def clipped(text: str | Column, most: int) -> Column:
     """The first ``most`` bytes as text, a torn last character dropped."""
     raw = F.substring(F.encode(_c(text), "UTF-8"), 1, most)
-    return F.regexp_replace(F.try_validate_utf8(F.decode(raw, "UTF-8")), "\ufffd+$", "")
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\ufffd+$", "")
 
 
 def iso_seconds(c: str | Column) -> Column:

@@ -67,7 +67,8 @@ def replace_file(graph: Graph, path: str, nodes: DataFrame, edges: DataFrame, se
     new = upsert_nodes(nodes, seq)
     all_nodes = kept.join(new.select("id"), "id", "left_anti").unionByName(new)
     old = graph.edges.withColumn(seq, F.lit(0).cast("bigint")).filter(F.coalesce(F.col("source_file") != path, F.lit(True)))
-    more = conform(edges, EDGE).withColumn(seq, edges[seq] + 1 if seq in edges.columns else F.lit(1))
+    own = edges if seq in edges.columns else edges.withColumn(seq, F.lit(0))
+    more = own.select(*((F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EDGE), (F.col(seq) + 1).cast("bigint").alias(seq))
     ids = kept.select("id")
     old = old.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     return Graph(all_nodes, add_edges(all_nodes, old.unionByName(more), seq))

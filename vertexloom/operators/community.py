@@ -15,8 +15,6 @@ from vertexloom.operators.durable import Rounds, durable, partitions
 from vertexloom.operators.measure import renumber_by_size
 from vertexloom.sources.graphs import Graph
 
-#: Graphs up to so many undirected links are clustered exactly in one task; larger ones by rounds.
-LOCAL_LINKS = 2_000_000
 #: Up to so many undirected links the adjacency is sent to every task (16 bytes a link, and the ids).
 BROADCAST_LINKS = 1_000_000
 
@@ -26,108 +24,71 @@ def undirected(edges: DataFrame, weight: str = "weight") -> DataFrame:
     return edges.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), F.col(weight).alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
 
 
-def louvain_local(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, levels: int = 10, gain: float = 1e-4) -> np.ndarray:
-    """Community of each of n nodes: local moves and aggregation; the lowest community wins ties."""
-    member = np.arange(n)
-    for _ in range(levels):
-        nb: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-        loop = np.zeros(n)
-        for a, b, x in zip(u.tolist(), v.tolist(), w.tolist()):
-            if a == b:
-                loop[a] += x
-            else:
-                nb[a][b] += x
-                nb[b][a] += x
-        k = np.array([sum(d.values()) for d in nb]) + 2 * loop
-        m2 = k.sum()
-        if not m2:
-            break
-        comm, total = list(range(n)), k.copy()
-        improved = moved = True
-        any_move = False
-        while moved and improved:
-            moved, gained = False, 0.0
-            for i in range(n):
-                own = comm[i]
-                links: dict[int, float] = defaultdict(float)
-                for j, x in nb[i].items():
-                    links[comm[j]] += x
-                total[own] -= k[i]
-                base = links.get(own, 0.0) - total[own] * k[i] / m2
-                best, value = own, base
-                for c in sorted(links):
-                    g = links[c] - total[c] * k[i] / m2
-                    if g > value + 1e-12:
-                        best, value = c, g
-                total[best] += k[i]
-                if best != own:
-                    comm[i], moved, any_move = best, True, True
-                    gained += 2 * (value - base) / m2
-            improved = gained > gain
+def _louvain(links: DataFrame, levels: int = 10, gain: float = 1e-4, rounds: int = 60) -> DataFrame:
+    """(id, community) by local moves and aggregation; ``links`` (g, u, v, w) hold one graph a ``g``.
+
+    In a round about half of the nodes, drawn by a hash, move to the neighbouring community of largest
+    modularity gain (the least id wins ties), all at once by the communities before the round. A level
+    ends when two rounds together gain less than ``gain``, or nothing can move; then communities become
+    nodes. No group of rows is gathered anywhere, whatever the size of a community or a node's degree.
+    """
+    spark = links.sparkSession
+    member = None
+    for level in range(levels):
+        both = durable(links.filter("u <> v").select("g", F.col("u").alias("id"), F.col("v").alias("other"), "w").unionByName(links.filter("u <> v").select("g", F.col("v").alias("id"), F.col("u").alias("other"), "w")))
+        ends = both.select("g", "id", "w").unionByName(links.filter("u = v").select("g", F.col("u").alias("id"), (2 * F.col("w")).alias("w")))
+        k = ends.groupBy("g", "id").agg(F.sum("w").alias("k"))
+        m2 = k.groupBy("g").agg(F.sum("k").alias("m2"))  # one row a graph
+        state = durable(k.join(m2, "g").select("id", "k", "m2", F.col("id").alias("community")))
+        recent, any_move = [1.0, 1.0], 0
+        for r in range(rounds):
+            total = state.groupBy("community").agg(F.sum("k").alias("total"))
+            near = both.join(state.select(F.col("id").alias("other"), "community"), "other").select("id", "community", "w")
+            votes = near.unionByName(state.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w"))
+            own = state.select("id", "k", "m2", F.col("community").alias("own"))
+            worth = votes.join(total, "community").join(own, "id")
+            mine = F.col("community") == F.col("own")
+            worth = worth.withColumn("value", F.round(F.col("w") - (F.col("total") - F.when(mine, F.col("k")).otherwise(0.0)) * F.col("k") / F.col("m2"), 12))
+            best = worth.groupBy("id").agg(F.min(F.struct((-F.col("value")).alias("value"), "community")).alias("b"), F.max(F.when(mine, F.col("value"))).alias("base"), F.first("k").alias("k"), F.first("m2").alias("m2"), F.first("own").alias("own"))
+            better = (-F.col("b.value") > F.col("base")) & (F.pmod(F.xxhash64("id", F.lit(level), F.lit(r)), F.lit(2)) == 0)
+            moved = best.select("id", "k", "m2", F.when(better, F.col("b.community")).otherwise(F.col("own")).alias("community"), better.alias("moved"), F.when(better, 2 * (-F.col("b.value") - F.col("base")) / F.col("m2")).otherwise(0.0).alias("gained"))
+            table = Rounds(spark)
+            n = table.add(moved, moved=F.count_if("moved"), gained=F.sum("gained"), could=F.count(F.when(F.col("moved"), 1)))
+            state = table.last().select("id", "k", "m2", "community")
+            any_move += n["moved"]
+            recent = [recent[-1], n["gained"] or 0.0]
+            if sum(recent) <= gain:
+                break
         if not any_move:
             break
-        _, label = np.unique(np.array(comm), return_inverse=True)
-        member = label[member]
-        n = int(label.max()) + 1
-        a, b = label[u], label[v]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        key, at = np.unique(lo.astype(np.int64) * n + hi, return_inverse=True)
-        w = np.bincount(at, weights=w)
-        u, v = (key // n).astype(np.int64), (key % n).astype(np.int64)
+        to = state.select("id", "community")
+        member = durable(to if member is None else member.withColumnRenamed("community", "at").join(to.withColumnRenamed("id", "at"), "at").select("id", "community"))
+        ab = links.join(to.select(F.col("id").alias("u"), F.col("community").alias("a")), "u").join(to.select(F.col("id").alias("v"), F.col("community").alias("b")), "v")
+        links = durable(ab.groupBy("g", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w")))
+    if member is None:
+        return links.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("community", F.col("id"))
     return member
 
 
-def communities(nodes: DataFrame, edges: DataFrame, local_links: int = LOCAL_LINKS, rounds: int = 20) -> DataFrame:
-    """(id, community) for every node, numbered by falling size; isolated nodes stay alone.
-
-    The links are counted first. Up to ``local_links`` they are clustered in one task; beyond it every
-    round moves each node to the community with most weight around it (the lowest wins ties; odd and
-    even nodes take turns, so that pairs don't swap for ever).
-    """
-    links = durable(undirected(edges))
-    if links.count() <= local_links:
-
-        def run(df: pd.DataFrame) -> pd.DataFrame:
-            ids, code = np.unique(np.concatenate([df.u.to_numpy(), df.v.to_numpy()]), return_inverse=True)
-            u, v = code[: len(df)], code[len(df) :]
-            return pd.DataFrame({"id": ids, "community": louvain_local(u, v, df.w.to_numpy(), len(ids))})
-
-        found = links.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "id string, community bigint")
-        found = found.select("id", F.concat(F.lit("c"), "community").alias("community"))
-    else:
-        both = durable(links.filter("u <> v").select(F.col("u").alias("id"), F.col("v").alias("other"), "w").unionByName(links.filter("u <> v").select(F.col("v").alias("id"), F.col("u").alias("other"), "w")))
-        found = both.select("id").distinct().withColumn("community", F.col("id"))
-        for k in range(rounds):
-            votes = both.join(found.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
-            best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b")).select("id", F.col("b.community").alias("to"))
-            turn = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-            moved = durable(found.join(best, "id").select("id", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), (turn & (F.col("to") != F.col("community"))).alias("moved")))
-            found = moved.select("id", "community")
-            if k % 2 and moved.filter("moved").isEmpty():
-                break
-    lone = nodes.select("id").distinct().join(found.select("id"), "id", "left_anti").withColumn("community", F.concat(F.lit("n"), "id"))
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community) for every node, numbered by falling size; isolated nodes stay alone."""
+    links = durable(undirected(edges.filter("source is not null and target is not null")).withColumn("g", F.lit("")))
+    found = _louvain(links)
+    lone = nodes.select("id").distinct().join(found.select("id"), "id", "left_anti").withColumn("community", F.col("id"))
     return renumber_by_size(durable(found.unionByName(lone)))
 
 
 def split_large(members: DataFrame, edges: DataFrame, share: float = 0.25, least: int = 10) -> DataFrame:
-    """Communities above max(share x nodes, least) are clustered once more on their own links.
-
-    One group holds one oversized community; callers bound it by ``share`` of a graph that fits a task.
-    """
+    """Communities above max(share x nodes, least) are clustered once more, each on its own links alone."""
     n = members.count()
-    big = members.groupBy("community").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(int(share * n), least)).select("community")
-    inside = members.join(big, "community", "left_semi")
-    links = undirected(edges)
-    own = links.join(inside.select(F.col("id").alias("u"), "community"), "u").join(inside.select(F.col("id").alias("v"), F.col("community").alias("c2")), "v").filter("community = c2")
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        ids, code = np.unique(np.concatenate([df.u.to_numpy(), df.v.to_numpy()]), return_inverse=True)
-        part = louvain_local(code[: len(df)], code[len(df) :], df.w.to_numpy(), len(ids))
-        return pd.DataFrame({"id": ids, "part": [f"{df.community.iloc[0]}.{p}" for p in part]})
-
-    parts = own.select("u", "v", "w", "community").groupBy("community").applyInPandas(run, "id string, part string")
+    big = durable(members.groupBy("community").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(int(share * n), least)).select("community"))
+    if big.isEmpty():
+        return renumber_by_size(members)
+    inside = members.join(big, "community", "left_semi").select("id", F.col("community").cast("string").alias("g"))
+    own = undirected(edges).join(inside.select(F.col("id").alias("u"), "g"), "u").join(inside.select(F.col("id").alias("v"), F.col("g").alias("g2")), "v").filter("g = g2")
+    parts = _louvain(durable(own.select("g", "u", "v", "w"))).select("id", F.concat(F.lit("part "), "community").alias("part"))
     out = members.join(parts, "id", "left").select("id", F.coalesce("part", F.col("community").cast("string")).alias("community"))
-    return renumber_by_size(out)
+    return renumber_by_size(durable(out))
 
 
 def cluster(graph: Graph, share: float = 0.25, least: int = 10) -> Graph:
