@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 TOKEN = re.compile(r"[A-Za-z0-9_+/.\-%!#$^*~\\|]+={0,2}|[^\sA-Za-z0-9]")
 #: The tokens that can matter for a line: single characters are ruled out, which ``Crf`` makes sure of.
 _LONG = re.compile(r"[A-Za-z0-9_+/.\-%!#$^*~\\|]{2,}={0,2}")
+_INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.-%!#$^*~\\|").__contains__
 _PARAM = re.compile(r"[?&]\s*[A-Za-z0-9_+/.\-%!#$^*~\\|]+\s*=")
 #: Types of a value, which stand between its name and it.
 _TYPES = frozenset("str String string char byte bytes".split())
 #: Signs that tokens of several characters hold.
 TOKEN_SIGNS = re.compile(r"[_+/.\-%!#$^*~\\|=]")
+_LOW, _UP, _DIGIT, _OTHER = (re.compile(x).search for x in ("[a-z]", "[A-Z]", r"\d", "[^A-Za-z0-9]"))
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
@@ -164,6 +166,15 @@ def token_features(tokens: list[str], k: int, comment: bool) -> list[str]:
     return f
 
 
+def _places(text: str, t: str) -> Iterator[int]:
+    """Where ``t`` stands as a token of its own."""
+    at, n = text.find(t), len(t)
+    while at >= 0:
+        if not (at and _INSIDE(text[at - 1])) and not _INSIDE(text[at + n : at + n + 1]):
+            yield at
+        at = text.find(t, at + n)
+
+
 def addressed(text: str) -> Iterator[int]:
     """Places of an @ after a token, as the password of an address has it, and of parameters after ? or &."""
     at = text.find("@")
@@ -193,6 +204,12 @@ class Crf:
         self.context = [max(self._sides(b, n, told) for b in self._ends("b", told) for n in self._ends("n", told)) + self._rest(comment, told) for told in (False, True) for comment in (False, True)]
         self.beside: dict[tuple[str, str, bool], float] = {}
         self.rest = [self._rest(bool(k & 1), bool(k & 2)) for k in range(4)]
+        #: The most that features of a shape other than length and classes can add.
+        groups: dict[str, float] = {}
+        for f, x in weights.items():
+            if not f.startswith(("len=", "cls=", "p=", "b1=", "b2=", "n1=", "key", "param", "quoted", "bare", "userinfo", "digest", "statement", "scheme", "comment")):
+                groups[f.split("=")[0]] = max(groups.get(f.split("=")[0], 0.0), x)
+        self.loose = sum(groups.values())
         self.reach: dict[str, int] = {}
         self.clean: set[str] = set()  # lines without a mark
         self.own: dict[str, float] = {}  # what a token adds by itself
@@ -220,6 +237,16 @@ class Crf:
         more = best("keyquoted", "userinfo", "statement", "scheme") + max([0.0, *(x for f, x in w.items() if f.startswith("param="))]) if told else best("param=inert")
         return max(keys) + best("digest") + more + (best("comment", "commentkey") if comment else 0.0)
 
+    def _dull(self, t: str) -> bool:
+        """Do length and classes of characters alone rule a mark out, whatever else the shape and the sides tell?
+
+        Words that ``features`` looks for are judged in full.
+        """
+        n = len(t)
+        known = self.weights.get("len=" + str(min(n, 8) if n < 8 else 8 + min(n - 8, 56) // 8), 0.0)
+        known += self.weights.get(f"cls={int(_LOW(t) is not None)}{int(_UP(t) is not None)}{int(_DIGIT(t) is not None)}{int(_OTHER(t) is not None)}", 0.0)
+        return known + self.loose + self.stay + self.context[1] <= 0 and t.lower() not in ("identified", "bearer", "basic")
+
     def reaches(self, t: str) -> int:
         """In which lines the token can add to a span: bits 1 plain, 2 comment, 4 told, 8 told in a comment; + 16: it
         tells so itself, as a key name or as a word or sign that ``features`` looks for."""
@@ -228,6 +255,10 @@ class Crf:
             if len(self.reach) > 300_000:  # memory stays bounded
                 self.reach.clear()
                 self.own.clear()
+            if len(t) > 1 and self._dull(t):
+                # Whatever else its shape tells, only a line that tells of a credential could mark it.
+                got = self.reach[t] = 12 + 16 * is_key_name(t)
+                return got
             own = self.own[t] = self.score(shape_features(t)) + self.stay
             if len(t) > 1 or t.isalnum():
                 got = sum(1 << k for k, c in enumerate(self.context) if own + c > 0)
@@ -252,23 +283,22 @@ class Crf:
         told: dict[int, int] = {}
         out: dict[int, int] = {}
         get, beside, rest, own = hot.get, self.beside, self.rest, self.own
-        for m in _LONG.finditer(text) if hot else ():
-            got = get(m[0])
-            if not got:
-                continue
-            lo = text.rfind("\n", 0, m.start()) + 1
+        places = ((at, t) for t in hot for at in _places(text, t)) if len(hot) < 50 else ((m.start(), m[0]) for m in _LONG.finditer(text) if m[0] in hot)
+        for at, t in places:
+            lo = text.rfind("\n", 0, at) + 1
             if lo in out:
                 continue
-            hi = text.find("\n", m.end())
+            got, end = get(t), at + len(t)
+            hi = text.find("\n", end)
             hi = len(text) if hi < 0 else hi
             if got & 16:
                 told[lo] = hi
             if got & 3:
-                key = (text[lo : m.start()].rstrip()[-1:], text[m.end() : m.end() + 20].lstrip(" \t\r")[:1].strip(), False)
+                key = (text[lo:at].rstrip()[-1:], text[end : end + 20].lstrip(" \t\r")[:1].strip(), False)
                 side = beside.get(key)
                 if side is None:
                     side = beside[key] = self._sides(*key)
-                if own[m[0]] + side + rest[0] > 0 or own[m[0]] + side + rest[1] > 0 and _COMMENT.match(text, lo, hi):
+                if own[t] + side + rest[0] > 0 or own[t] + side + rest[1] > 0 and _COMMENT.match(text, lo, hi):
                     out[lo] = hi
         for at in addressed(text):
             lo = text.rfind("\n", 0, at) + 1

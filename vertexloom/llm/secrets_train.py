@@ -283,8 +283,8 @@ def train(n: int = 30000, epochs: int = 6, rate: float = 0.3, ridge: float = 1e-
                             moves[i][j] -= rate * d / math.sqrt(msq[i][j])
     # A shape that no marked token has is never marked: likelihood alone would push its weight down for ever.
     for f in {f for feats, ys in data for fs, y in zip(feats, ys) for f in fs if f.startswith(SHAPES)} - {f for feats, ys in data for fs, y in zip(feats, ys) if y for f in fs}:
-        w[f] = min(w[f], -25.0)
-    w["len=1"] = -25.0  # nor is a single letter or digit, though some stand in secrets
+        w[f] = min(w[f], -80.0)
+    w["len=1"] = -80.0  # nor is a single letter or digit, though some stand in secrets
     crf = Crf({f: round(x, 3) for f, x in sorted(w.items()) if abs(x) >= 0.02}, [[round(x, 3) for x in r] for r in moves])
     hit = said = true = 0
     for feats, ys in held:
