@@ -214,6 +214,8 @@ class Chart:
 
     #: So many constituents are kept before the chart is started anew: memory stays bounded.
     limit = 200_000
+    #: Tell costs only from 0: any fault counts 1.
+    quick = False
 
     def __init__(self, sides: dict[str, str]):
         self.sides = sides
@@ -224,6 +226,8 @@ class Chart:
 
     def edits(self, side: str, s: str) -> int:
         """The least cost by the automaton alone."""
+        if self.quick:
+            return 1
         if side not in self.automata:
             self.automata[side] = Automaton(self.sides[side])
         return self.automata[side].cost(s)

@@ -153,10 +153,12 @@ _ENDING = re.compile(r"\.(py|js|ts|rs|go|cs|json|yaml)$")
 _parsers: dict[str, Parser | PythonParser | YamlParser] = {}
 
 
-def parser(lang: str) -> Parser | PythonParser | YamlParser:
-    if lang not in _parsers:
-        _parsers[lang] = PythonParser() if lang == "py" else YamlParser() if lang == "yaml" else Parser(lang)
-    return _parsers[lang]
+def parser(lang: str, quick: bool = False) -> Parser | PythonParser | YamlParser:
+    key = lang + " quick" * quick
+    if key not in _parsers:
+        _parsers[key] = PythonParser() if lang == "py" else YamlParser() if lang == "yaml" else Parser(lang)
+        _parsers[key].quick = quick
+    return _parsers[key]
 
 
 def repair(lang: str, text: str) -> tuple[int, int]:
@@ -186,7 +188,7 @@ def fault_kind(lang: str, text: str, cost: int, at_end: int) -> str:
     if cost > 2 and cost * 8 > len(text.split()) or text.lstrip().startswith("<") and lang not in ("js", "ts"):
         return "mismatch"  # edits all over
     for other in ("json", "rs", "go", "cs", "ts", "py"):
-        if other != lang and {other, lang} != {"js", "ts"} and not repair(other, text)[0]:
+        if other != lang and {other, lang} != {"js", "ts"} and text.strip() and not parser(other, True).repair(text)[0]:
             return "mismatch"
     return "truncation" if at_end else "other"
 
