@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,34 @@ from vertexloom.operators.hotkeys import number_rows
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: A rank file is sent to all tasks; no public one is larger.
+MAX_BYTES = 64 << 20
+
 _encoders: dict = {}
 
 
-def encoder(path: str = TOKENIZER):
-    """The tokenizer of a rank file, built once per process."""
-    if path not in _encoders:
+def encoder(name: str, ranks: bytes):
+    """The tokenizer of a rank file's content, built once per process."""
+    if name not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encoders[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _encoders[name]
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens): sizes of the whole texts; NULL counts as empty."""
+    """(key, n_tokens): sizes of the whole texts; NULL counts as empty.
+
+    Only the driver needs the rank file: its content goes to the tasks.
+    """
+    ranks = Path(tokenizer).read_bytes()
+    if len(ranks) > MAX_BYTES:
+        raise ValueError(f"{tokenizer} is larger than {MAX_BYTES} bytes")
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(tokenizer, sent.value).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["key", "n_tokens"])
