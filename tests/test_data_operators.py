@@ -152,3 +152,27 @@ def test_paths_and_descendants(spark):
     assert got["a2"] == (["a1", "a2"], 0) and got["a1"] == (["a1"], 2) and got["b1"] == (["b1"], 1) and got["c1"] == (["c1"], 0) and got["d2"] == (["c3", "d1", "d2"], 0) and len(got) == 14
     assert {tuple(r) for r in descendants(df).filter("id in ('a1', 'c3', 'f2')").collect()} == {("a1", "a2", 1), ("a1", "a3", 1), ("c3", "d1", 1), ("c3", "d2", 2), ("f2", "f3", 1)}
     assert hierarchy(_spans(spark).limit(0), "id", "up", "seq").count() == 0
+
+
+def test_tables_are_deleted_on_request(spark):
+    import os
+
+    from vertexloom.operators import durable as D
+
+    df = D.durable(spark.range(5))
+    assert df.count() == 5
+    folder = D._tables(spark).removeprefix("file:")
+    assert os.listdir(folder)
+    D.forget(spark)
+    assert not os.path.exists(folder)
+    assert D.durable(spark.range(2)).count() == 2
+
+
+def test_rounds_and_numbers(spark):
+    from vertexloom.operators.durable import Rounds, numbered
+
+    t = Rounds(spark)
+    assert t.add(spark.range(3), n=F.count(F.lit(1)), top=F.max("id")) == {"n": 3, "top": 2} and t.add(spark.range(0), n=F.count(F.lit(1)))["n"] == 0
+    assert t.all().count() == 3 and t.last().count() == 0
+    got = numbered(spark.range(0, 50, 1, 7).filter("id % 3 = 0"), "k").collect()
+    assert [r["k"] for r in sorted(got, key=lambda r: r["id"])] == list(range(len(got))) and numbered(spark.range(0), "k").count() == 0

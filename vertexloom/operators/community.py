@@ -53,7 +53,7 @@ def _louvain(links: DataFrame, levels: int = 10, gain: float = 1e-4, rounds: int
             better = (-F.col("b.value") > F.col("base")) & (F.pmod(F.xxhash64("id", F.lit(level), F.lit(r)), F.lit(2)) == 0)
             moved = best.select("id", "k", "m2", F.when(better, F.col("b.community")).otherwise(F.col("own")).alias("community"), better.alias("moved"), F.when(better, 2 * (-F.col("b.value") - F.col("base")) / F.col("m2")).otherwise(0.0).alias("gained"))
             table = Rounds(spark)
-            n = table.add(moved, moved=F.count_if("moved"), gained=F.sum("gained"), could=F.count(F.when(F.col("moved"), 1)))
+            n = table.add(moved, moved=F.count_if("moved"), gained=F.sum("gained"))
             state = table.last().select("id", "k", "m2", "community")
             any_move += n["moved"]
             recent = [recent[-1], n["gained"] or 0.0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vertexloom-"))
+        own = tempfile.mkdtemp(prefix="vertexloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         current = sc.getCheckpointDir()
     return current
 
@@ -41,8 +45,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def _fresh(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{_tables(spark)}/{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote here: once its results are saved, nothing reads them."""
+    from vertexloom.sources.graphs import _stored_star
+
+    _stored_star.cache_clear()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Rounds:
