@@ -315,8 +315,8 @@ def test_file_watch_patches_the_graph(spark, tmp_path):
 def test_ids_and_labels(spark):
     df = spark.createDataFrame([("myfile", "MyClass"), ("_leading", ".dots."), ("", ""), ("foo::bar", "")], "a string, b string")
     assert [r[0] for r in df.select(P.make_id("a", "b")).collect()] == ["myfile_myclass", "leading_dots", "", "foo_bar"]
-    lab = spark.createDataFrame([("  `System.Collections`  ",), ("<stdio.h>",), ("foo   bar",), ("[(x)]",)], "l string")
-    assert [r[0] for r in lab.select(P.normalize_label("l")).collect()] == ["System.Collections", "stdio.h", "foo bar", "x"]
+    lab = spark.createDataFrame([("  `System.Collections`  ",), ("<stdio.h>",), ("foo   bar",), ("[(x)]",), ("((((((((y))))))))",), ("(z",), (None,)], "l string")
+    assert [r[0] for r in lab.select(P.normalize_label("l")).collect()] == ["System.Collections", "stdio.h", "foo bar", "x", "y", "(z", None]
 
 
 def test_sources(spark, tmp_path):

@@ -138,13 +138,14 @@ def make_id(*parts: str | Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.concat_ws("_", *kept), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
 
 
-def normalize_label(x: str | Column, depth: int = 6) -> Column:
-    """Trimmed, freed of up to ``depth`` matching pairs of quotes or brackets around it, white space as one blank."""
+def normalize_label(x: str | Column) -> Column:
+    """Trimmed, freed of all matching pairs of quotes or brackets around it, white space as one blank."""
     out = F.trim(_c(x))
     pair = r"""^(?:"(.*)"|'(.*)'|`(.*)`|<(.*)>|\[(.*)\]|\((.*)\))$"""
-    for _ in range(depth):
-        out = F.trim(F.when(out.rlike(pair), F.substring(out, F.lit(2), F.length(out) - 2)).otherwise(out))
-    return F.regexp_replace(out, r"\s+", " ")
+    most = F.length(F.regexp_extract(out, r"""^["'`<\[(\s]*""", 0))  # no more pairs than opening signs
+    turns = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    bare = F.aggregate(turns, out, lambda t, _: F.trim(F.when(t.rlike(pair), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)))
+    return F.regexp_replace(bare, r"\s+", " ")
 
 
 def clipped(text: str | Column, most: int) -> Column:
