@@ -98,4 +98,7 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p4_handwritten, p5_found, p5_repairs, p5_rates, p7_found, p7_spans, p7_redacted, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_kinds, p10_kept)}
-SQL: dict[str, str] = {}
+_GRAMS = "SELECT {0}, array_to_string(w[k:k + 29], ' ') AS g FROM (SELECT {0}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {1}), LATERAL (SELECT unnest(generate_series(1, len(w) - 29)) AS k)"
+SQL: dict[str, str] = {
+    "p9_found": f"WITH a AS ({_GRAMS.format('item_id', 'eval_items')}), b AS ({_GRAMS.format('doc_id', 'documents')}) SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (g)",
+}
