@@ -102,6 +102,33 @@ def test_traversal_and_paths(spark, chain):
     assert rows(T.path_confidence(g, T.find_path(g, "start", "goal")).select("pos", "source", "relation")) == [(0, "start", "calls"), (1, "m1", "calls"), (2, "m2", "calls")]
 
 
+def test_walks_in_one_part_and_in_many(spark):
+    import random
+
+    rng = random.Random(8)
+    links = sorted({(f"a{rng.randrange(60)}", f"a{rng.randrange(60)}") for _ in range(110)} | {(f"c{k}", f"c{k + 1}") for k in range(16)})
+    after = {}
+    for a, b in links:
+        after.setdefault(a, []).append(b)
+    pairs = spark.createDataFrame(links, "s string, t string")
+
+    def walk(front):
+        depth, d = {}, 0
+        while front:
+            front = {x for x in front if x not in depth}
+            depth |= dict.fromkeys(front, d)
+            front, d = {y for x in front for y in after.get(x, ())}, d + 1
+        return depth
+
+    seeds = ["a1", "a2", "c0"]
+    for part in (1 << 20, 45):
+        got = dict(rows(T.reach(pairs, spark.createDataFrame([(x,) for x in seeds], "id string"), part_links=part)))
+        assert got == walk(set(seeds))
+        two = rows(T.closure_from(pairs, spark.createDataFrame([(x,) for x in seeds], "s string"), part_links=part))
+        assert two == sorted((x, y) for x in seeds for y in walk(set(after.get(x, ()))))
+    assert T.reach(pairs.limit(0), spark.createDataFrame([("z",)], "id string")).collect() == [("z", 0)]
+
+
 def test_doubling_closure(chain):
     assert rows(T.closure(T.oriented(chain.edges)))[0] == ("a", "b")
 

@@ -1,13 +1,17 @@
-"""Traversal and path search: level-synchronous frontiers over (source, target) frames.
+"""Traversal and path search over (source, target) frames.
 
-A round joins the frontier with the edges and keeps what is new; what was found is a table that grows by
-a part each round, so lineage stays short and lost executors cost one round at most. Ties go to the least id.
+Walks of bounded depth are level-synchronous: a round joins the frontier with the links and keeps what is
+new. Unbounded walks follow links as far as they lead inside a part of the links, so that a round costs a
+crossing between parts and not a step; parts have a fixed size, whatever the graph. What was found is a
+table that grows by a part each round: lineage stays short, a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +29,88 @@ def oriented(edges: DataFrame, direction: str = "forward", relations: Sequence[s
     return {"forward": fwd, "reverse": rev, "both": fwd.unionByName(rev)}[direction].distinct()
 
 
-def reach(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
+#: Links of one part (about 100 bytes each in its task), and seeds that walk a part together.
+PART_LINKS, PART_SEEDS = 1 << 20, 256
+
+
+def _walk(pairs: DataFrame, marks: DataFrame, budget: int | None = None, part_links: int = PART_LINKS) -> DataFrame:
+    """(seed, id, depth): least depths reached over (s, t) from ``marks`` (seed, id, depth).
+
+    Nodes are spread over parts by a hash. A task follows the marks of its part through the part's links,
+    by rising depth; marks that leave it are the next round's, as far as they improve what is known.
+    """
+    spark = pairs.sparkSession
+    links, first = Rounds(spark), Rounds(spark)
+    n = links.add(pairs, n=F.count(F.lit(1)))["n"]
+    seeds = first.add(marks, seeds=F.approx_count_distinct("seed"))["seeds"]
+    parts, turns = max(1, -(-n // part_links)), max(1, -(-seeds // PART_SEEDS))
+    home = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    turn = F.pmod(F.xxhash64("seed"), F.lit(turns)).cast("int").alias("turn")
+    near = links.last().select("s", "t", home("s").alias("part"), home("t").alias("to"))
+    near = near.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))) if turns > 1 else near.withColumn("turn", F.lit(0))
+
+    def follow(key: tuple, links: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for a, b, to in zip(links.s, links.t, links.to):
+            after[a].append((b, to))
+        out = []
+        for seed, own in marks.groupby("seed", sort=False):
+            known, exits = {}, {}
+            levels: dict[int, list[str]] = defaultdict(list)
+            for x, d, new in zip(own.id, own.depth, own.new):
+                if d < known.get(x, 1 << 60):
+                    known[x] = d
+                if new:
+                    levels[d].append(x)
+            better = {x: d for d, xs in levels.items() for x in xs if known[x] == d}
+            while levels:
+                d = min(levels)
+                for x in levels.pop(d):
+                    if known[x] < d:
+                        continue
+                    for y, to in after.get(x, ()):
+                        if to != key[0]:
+                            if d + 1 < exits.get(y, 1 << 60):
+                                exits[y] = d + 1
+                        elif d + 1 < known.get(y, 1 << 60):
+                            known[y] = better[y] = d + 1
+                            levels[d + 1].append(y)
+            out += [(seed, x, d, False) for x, d in better.items()] + [(seed, x, d, True) for x, d in exits.items()]
+        return pd.DataFrame(out, columns=["seed", "id", "depth", "out"])
+
+    table = Rounds(spark)
+    front, left = first.last().select("seed", "id", "depth"), 1
+    while left:
+        new = front.withColumn("new", F.lit(True))
+        if table.n:
+            new = new.unionByName(table.all().filter("not out").select("seed", "id", "depth", F.lit(False).alias("new")))
+        both = near.groupBy("part", "turn").cogroup(new.select("*", home("id").alias("part"), turn).groupBy("part", "turn"))
+        got = table.add(both.applyInPandas(follow, "seed string, id string, depth long, out boolean"), left=F.count_if("out"), deepest=F.max(F.when(~F.col("out"), F.col("depth"))))
+        if budget is not None and (got["deepest"] or 0) + 1 > budget:
+            raise RuntimeError("maximum step limit reached")
+        left = got["left"]
+        if left:
+            crossed = table.last().filter("out").groupBy("seed", "id").agg(F.min("depth").alias("depth"))
+            known = table.all().filter("not out").groupBy("seed", "id").agg(F.min("depth").alias("d0"))
+            step = Rounds(spark)
+            left = step.add(crossed.join(known, ["seed", "id"], "left").filter(F.col("d0").isNull() | (F.col("depth") < F.col("d0"))).select("seed", "id", "depth"), n=F.count(F.lit(1)))["n"]
+            front = step.last()
+    return table.all().filter("not out").groupBy("seed", "id").agg(F.min("depth").alias("depth"))
+
+
+def reach(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, part_links: int = PART_LINKS) -> DataFrame:
     """(id, depth): least number of steps from any seed (column id); seeds have depth 0.
 
     ``max_nodes`` keeps the first nodes by (depth, id), as a bounded breadth-first search meets them.
     """
+    if max_depth is None:
+        marks = seeds.select(F.lit("").alias("seed"), "id", F.lit(0).cast("bigint").alias("depth")).distinct()
+        out = _walk(pairs.select("s", "t"), marks, part_links=part_links).select("id", F.col("depth").cast("int").alias("depth"))
+        return out.orderBy("depth", "id").limit(max_nodes) if max_nodes else out
     pairs = durable(pairs)
     table, depth = Rounds(pairs.sparkSession), 0
     total = new = table.add(seeds.select("id").distinct(), n=F.count(F.lit(1)))["n"]
-    while new and (max_depth is None or depth < max_depth) and (not max_nodes or total < max_nodes):
+    while new and depth < max_depth and (not max_nodes or total < max_nodes):
         depth += 1
         step = table.last().withColumnRenamed("id", "s").join(pairs, "s").select(F.col("t").alias("id")).distinct()
         new = table.add(step.join(table.all().select("id"), "id", "left_anti"), n=F.count(F.lit(1)))["n"]
@@ -42,18 +119,11 @@ def reach(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_
     return out.orderBy("depth", "id").limit(max_nodes) if max_nodes else out
 
 
-def closure_from(pairs: DataFrame, seeds: DataFrame, budget: int | None = None) -> DataFrame:
-    """(s, t): everything reached from each seed in one step or more (column s). Semi-naive."""
-    pairs = durable(pairs)
-    table, rounds = Rounds(pairs.sparkSession), 1
-    new = table.add(seeds.select("s").distinct().join(pairs, "s").select("s", "t").distinct(), n=F.count(F.lit(1)))["n"]
-    while new:
-        rounds += 1
-        if budget is not None and rounds > budget:
-            raise RuntimeError("maximum step limit reached")
-        step = table.last().select("s", F.col("t").alias("m")).join(pairs.select(F.col("s").alias("m"), "t"), "m").select("s", "t").distinct()
-        new = table.add(step.join(table.all().select("s", "t"), ["s", "t"], "left_anti"), n=F.count(F.lit(1)))["n"]
-    return table.all().select("s", "t")
+def closure_from(pairs: DataFrame, seeds: DataFrame, budget: int | None = None, part_links: int = PART_LINKS) -> DataFrame:
+    """(s, t): everything reached from each seed in one step or more (column s)."""
+    pairs = durable(pairs.select("s", "t"))
+    marks = seeds.select("s").distinct().join(pairs, "s").select(F.col("s").alias("seed"), F.col("t").alias("id"), F.lit(1).cast("bigint").alias("depth")).distinct()
+    return _walk(pairs, marks, budget, part_links).select(F.col("seed").alias("s"), F.col("id").alias("t"))
 
 
 def closure(pairs: DataFrame, budget: int | None = None) -> DataFrame:
