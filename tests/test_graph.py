@@ -331,12 +331,17 @@ def test_file_watch_patches_the_graph(spark, tmp_path):
         S.write_snapshot(g, str(tmp_path / "snaps"), f"s{len(list((tmp_path / 'snaps').glob('*'))) if (tmp_path / 'snaps').exists() else 0}")
         state["g"] = S.read_snapshot(spark, str(tmp_path / "snaps"), sorted(x.name for x in (tmp_path / "snaps").iterdir())[-1])
 
-    q = live.watch_files(spark, str(src), parse, lambda: state["g"], save, str(tmp_path / "cp"), "0 seconds")
+    clustered = []
+    q = live.watch_files(spark, str(src), parse, lambda: state["g"], save, str(tmp_path / "cp"), "0 seconds", lambda g: clustered.append(1) or g)
     q.processAllAvailable()
     (src / "n.py").write_text("def second():\n    return 2\n")
     q.processAllAvailable()
     q.stop()
-    assert {"first", "second", "old"} <= {r["label"] for r in state["g"].nodes.collect()}
+    assert {"first", "second", "old"} <= {r["label"] for r in state["g"].nodes.collect()} and clustered
+    live.publish(state["g"], "served")
+    assert spark.table("served_nodes").count() == state["g"].nodes.count()
+    many = spark.createDataFrame([(f"n{k}", "a.py") for k in range(100)], "id string, source_file string")
+    assert live.changed_share(many, spark.createDataFrame([("m", "b.py")], "id string, source_file string")) < 0.05
 
 
 def test_ids_and_labels(spark):
