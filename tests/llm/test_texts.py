@@ -155,6 +155,17 @@ def test_redaction_keeps_the_rest():
     assert len(C.first_pieces(two, C.spans(two))) == 1
 
 
+@pytest.mark.parametrize("room", [7, 9, 11])
+def test_known_tokens_are_forgotten_amid_a_text(room, monkeypatch):
+    secrets = [f"ghp_{k}aB3dE5fG7hI9jK1lmN2oP4qR6sT8" for k in range(6)]
+    text = "".join(f'API_TOKEN_{k} = "{x}"\n' for k, x in enumerate(secrets))
+    crf = C.Crf.load()
+    monkeypatch.setattr(C, "_crf", [crf])
+    crf.reach.update(dict.fromkeys(range(300_001 - room), 0))
+    assert [text[a:b] for a, b in C.spans(text)] == secrets
+    assert len(crf.reach) < 100  # they were
+
+
 def test_secret_table(spark):
     df = spark.createDataFrame([(1, 'x\nauth_token = "kQ92mZphT7xW4vBn8sLd"\n'), (2, None), (3, "")], "doc_id bigint, text string")
     assert [(r["doc_id"], r["line_no"]) for r in C.find_secrets(df).collect()] == [(1, 2)] and C.redacted(df).count() == 3

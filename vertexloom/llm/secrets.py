@@ -273,22 +273,22 @@ class Crf:
 
         Distinct tokens are judged once a text; where one that matters stands, what is beside it counts too.
         """
-        hot, seen = {}, self.reach.get
+        hot, seen, own = {}, self.reach.get, self.own
         for t in set(_LONG.findall(text)):
             got = seen(t)
             if got is None:
                 got = self.reaches(t)
             if got & 19:
-                hot[t] = got
+                hot[t] = got, own.get(t, 0.0)  # kept here: later tokens may empty what is known
         told: dict[int, int] = {}
         out: dict[int, int] = {}
-        get, beside, rest, own = hot.get, self.beside, self.rest, self.own
+        beside, rest = self.beside, self.rest
         places = ((at, t) for t in hot for at in _places(text, t)) if len(hot) < 50 else ((m.start(), m[0]) for m in _LONG.finditer(text) if m[0] in hot)
         for at, t in places:
             lo = text.rfind("\n", 0, at) + 1
             if lo in out:
                 continue
-            got, end = get(t), at + len(t)
+            (got, score), end = hot[t], at + len(t)
             hi = text.find("\n", end)
             hi = len(text) if hi < 0 else hi
             if got & 16:
@@ -298,7 +298,7 @@ class Crf:
                 side = beside.get(key)
                 if side is None:
                     side = beside[key] = self._sides(*key)
-                if own[t] + side + rest[0] > 0 or own[t] + side + rest[1] > 0 and _COMMENT.match(text, lo, hi):
+                if score + side + rest[0] > 0 or score + side + rest[1] > 0 and _COMMENT.match(text, lo, hi):
                     out[lo] = hi
         for at in addressed(text):
             lo = text.rfind("\n", 0, at) + 1
