@@ -10,6 +10,7 @@ from vertexloom.operators import community as C
 from vertexloom.operators import measure as M
 from vertexloom.operators import rank as R
 from vertexloom.operators import traverse as T
+from vertexloom.operators.durable import durable
 from vertexloom.plans import datalog as D
 from vertexloom.sources import graphs as S
 from vertexloom.sources.extract import extract
@@ -370,3 +371,15 @@ def test_ranking(spark):
     assert best["id"] == "order_service" and R.keywords("A, (service)! to") == ["service"]
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 1.0])], "k int, v array<double>")
     assert [r["k"] for r in R.dense_search(v, "k", "v", [1.0, 0.1], 2).collect()] == [0, 1]
+
+
+SHUFFLED = {
+    "structural_rank": lambda g: R.ranked(g, "asia", "structural"),
+}
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_node_tables_are_not_sent_whole_to_all_tasks(spark, name):
+    g = make(spark, [("a", "b", "calls"), ("b", "c", "imports"), ("a", "c", "contains")], [("a", "asia", "code", "src/a.rs", 1), ("b", "B", "code", "src/b.rs", 2), ("c", "C", "code", "lib/c.rs", 2)])
+    plan = SHUFFLED[name](S.Graph(durable(g.nodes), durable(g.edges)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
