@@ -375,6 +375,7 @@ def test_ranking(spark):
 
 SHUFFLED = {
     "structural_rank": lambda g: R.ranked(g, "asia", "structural"),
+    "hybrid_rank": lambda g: R.ranked(g, "asia", "hybrid"),
 }
 
 
