@@ -376,6 +376,7 @@ def test_ranking(spark):
 SHUFFLED = {
     "structural_rank": lambda g: R.ranked(g, "asia", "structural"),
     "hybrid_rank": lambda g: R.ranked(g, "asia", "hybrid"),
+    "drift_by_severity": lambda g: X.drift_by_severity(X.drift(g, g)),
     "drift_events": lambda g: X.drift(g, g.with_(edges=B.add_edges(g.nodes, g.edges.withColumn("seq", F.lit(0)), "seq"))),
 }
 
