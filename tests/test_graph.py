@@ -379,6 +379,7 @@ SHUFFLED = {
     "delta_gate": lambda g: X.delta_gate(g, "p", lambda x: x)[0],
     "drift_by_severity": lambda g: X.drift_by_severity(X.drift(g, g)),
     "drift_events": lambda g: X.drift(g, g.with_(edges=B.add_edges(g.nodes, g.edges.withColumn("seq", F.lit(0)), "seq"))),
+    "community_summary": M.community_summary,
 }
 
 
