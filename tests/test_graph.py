@@ -10,8 +10,10 @@ from vertexloom.operators import community as C
 from vertexloom.operators import measure as M
 from vertexloom.operators import rank as R
 from vertexloom.operators import traverse as T
-from vertexloom.operators.durable import durable
+from vertexloom.operators.durable import Rounds, durable
 from vertexloom.plans import datalog as D
+from vertexloom.queries import graphs as G
+from vertexloom.queries import views  # noqa: F401
 from vertexloom.sources import graphs as S
 from vertexloom.sources.extract import extract
 
@@ -388,3 +390,36 @@ def test_node_tables_are_not_sent_whole_to_all_tasks(spark, name):
     g = make(spark, [("a", "b", "calls"), ("b", "c", "imports"), ("a", "c", "contains")], [("a", "asia", "code", "src/a.rs", 1), ("b", "B", "code", "src/b.rs", 2), ("c", "C", "code", "lib/c.rs", 2)])
     plan = SHUFFLED[name](S.Graph(durable(g.nodes), durable(g.edges)))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.fixture(scope="module")
+def far_ring(spark):
+    """A ring of 1,100 parts, two suppliers beside it, and 1.1 million links that lead nowhere."""
+    name = lambda a, n: F.concat(F.lit(f"{a}_"), n.cast("string"))
+    ring = spark.range(1100).select(name("part", F.col("id")).alias("source"), name("part", (F.col("id") + 1) % 1100).alias("target"), F.lit("calls").alias("relation"))
+    suppliers = spark.createDataFrame([("part_3", "supplier_1", "imports"), ("part_9", "supplier_2", "imports")], ring.schema)
+    leaves = spark.range(1_100_000).select(F.lit("hub").alias("source"), name("leaf", F.col("id")).alias("target"), F.lit("calls").alias("relation"))
+    edges = ring.unionByName(suppliers).unionByName(leaves).withColumn("confidence", F.lit("EXTRACTED"))
+    nodes = ring.select(F.col("source").alias("id"), F.lit(1).alias("community")).unionByName(suppliers.select(F.col("target").alias("id"), F.lit(2).alias("community")))
+    nodes = nodes.unionByName(spark.createDataFrame([("customer_3", 3)], nodes.schema))
+    return S.Graph(durable(S.conform(nodes, S.NODE)), durable(S.conform(edges, S.EDGE)))
+
+
+FAR_WALKS = {
+    "calls_transitive_seeded": 1100,
+}
+
+
+@pytest.mark.parametrize("name", FAR_WALKS)
+def test_far_walks_end_in_a_few_rounds(spark, far_ring, monkeypatch, name):
+    parts, add = [], Rounds.add
+
+    def counted(self, *a, **k):
+        parts.append(1)
+        assert len(parts) <= 12, "a round for every few steps"
+        return add(self, *a, **k)
+
+    monkeypatch.setattr(Rounds, "add", counted)
+    monkeypatch.setattr(G, "star_graph", lambda spark, sf_dir: far_ring)
+    got = G.QUERIES[name](spark, "").collect()
+    assert len(got) == FAR_WALKS[name] and (name != "impact_report" or tuple(got[0]) == (1100, 1, 1102, 0, 0))
