@@ -407,6 +407,7 @@ def far_ring(spark):
 
 FAR_WALKS = {
     "calls_transitive_seeded": 1100,
+    "reaching_bound_target": 1100,
 }
 
 
