@@ -408,6 +408,7 @@ def far_ring(spark):
 FAR_WALKS = {
     "calls_transitive_seeded": 1100,
     "reaching_bound_target": 1100,
+    "circular_dependency_bound": 1099,
 }
 
 
