@@ -409,6 +409,7 @@ FAR_WALKS = {
     "calls_transitive_seeded": 1100,
     "reaching_bound_target": 1100,
     "circular_dependency_bound": 1099,
+    "bypasses_layer_bound": 1102,
 }
 
 
