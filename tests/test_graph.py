@@ -410,6 +410,7 @@ FAR_WALKS = {
     "reaching_bound_target": 1100,
     "circular_dependency_bound": 1099,
     "bypasses_layer_bound": 1102,
+    "datalog_right_recursion": 1100,
 }
 
 
