@@ -411,6 +411,7 @@ FAR_WALKS = {
     "circular_dependency_bound": 1099,
     "bypasses_layer_bound": 1102,
     "datalog_right_recursion": 1100,
+    "reverse_reachable": 1099,
 }
 
 
