@@ -412,6 +412,7 @@ FAR_WALKS = {
     "bypasses_layer_bound": 1102,
     "datalog_right_recursion": 1100,
     "reverse_reachable": 1099,
+    "downstream_impact": 1100,
 }
 
 
