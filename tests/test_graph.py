@@ -413,6 +413,7 @@ FAR_WALKS = {
     "datalog_right_recursion": 1100,
     "reverse_reachable": 1099,
     "downstream_impact": 1100,
+    "impact_report": 1,
 }
 
 
