@@ -430,3 +430,29 @@ def test_far_walks_end_in_a_few_rounds(spark, far_ring, monkeypatch, name):
     monkeypatch.setattr(G, "star_graph", lambda spark, sf_dir: far_ring)
     got = G.QUERIES[name](spark, "").collect()
     assert len(got) == FAR_WALKS[name] and (name != "impact_report" or tuple(got[0]) == (1100, 1, 1102, 0, 0))
+
+
+def test_depth_first_beyond_a_hub_of_many_links(spark):
+    leaves = spark.range(250_000).select(F.lit("hub").alias("source"), F.format_string("leaf_%06d", "id").alias("target"))
+    more = spark.createDataFrame([("leaf_000001", "x"), ("x", "y"), ("y", "z")], "source string, target string")
+    got = T.depth_first(durable(leaves.unionByName(more)), "hub", 3, 6)
+    assert got == ["hub", "leaf_000000", "leaf_000001", "x", "y", "leaf_000002"]
+
+
+def test_depth_first_is_whole(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = {(f"n{rng.randrange(60):02}", f"n{rng.randrange(60):02}") for _ in range(150)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for depth, most in ((2, 20), (3, 40), (6, 200)):
+        want, stack = [], [("n07", 0)]
+        while stack and len(want) < most:
+            at, d = stack.pop()
+            if at not in want:
+                want.append(at)
+                stack += [(x, d + 1) for x in sorted(near[at], reverse=True) if d < depth]
+        assert T.depth_first(spark.createDataFrame(sorted(pairs), "source string, target string"), "n07", depth, most) == want
