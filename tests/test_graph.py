@@ -432,6 +432,20 @@ def test_far_walks_end_in_a_few_rounds(spark, far_ring, monkeypatch, name):
     assert len(got) == FAR_WALKS[name] and (name != "impact_report" or tuple(got[0]) == (1100, 1, 1102, 0, 0))
 
 
+def test_communities_in_one_task_and_by_joins_are_the_same(spark):
+    import random
+
+    rng = random.Random(5)
+    ends = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(260))} | {(a, b) for a in range(90) for b in range(a) if a // 9 == b // 9 and rng.random() < 0.6}
+    g = make(spark, [(f"n{a:02}", f"n{b:02}", "calls", "EXTRACTED", 1 + rng.randrange(3)) for a, b in sorted(ends)], [("alone", "alone", "code", "x.rs")])
+    here = rows(C.communities(g.nodes, g.edges))
+    assert here == rows(C.communities(g.nodes, g.edges, local_links=0)) and len(here) == 91
+    with_ = lambda found: M.modularity(g.with_(nodes=g.nodes.drop("community").join(spark.createDataFrame(found, "id string, community bigint"), "id").select(*g.nodes.columns))).first()[0]
+    assert with_(here) > with_([(f"n{k:02}", k // 9) for k in range(90)] + [("alone", 99)]) - 0.03
+    ab = C.undirected(g.edges).select(F.when(F.col("u") < "n45", "x").otherwise("y").alias("g"), "u", "v", "w").filter("(u < 'n45') = (v < 'n45')")
+    assert rows(C._louvain(ab)) == rows(C._louvain(ab, local_links=0))
+
+
 def test_depth_first_beyond_a_hub_of_many_links(spark):
     leaves = spark.range(250_000).select(F.lit("hub").alias("source"), F.format_string("leaf_%06d", "id").alias("target"))
     more = spark.createDataFrame([("leaf_000001", "x"), ("x", "y"), ("y", "z")], "source string, target string")
