@@ -470,3 +470,11 @@ def test_depth_first_is_whole(spark):
                 want.append(at)
                 stack += [(x, d + 1) for x in sorted(near[at], reverse=True) if d < depth]
         assert T.depth_first(spark.createDataFrame(sorted(pairs), "source string, target string"), "n07", depth, most) == want
+
+
+def test_clustered_gate_writes_no_table_a_round(spark, monkeypatch):
+    n, add = [], Rounds.add
+    monkeypatch.setattr(Rounds, "add", lambda self, *a, **k: (n.append(1), add(self, *a, **k))[1])
+    g = make(spark, [(f"n{k:02}", f"n{(k * 7 + 3) % 40:02}", "calls") for k in range(40)] + [(f"n{k:02}", f"n{(k + 1) % 40:02}", "calls") for k in range(40)])
+    gate = X.delta_gate(g, "p", C.cluster)[0].first()
+    assert gate["delta"] == 0 and len(n) <= 8
