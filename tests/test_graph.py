@@ -478,3 +478,14 @@ def test_clustered_gate_writes_no_table_a_round(spark, monkeypatch):
     g = make(spark, [(f"n{k:02}", f"n{(k * 7 + 3) % 40:02}", "calls") for k in range(40)] + [(f"n{k:02}", f"n{(k + 1) % 40:02}", "calls") for k in range(40)])
     gate = X.delta_gate(g, "p", C.cluster)[0].first()
     assert gate["delta"] == 0 and len(n) <= 8
+
+
+def test_betweenness_searches_from_no_leaf():
+    import time
+
+    import numpy as np
+
+    k, began = 20_000, time.process_time()
+    degree, near = np.array([k] + [1] * k), np.concatenate([np.arange(1, k + 1), np.zeros(k, dtype=np.int64)])
+    score = C._brandes(np.concatenate([[0], np.cumsum(degree)]), near, iter(range(k + 1)))
+    assert score[0] == k * (k - 1) and not score[1:].any() and time.process_time() - began < 2
